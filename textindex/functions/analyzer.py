@@ -1,0 +1,39 @@
+"""Plain-Python analyzer for short strings held by the driver (search queries).
+
+Documents are never analyzed here: they go through the Spark column expressions
+in ``textindex.functions.text`` and ``textindex.operators.analyze``. A query
+string is a parameter of bounded size, so analyzing it locally is the same
+work the reference does per request. The two paths must agree; the tests check
+that they do.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+from textindex.functions.snowball import stem
+from textindex.functions.stopwords import resolve_language, stopwords
+from textindex.functions.text import TOKEN_PATTERN
+
+
+def analyze_text(text: str | None, language: str | None = "english",
+                 stopword_list=None, do_stem: bool = False,
+                 pattern: str = TOKEN_PATTERN) -> list[str]:
+    """Tokenize -> lowercase -> drop empty -> drop stopwords -> (stem)."""
+    if not text:
+        return []
+    lang = resolve_language(language)
+    words = set(stopwords(lang) if stopword_list is None else stopword_list)
+    out = []
+    for tok in re.findall(pattern, text):
+        norm = tok.lower() if pattern == TOKEN_PATTERN else re.sub(r"[^\w\-]|[\d_]", "", tok.lower())
+        if not norm or norm in words:
+            continue
+        out.append(stem(norm, lang) if do_stem else norm)
+    return out
+
+
+def query_term_counts(text: str | None, **kwargs) -> dict[str, int]:
+    """Query terms with their multiplicity (a repeated query term counts again)."""
+    return dict(Counter(analyze_text(text, **kwargs)))

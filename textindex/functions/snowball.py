@@ -1,0 +1,383 @@
+"""Snowball stemmers for English (Porter2) and Spanish, per word.
+
+Written from the published Snowball algorithm descriptions. This is the one
+piece of per-word Python in the library; it is only ever applied to the
+*distinct vocabulary* (see ``textindex.operators.stemming``), never per token.
+Words of two characters or fewer are returned unchanged, and stopwords are
+stemmed like any other word.
+"""
+
+from __future__ import annotations
+
+# ---------------------------------------------------------------------------
+# English (Porter2)
+# ---------------------------------------------------------------------------
+
+_EN_VOWELS = frozenset("aeiouy")
+_EN_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_EN_LI_ENDINGS = frozenset("cdeghkmnrt")
+
+# Fixed values of the published algorithm: whole-word exceptions.
+_EN_EXCEPTIONS_1 = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
+    "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli",
+    "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlantic": "atlantic",
+    "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+_EN_EXCEPTIONS_2 = frozenset(
+    ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"])
+_EN_R1_PREFIXES = ("gener", "commun", "arsen")
+
+# Fixed values of the published algorithm: step 2 and step 3 suffix maps.
+_EN_STEP2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent",
+    "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate",
+    "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous",
+    "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble",
+    "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+_EN_STEP3 = {
+    "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic",
+    "ical": "ic", "ful": "", "ness": "", "ative": "",
+}
+_EN_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment",
+             "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
+
+
+def _longest_suffix(word: str, suffixes) -> str | None:
+    best = None
+    for s in suffixes:
+        if word.endswith(s) and (best is None or len(s) > len(best)):
+            best = s
+    return best
+
+
+def _en_is_vowel(ch: str) -> bool:
+    return ch in _EN_VOWELS
+
+
+def _en_regions(word: str) -> tuple[int, int]:
+    def after_vc(start: int) -> int:
+        i = start
+        n = len(word)
+        while i < n and not _en_is_vowel(word[i]):
+            i += 1
+        while i < n and _en_is_vowel(word[i]):
+            i += 1
+        return min(i + 1, n) if i < n else n
+
+    r1 = None
+    for p in _EN_R1_PREFIXES:
+        if word.startswith(p):
+            r1 = len(p)
+            break
+    if r1 is None:
+        r1 = after_vc(0)
+    r2 = after_vc(r1)
+    return r1, r2
+
+
+def _en_short_syllable_at_end(w: str) -> bool:
+    """Does ``w`` end in a short syllable?"""
+    n = len(w)
+    if n >= 3:
+        if (not _en_is_vowel(w[-3]) and _en_is_vowel(w[-2])
+                and not _en_is_vowel(w[-1]) and w[-1] not in "wxY"):
+            return True
+    if n == 2:
+        return _en_is_vowel(w[0]) and not _en_is_vowel(w[1])
+    return False
+
+
+def stem_english(word: str) -> str:
+    word = word.strip().lower()
+    if len(word) <= 2:
+        return word
+    if word in _EN_EXCEPTIONS_1:
+        return _EN_EXCEPTIONS_1[word]
+    if word.startswith("'"):
+        word = word[1:]
+    # Prelude: initial y and y after a vowel become consonant Y.
+    chars = list(word)
+    if chars and chars[0] == "y":
+        chars[0] = "Y"
+    for i in range(1, len(chars)):
+        if chars[i] == "y" and chars[i - 1] in _EN_VOWELS:
+            chars[i] = "Y"
+    w = "".join(chars)
+    r1, r2 = _en_regions(w)
+
+    # Step 0: possessive apostrophes.
+    for suf in ("'s'", "'s", "'"):
+        if w.endswith(suf):
+            w = w[: -len(suf)]
+            break
+
+    # Step 1a.
+    suf = _longest_suffix(w, ("sses", "ied", "ies", "s", "us", "ss"))
+    if suf == "sses":
+        w = w[:-4] + "ss"
+    elif suf in ("ied", "ies"):
+        w = w[:-3] + ("i" if len(w) - 3 > 1 else "ie")
+    elif suf == "s":
+        stem = w[:-1]
+        if any(_en_is_vowel(c) for c in stem[:-1]):
+            w = stem
+
+    if w in _EN_EXCEPTIONS_2:
+        return w
+
+    # Step 1b.
+    suf = _longest_suffix(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if suf in ("eed", "eedly"):
+        if len(w) - len(suf) >= r1:
+            w = w[: -len(suf)] + "ee"
+    elif suf is not None:
+        stem = w[: -len(suf)]
+        if any(_en_is_vowel(c) for c in stem):
+            w = stem
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif w.endswith(_EN_DOUBLES):
+                w = w[:-1]
+            elif len(w) == r1 and _en_short_syllable_at_end(w):
+                w += "e"
+
+    # Step 1c.
+    if len(w) > 2 and w[-1] in "yY" and not _en_is_vowel(w[-2]):
+        w = w[:-1] + "i"
+
+    # Step 2.
+    suf = _longest_suffix(w, _EN_STEP2)
+    if suf is not None and len(w) - len(suf) >= r1:
+        if suf == "ogi":
+            if w[:-3].endswith("l"):
+                w = w[:-3] + "og"
+        elif suf == "li":
+            if len(w) >= 3 and w[-3] in _EN_LI_ENDINGS:
+                w = w[:-2]
+        else:
+            w = w[: -len(suf)] + _EN_STEP2[suf]
+
+    # Step 3.
+    suf = _longest_suffix(w, _EN_STEP3)
+    if suf is not None and len(w) - len(suf) >= r1:
+        if suf == "ative":
+            if len(w) - len(suf) >= r2:
+                w = w[:-5]
+        else:
+            w = w[: -len(suf)] + _EN_STEP3[suf]
+
+    # Step 4.
+    suf = _longest_suffix(w, _EN_STEP4)
+    if suf is not None and len(w) - len(suf) >= r2:
+        if suf == "ion":
+            if w[:-3].endswith(("s", "t")):
+                w = w[:-3]
+        else:
+            w = w[: -len(suf)]
+
+    # Step 5.
+    if w.endswith("e"):
+        pos = len(w) - 1
+        if pos >= r2 or (pos >= r1 and not _en_short_syllable_at_end(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("l"):
+        if len(w) - 1 >= r2 and w[:-1].endswith("l"):
+            w = w[:-1]
+
+    return w.replace("Y", "y")
+
+
+# ---------------------------------------------------------------------------
+# Spanish
+# ---------------------------------------------------------------------------
+
+_ES_VOWELS = frozenset("aeiouáéíóúü")
+
+# Fixed values of the published algorithm: Spanish suffix lists.
+_ES_PRONOUNS = ("me", "se", "sela", "selo", "selas", "selos", "la", "le", "lo",
+                "las", "les", "los", "nos")
+_ES_PRONOUN_VERBS = {"iéndo": "iendo", "ándo": "ando", "ár": "ar", "ér": "er", "ír": "ir",
+                     "ando": "ando", "iendo": "iendo", "ar": "ar", "er": "er", "ir": "ir",
+                     "yendo": "yendo"}
+_ES_STEP1_PLAIN = ("anza", "anzas", "ico", "ica", "icos", "icas", "ismo", "ismos",
+                   "able", "ables", "ible", "ibles", "ista", "istas", "oso", "osa",
+                   "osos", "osas", "amiento", "amientos", "imiento", "imientos")
+_ES_STEP1_IC = ("adora", "ador", "ación", "adoras", "adores", "aciones", "ante",
+                "antes", "ancia", "ancias")
+_ES_STEP1_LOG = ("logía", "logías")
+_ES_STEP1_U = ("ución", "uciones")
+_ES_STEP1_ENTE = ("encia", "encias")
+_ES_STEP1_IDAD = ("idad", "idades")
+_ES_STEP1_IV = ("iva", "ivo", "ivas", "ivos")
+_ES_STEP1_ALL = (_ES_STEP1_PLAIN + _ES_STEP1_IC + _ES_STEP1_LOG + _ES_STEP1_U
+                 + _ES_STEP1_ENTE + ("amente", "mente") + _ES_STEP1_IDAD + _ES_STEP1_IV)
+_ES_STEP2A = ("ya", "ye", "yan", "yen", "yeron", "yendo", "yo", "yó", "yas", "yes",
+              "yais", "yamos")
+_ES_STEP2B_GU = ("en", "es", "éis", "emos")
+_ES_STEP2B = (
+    "arían", "arías", "arán", "arás", "aríais", "aría", "aréis", "aríamos", "aremos",
+    "ará", "aré", "erían", "erías", "erán", "erás", "eríais", "ería", "eréis", "eríamos",
+    "eremos", "erá", "eré", "irían", "irías", "irán", "irás", "iríais", "iría", "iréis",
+    "iríamos", "iremos", "irá", "iré", "aba", "ada", "ida", "ía", "ara", "iera", "ad",
+    "ed", "id", "ase", "iese", "aste", "iste", "an", "aban", "ían", "aran", "ieran",
+    "asen", "iesen", "aron", "ieron", "ado", "ido", "ando", "iendo", "ió", "ar", "er",
+    "ir", "as", "abas", "adas", "idas", "ías", "aras", "ieras", "ases", "ieses", "ís",
+    "áis", "abais", "íais", "arais", "ierais", "aseis", "ieseis", "asteis", "isteis",
+    "ados", "idos", "amos", "ábamos", "íamos", "imos", "áramos", "iéramos", "iésemos",
+    "ásemos")
+_ES_RESIDUAL = ("os", "a", "o", "á", "í", "ó", "e", "é")
+_ES_UNACCENT = str.maketrans("áéíóú", "aeiou")
+
+
+def _es_v(ch: str) -> bool:
+    return ch in _ES_VOWELS
+
+
+def _es_regions(w: str) -> tuple[int, int, int]:
+    n = len(w)
+
+    def gopast(start: int, vowel: bool) -> int | None:
+        i = start
+        while i < n:
+            if _es_v(w[i]) == vowel:
+                return i + 1
+            i += 1
+        return None
+
+    rv = n
+    if n >= 2:
+        if _es_v(w[0]):
+            found = None
+            if not _es_v(w[1]):
+                found = gopast(2, True)
+            if found is None:
+                found = gopast(1, False)
+            rv = found if found is not None else n
+        else:
+            found = None
+            if not _es_v(w[1]):
+                found = gopast(2, True)
+            if found is None and _es_v(w[1]):
+                found = 3 if n >= 3 else None
+            rv = found if found is not None else n
+
+    def after_vc(start: int) -> int:
+        a = gopast(start, True)
+        if a is None:
+            return n
+        b = gopast(a, False)
+        return n if b is None else b
+
+    r1 = after_vc(0)
+    r2 = after_vc(r1)
+    return rv, r1, r2
+
+
+def _longest_in_region(w: str, suffixes, start: int) -> str | None:
+    """Longest suffix of ``w`` in ``suffixes`` lying entirely at or after ``start``."""
+    best = None
+    for s in suffixes:
+        if w.endswith(s) and len(w) - len(s) >= start and (best is None or len(s) > len(best)):
+            best = s
+    return best
+
+
+def stem_spanish(word: str) -> str:
+    word = word.strip().lower()
+    if len(word) <= 2:
+        return word
+    w = word
+    rv, r1, r2 = _es_regions(w)
+
+    # Step 0: attached pronoun after a verb form lying in RV.
+    pron = _longest_in_region(w, _ES_PRONOUNS, rv)
+    if pron is not None:
+        before = w[: -len(pron)]
+        verb = _longest_in_region(before, _ES_PRONOUN_VERBS, rv)
+        if verb is not None:
+            if verb == "yendo":
+                if before[: -len(verb)].endswith("u"):
+                    w = before
+            else:
+                w = before[: -len(verb)] + _ES_PRONOUN_VERBS[verb]
+
+    # Step 1: standard suffixes.
+    removed = False
+    suf = _longest_suffix(w, _ES_STEP1_ALL)
+    if suf is not None:
+        start = len(w) - len(suf)
+        if suf in _ES_STEP1_PLAIN:
+            if start >= r2:
+                w, removed = w[:start], True
+        elif suf in _ES_STEP1_IC:
+            if start >= r2:
+                w, removed = w[:start], True
+                if w.endswith("ic") and len(w) - 2 >= r2:
+                    w = w[:-2]
+        elif suf in _ES_STEP1_LOG:
+            if start >= r2:
+                w, removed = w[:start] + "log", True
+        elif suf in _ES_STEP1_U:
+            if start >= r2:
+                w, removed = w[:start] + "u", True
+        elif suf in _ES_STEP1_ENTE:
+            if start >= r2:
+                w, removed = w[:start] + "ente", True
+        elif suf == "amente":
+            if start >= r1:
+                w, removed = w[:start], True
+                tail = _longest_suffix(w, ("iv", "os", "ic", "ad"))
+                if tail is not None and len(w) - len(tail) >= r2:
+                    w = w[: -len(tail)]
+                    if tail == "iv" and w.endswith("at") and len(w) - 2 >= r2:
+                        w = w[:-2]
+        elif suf == "mente":
+            if start >= r2:
+                w, removed = w[:start], True
+                tail = _longest_suffix(w, ("ante", "able", "ible"))
+                if tail is not None and len(w) - len(tail) >= r2:
+                    w = w[: -len(tail)]
+        elif suf in _ES_STEP1_IDAD:
+            if start >= r2:
+                w, removed = w[:start], True
+                tail = _longest_suffix(w, ("abil", "ic", "iv"))
+                if tail is not None and len(w) - len(tail) >= r2:
+                    w = w[: -len(tail)]
+        elif suf in _ES_STEP1_IV:
+            if start >= r2:
+                w, removed = w[:start], True
+                if w.endswith("at") and len(w) - 2 >= r2:
+                    w = w[:-2]
+
+    if not removed:
+        # Step 2a: verb suffixes beginning with y, preceded by u.
+        suf = _longest_in_region(w, _ES_STEP2A, rv)
+        done = False
+        if suf is not None and w[: -len(suf)].endswith("u"):
+            w, done = w[: -len(suf)], True
+        if not done:
+            # Step 2b: other verb suffixes.
+            suf = _longest_in_region(w, _ES_STEP2B_GU + _ES_STEP2B, rv)
+            if suf is not None:
+                w = w[: -len(suf)]
+                if suf in _ES_STEP2B_GU and w.endswith("gu"):
+                    w = w[:-1]
+
+    # Step 3: residual suffix.
+    suf = _longest_suffix(w, _ES_RESIDUAL)
+    if suf is not None and len(w) - len(suf) >= rv:
+        w = w[: -len(suf)]
+        if suf in ("e", "é") and w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+
+    return w.translate(_ES_UNACCENT)
+
+
+def stem(word: str, language: str) -> str:
+    """Stem ``word`` in ``english`` or ``spanish``; anything else is English."""
+    if language == "spanish":
+        return stem_spanish(word)
+    return stem_english(word)
