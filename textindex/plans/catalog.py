@@ -247,3 +247,134 @@ def q_batch_search_topk(spark, sf_dir):
     queries = read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), "text")
     return batch_search(corpus_index(spark, sf_dir), queries, k=10)
+
+
+# --------------------------------------------------------------------------
+# Web pages, links and URLs
+# --------------------------------------------------------------------------
+
+from textindex.functions import html as H  # noqa: E402
+from textindex.functions import urls as U  # noqa: E402
+from textindex.operators.web import page_documents, page_links  # noqa: E402
+
+
+@register("html_title", f"SELECT page_id, {S.html_title('html')} AS title FROM pages")
+def q_html_title(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", H.html_title("html").alias("title"))
+
+
+@register("html_text", f"SELECT page_id, {S.visible_text('html')} AS text FROM pages")
+def q_html_text(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", H.visible_text("html").alias("text"))
+
+
+@register("html_min_length", f"""
+SELECT page_id, url, CAST(octet_length(encode(t)) AS INTEGER) AS n_bytes
+FROM (SELECT page_id, url, {S.visible_text('html')} AS t FROM pages)
+WHERE octet_length(encode(t)) >= 100""")
+def q_html_min_length(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url",
+                                                      H.visible_text("html").alias("t"))
+    return (pages.filter(H.has_min_content(F.col("t")))
+            .select("page_id", "url", F.octet_length("t").cast("int").alias("n_bytes")))
+
+
+@register("raw_word_count", f"SELECT page_id, {S.word_count('html')} AS n_words FROM pages")
+def q_raw_word_count(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select(
+        "page_id", T.word_count("html").cast("bigint").alias("n_words"))
+
+
+@register("url_parts", f"""
+SELECT page_id, {S.scheme('url')} AS scheme, {S.hostname('url')} AS host,
+       {S.url_path('url')} AS path, {S.raw_query('url')} AS query,
+       {S.robots_path('url')} AS robots_path FROM pages""")
+def q_url_parts(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select(
+        "page_id", U.scheme("url").alias("scheme"), U.hostname("url").alias("host"),
+        U.path("url").alias("path"), U.raw_query("url").alias("query"),
+        U.robots_path("url").alias("robots_path"))
+
+
+_LINKS_SQL = f"""
+SELECT page_id, url AS base, CAST(unnest(range(0, len(h))) AS INTEGER) AS link_pos, unnest(h) AS href
+FROM (SELECT page_id, url, {S.hrefs('html')} AS h FROM pages)"""
+
+
+@register("links_same_host", f"""
+SELECT page_id, link_pos, href, link FROM (
+  SELECT page_id, base, link_pos, href, {S.resolve('base', 'href')} AS link FROM ({_LINKS_SQL}))
+WHERE link IS NOT NULL AND link <> '' AND {S.hostname('link')} = {S.hostname('base')}""")
+def q_links_same_host(spark, sf_dir):
+    return page_links(read_table(spark, sf_dir, "pages"))
+
+
+# Every href is also rewritten into relative forms so that each resolution
+# branch is exercised on the whole table.
+_VARIANTS_SPARK = [
+    ("as_is", lambda h, host: h),
+    ("relative", lambda h, host: F.regexp_replace(h, "^/", "")),
+    ("parent", lambda h, host: F.concat(F.lit("../x/.."), h)),
+    ("dot", lambda h, host: F.concat(F.lit("./"), F.regexp_replace(h, "^/", ""))),
+    ("net_path", lambda h, host: F.concat(F.lit("//"), host, h)),
+    ("query", lambda h, host: F.concat(F.lit("?q="), F.regexp_replace(h, "^/", ""))),
+    ("fragment", lambda h, host: F.concat(F.lit("#"), F.regexp_replace(h, "^/", ""))),
+]
+_VARIANTS_SQL = [
+    ("as_is", "href"),
+    ("relative", "regexp_replace(href, '^/', '')"),
+    ("parent", "'../x/..' || href"),
+    ("dot", "'./' || regexp_replace(href, '^/', '')"),
+    ("net_path", f"'//' || {S.hostname('base')} || href"),
+    ("query", "'?q=' || regexp_replace(href, '^/', '')"),
+    ("fragment", "'#' || regexp_replace(href, '^/', '')"),
+]
+
+
+@register("resolve_url", f"""
+SELECT page_id, link_pos, variant, ref, {S.resolve('base', 'ref')} AS link FROM (
+  SELECT page_id, base, link_pos, v.variant, v.ref FROM ({_LINKS_SQL}) l,
+  LATERAL (VALUES {", ".join(f"('{n}', {e})" for n, e in _VARIANTS_SQL)}) v(variant, ref))""")
+def q_resolve_url(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    links = pages.select("page_id", F.col("url").alias("base"),
+                         F.posexplode(H.hrefs("html")).alias("link_pos", "href"))
+    variants = F.array(*[F.struct(F.lit(n).alias("variant"),
+                                  fn(F.col("href"), U.hostname(F.col("base"))).alias("ref"))
+                         for n, fn in _VARIANTS_SPARK])
+    v = links.select("page_id", "base", "link_pos", F.explode(variants).alias("v"))
+    return v.select("page_id", "link_pos", "v.variant", "v.ref",
+                    U.resolve(F.col("base"), F.col("v.ref")).alias("link"))
+
+
+_WEB_DOCS_SQL = f"""web AS (
+  SELECT doc_id, source_type, url, title, content FROM (
+    SELECT page_id AS doc_id, 'web' AS source_type, url, {S.html_title('html')} AS title,
+           {S.visible_text('html')} AS content,
+           row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn
+    FROM pages)
+  WHERE rn = 1 AND octet_length(encode(content)) >= 100)"""
+
+
+@register("web_postings", f"""WITH {_WEB_DOCS_SQL},
+toks AS (SELECT doc_id, unnest(t) AS term, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos
+         FROM (SELECT doc_id, {S.terms('content')} AS t FROM web))
+SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf,
+       string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+FROM toks GROUP BY term, doc_id""")
+def q_web_postings(spark, sf_dir):
+    docs = page_documents(read_table(spark, sf_dir, "pages"))
+    idx = build_index(docs, text_col="content")
+    return idx.postings.select("term", "doc_id", "tf", joined_ints("positions").alias("positions"))
+
+
+@register("union_sources", f"""WITH {_WEB_DOCS_SQL}, files AS ({S.CORPUS_DOCS})
+SELECT source_type, doc_id, url, title, CAST(octet_length(encode(content)) AS INTEGER) AS n_bytes
+FROM (SELECT source_type, doc_id, url, title, content FROM files
+      UNION ALL SELECT source_type, doc_id, url, title, content FROM web)""")
+def q_union_sources(spark, sf_dir):
+    files = corpus_documents(spark, sf_dir).select("source_type", "doc_id", "url", "title", "content")
+    web = page_documents(read_table(spark, sf_dir, "pages"))
+    return (files.unionByName(web.select(*files.columns))
+            .select("source_type", "doc_id", "url", "title",
+                    F.octet_length("content").cast("int").alias("n_bytes")))

@@ -68,3 +68,98 @@ DOC_PATH = "(source || '/' || CAST(doc_id AS VARCHAR) || '.txt')"
 CORPUS_DOCS = (f"SELECT doc_id, 'file' AS source_type, {DOC_PATH} AS url, "
                f"{title_from_text('text', DOC_PATH)} AS title, text AS content, "
                f"{DOC_PATH} AS file_path, lang FROM documents")
+
+
+# ---------------------------------------------------------------------------
+# HTML and URL mirrors (textindex.functions.html / textindex.functions.urls)
+# ---------------------------------------------------------------------------
+
+from textindex.functions import html as H  # noqa: E402
+from textindex.functions import urls as U  # noqa: E402
+
+
+def decode_entities(expr: str) -> str:
+    for ent, ch in H.ENTITIES:
+        expr = f"replace({expr}, {sql_str(ent)}, {sql_str(ch)})"
+    return expr
+
+
+def html_title(html: str) -> str:
+    return trim_go(decode_entities(f"regexp_extract({html}, {sql_str(H.TITLE_PATTERN)}, 1)"))
+
+
+def visible_text(html: str) -> str:
+    out = f"regexp_extract({html}, {sql_str(H.BODY_PATTERN)}, 1)"
+    for pattern, repl in H.TEXT_STEPS:
+        out = f"regexp_replace({out}, {sql_str(pattern)}, {sql_str(repl)}, 'g')"
+    return collapse_ws(decode_entities(out))
+
+
+def hrefs(html: str) -> str:
+    return (f"list_transform(regexp_extract_all({html}, {sql_str(H.HREF_PATTERN)}, 1), "
+            f"lambda h: {decode_entities('h')})")
+
+
+def scheme(u: str) -> str:
+    return f"regexp_extract({u}, {sql_str(U.SCHEME_RE)}, 1)"
+
+
+def authority(u: str) -> str:
+    return f"regexp_extract({u}, {sql_str(U.AUTHORITY_RE)}, 1)"
+
+
+def hostname(u: str) -> str:
+    h = f"regexp_extract({authority(u)}, {sql_str(U.HOST_RE)}, 1)"
+    return f"regexp_replace({h}, '^\\[|\\]$', '', 'g')"
+
+
+def url_path(u: str) -> str:
+    return f"regexp_extract({u}, {sql_str(U.PATH_RE)}, 1)"
+
+
+def raw_query(u: str) -> str:
+    return f"regexp_extract({u}, {sql_str(U.QUERY_RE)}, 1)"
+
+
+def robots_path(u: str) -> str:
+    q = raw_query(u)
+    return f"(CASE WHEN {q} <> '' THEN {url_path(u)} || '?' || {q} ELSE {url_path(u)} END)"
+
+
+def remove_dot_segments(p: str) -> str:
+    segs = f"string_split(substring({p}, 2), '/')"
+    folded = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '.' THEN acc "
+              f"WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') "
+              f"ELSE acc || '/' || s END, '')")
+    out = (f"(CASE WHEN list_last({segs}) IN ('.', '..') AND NOT ends_with({folded}, '/') "
+           f"THEN {folded} || '/' ELSE {folded} END)")
+    return f"(CASE WHEN {out} = '' THEN '/' ELSE {out} END)"
+
+
+def _merge(base: str, ref_path: str) -> str:
+    bp = url_path(base)
+    dir_ = f"(CASE WHEN {bp} = '' THEN '/' ELSE regexp_extract({bp}, '^(.*/)', 1) END)"
+    return f"((CASE WHEN {dir_} = '' THEN '/' ELSE {dir_} END) || {ref_path})"
+
+
+def resolve(base: str, href: str) -> str:
+    origin = f"({scheme(base)} || '://' || {authority(base)})"
+    nofrag = f"regexp_extract({base}, {sql_str(U.NO_FRAGMENT_RE)}, 1)"
+    ref_path = f"regexp_extract({href}, '^([^?#]*)', 1)"
+    ref_suffix = f"regexp_extract({href}, {sql_str(U.SUFFIX_RE)}, 1)"
+    resolved = f"""(CASE
+      WHEN starts_with({href}, 'http') THEN {href}
+      WHEN regexp_matches({href}, {sql_str(U.SCHEME_RE)}) THEN {href}
+      WHEN starts_with({href}, '//') THEN {scheme(base)} || ':' || {href}
+      WHEN {href} = '' THEN {nofrag}
+      WHEN starts_with({href}, '#') THEN {nofrag} || {href}
+      WHEN starts_with({href}, '?') THEN {origin} || {url_path(base)} || {href}
+      WHEN starts_with({href}, '/') THEN {origin} || {remove_dot_segments(ref_path)} || {ref_suffix}
+      ELSE {origin} || {remove_dot_segments(_merge(base, ref_path))} || {ref_suffix} END)"""
+    valid = f"({scheme(base)} <> '' AND {authority(base)} <> '')"
+    return f"(CASE WHEN {valid} OR starts_with({href}, 'http') THEN {resolved} END)"
+
+
+def word_count(expr: str) -> str:
+    return (f"CAST(len(list_filter(regexp_split_to_array({expr}, '{WHITESPACE_CLASS}+'), "
+            f"lambda x: x <> '')) AS BIGINT)")
