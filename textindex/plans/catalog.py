@@ -378,3 +378,88 @@ def q_union_sources(spark, sf_dir):
     return (files.unionByName(web.select(*files.columns))
             .select("source_type", "doc_id", "url", "title",
                     F.octet_length("content").cast("int").alias("n_bytes")))
+
+
+# --------------------------------------------------------------------------
+# Robots and crawl
+# --------------------------------------------------------------------------
+
+from textindex.operators.crawl import crawl, crawl_schedule, crawl_summary  # noqa: E402
+from textindex.operators.robots import robots_decision, robots_rules  # noqa: E402
+from textindex.plans import sql_crawl as SC  # noqa: E402
+from textindex.sources.robots import derived_robots  # noqa: E402
+
+CRAWL_MAX_DEPTH = 2
+
+
+def _robots(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    rules, delays = robots_rules(derived_robots(pages))
+    return pages, rules, delays
+
+
+@register("robots_rules", "WITH " + SC.robots_ctes() + """
+SELECT host, grp, kind, pattern, line_no FROM applied_rules""")
+def q_robots_rules(spark, sf_dir):
+    return _robots(spark, sf_dir)[1].select("host", "grp", "kind", "pattern", "line_no")
+
+
+@register("robots_delays", "WITH " + SC.robots_ctes() + """
+SELECT host, grp, crawl_delay FROM applied_delays""")
+def q_robots_delays(spark, sf_dir):
+    return _robots(spark, sf_dir)[2]
+
+
+def _decision_query(mode):
+    def fn(spark, sf_dir):
+        pages, rules, delays = _robots(spark, sf_dir)
+        return (robots_decision(pages.select("page_id", "url"), rules, delays,
+                                key_col="page_id", mode=mode)
+                .select("page_id", "url", "host", "robots_path", "allowed", "crawl_delay"))
+    return fn
+
+
+for _mode, _name in (("reference", "robots_decision"), ("longest", "robots_decision_longest")):
+    register(_name, "WITH " + SC.robots_ctes() + f"""
+SELECT page_id, url, host, robots_path, allowed, crawl_delay
+FROM {SC.decision_sql('(SELECT page_id, url FROM pages)', 'page_id', _mode)}""")(
+        _decision_query(_mode))
+
+
+def _crawl(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    seeds = pages.select("url")
+    return crawl(seeds, pages, derived_robots(pages), max_depth=CRAWL_MAX_DEPTH)
+
+
+_CRAWL_SQL = SC.crawl_ctes(CRAWL_MAX_DEPTH)
+
+
+@register("crawl_frontier", _CRAWL_SQL + "\nSELECT url, depth FROM report")
+def q_crawl_frontier(spark, sf_dir):
+    return _crawl(spark, sf_dir).frontier.select("url", F.col("depth").cast("int").alias("depth"))
+
+
+@register("crawl_report", _CRAWL_SQL + """
+SELECT url, depth, allowed, found, status_code, title, status FROM report""")
+def q_crawl_report(spark, sf_dir):
+    r = _crawl(spark, sf_dir).report
+    return r.select("url", F.col("depth").cast("int").alias("depth"), "allowed", "found",
+                    "status_code", "title", "status")
+
+
+@register("crawl_summary", _CRAWL_SQL + """
+SELECT status, count(*) AS n_pages FROM report GROUP BY status""")
+def q_crawl_summary(spark, sf_dir):
+    return crawl_summary(_crawl(spark, sf_dir).report)
+
+
+@register("crawl_schedule", _CRAWL_SQL + """
+SELECT host, url, depth, slot, (slot - 1) * crawl_delay AS fetch_offset_s FROM (
+  SELECT host, url, depth, crawl_delay,
+         row_number() OVER (PARTITION BY host ORDER BY depth, url) AS slot
+  FROM report WHERE allowed)""")
+def q_crawl_schedule(spark, sf_dir):
+    s = crawl_schedule(_crawl(spark, sf_dir).report)
+    return s.select("host", "url", F.col("depth").cast("int").alias("depth"), "slot",
+                    "fetch_offset_s")
