@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textindex.functions import text as T
-from textindex.functions.stopwords import ENGLISH, SPANISH, stopwords
+from textindex.functions.stopwords import ENGLISH, SPANISH, language_column
 from textindex.operators.analyze import analyze
 from textindex.operators.index import build_index, build_postings
 from textindex.operators.search import (batch_search, score_documents, search,
@@ -463,3 +463,96 @@ def q_crawl_schedule(spark, sf_dir):
     s = crawl_schedule(_crawl(spark, sf_dir).report)
     return s.select("host", "url", F.col("depth").cast("int").alias("depth"), "slot",
                     "fetch_offset_s")
+
+
+# --------------------------------------------------------------------------
+# Incremental re-index
+# --------------------------------------------------------------------------
+
+from textindex.plans.store import changed_documents, reindex  # noqa: E402
+
+# The stored index holds the English documents as of 2024-01-04, in an older
+# wording (vowels rotated); the incoming scan holds every document with a
+# modification time derived from its length.
+STORED_AT = "2024-01-04 00:00:00"
+OLD_WORDING = ("aeiou", "uoiea")
+
+
+def _incoming(spark, sf_dir):
+    docs = corpus_documents(spark, sf_dir)
+    mtime = F.date_add(F.lit("2024-01-01").cast("date"),
+                       F.pmod(F.length("content"), F.lit(7)).cast("int")).cast("timestamp")
+    return docs.withColumn("modified_at", mtime)
+
+
+def _stored_index(spark, sf_dir):
+    old = (corpus_documents(spark, sf_dir).filter(F.col("lang") == "en")
+           .withColumn("content", F.translate("content", *OLD_WORDING))
+           .withColumn("modified_at", F.lit(STORED_AT).cast("timestamp")))
+    return build_index(old, text_col="content")
+
+
+_INCOMING_SQL = f"""incoming AS (
+  SELECT *, CAST(DATE '2024-01-01' + CAST(length(content) % 7 AS INTEGER) AS TIMESTAMP) AS modified_at
+  FROM ({S.CORPUS_DOCS}))"""
+
+
+@register("changed_docs", f"""WITH {_INCOMING_SQL}
+SELECT i.file_path, i.doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' ELSE 'modified' END AS change
+FROM incoming i LEFT JOIN (SELECT doc_id, file_path FROM ({S.CORPUS_DOCS}) WHERE lang = 'en') s
+  ON i.file_path = s.file_path
+WHERE s.doc_id IS NULL OR i.modified_at > TIMESTAMP '{STORED_AT}'""")
+def q_changed_docs(spark, sf_dir):
+    stored = _stored_index(spark, sf_dir).documents
+    return changed_documents(_incoming(spark, sf_dir), stored).select("file_path", "doc_id", "change")
+
+
+@register("delete_reindex", f"""WITH {_INCOMING_SQL},
+final_docs AS (
+  SELECT doc_id, CASE WHEN lang = 'en' AND modified_at <= TIMESTAMP '{STORED_AT}'
+                      THEN translate(content, '{OLD_WORDING[0]}', '{OLD_WORDING[1]}')
+                      ELSE content END AS content
+  FROM incoming),
+toks AS (SELECT doc_id, unnest(t) AS term, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos
+         FROM (SELECT doc_id, {S.terms('content')} AS t FROM final_docs))
+SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf,
+       string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+FROM toks GROUP BY term, doc_id""")
+def q_delete_reindex(spark, sf_dir):
+    idx = reindex(_stored_index(spark, sf_dir), _incoming(spark, sf_dir))
+    return idx.postings.select("term", "doc_id", "tf", joined_ints("positions").alias("positions"))
+
+
+# --------------------------------------------------------------------------
+# C4, G3 stemmed, B6: checked on rows by the driver and by golden tests
+# --------------------------------------------------------------------------
+
+from textindex.operators.search import search_envelope  # noqa: E402
+from textindex.operators.stemming import stem_vocabulary  # noqa: E402
+
+STEMMED_QUERY_TEXT = "threes ing bles running"
+
+
+@register("stem_vocabulary")
+def q_stem_vocabulary(spark, sf_dir):
+    terms = analyze(corpus_documents(spark, sf_dir).withColumn(
+        "language", language_column(F.col("lang"))), "content", ("doc_id", "language"),
+        lang_col="lang")
+    return stem_vocabulary(terms)
+
+
+@register("analyze_stemmed")
+def q_analyze_stemmed(spark, sf_dir):
+    return analyze(read_table(spark, sf_dir, "documents"), "text", ("doc_id",),
+                   lang_col="lang", stem=True)
+
+
+@register("search_stemmed")
+def q_search_stemmed(spark, sf_dir):
+    return search(corpus_index(spark, sf_dir, stem=True), STEMMED_QUERY_TEXT, page=1,
+                  limit=10, stem=True)
+
+
+@register("search_envelope")
+def q_search_envelope(spark, sf_dir):
+    return search_envelope(corpus_index(spark, sf_dir), QUERY_TEXT, page=1, limit=10)
