@@ -20,6 +20,7 @@ from textindex.operators.index import build_index, build_postings
 from textindex.operators.search import (batch_search, score_documents, search,
                                         search_total)
 from textindex.plans import sqlparts as S
+from textindex.session import ensure_checkpoint_dir, tune_session
 from textindex.sources.tables import corpus_documents, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,13 @@ LOOKUP_TERMS = ("thre", "ing", "ble")
 
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune_session(spark)
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = run.__qualname__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

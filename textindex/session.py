@@ -22,6 +22,29 @@ DEFAULT_CONF = {
 }
 
 
+# SQL settings that can change on a running session; applied by every
+# registered query, since callers may hand us their own session.
+# Static broadcast decisions use size *estimates*, which are unreliable after
+# explode/aggregate and could ship a huge side through the driver; they are
+# disabled. AQE converts a join to broadcast only from *measured* shuffle sizes,
+# and explicit broadcast() hints remain on sides with a proven bound (query
+# terms, one-row stats).
+RUNTIME_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "textindex") -> SparkSession:
     """Return the active session, or build one with the defaults above."""
@@ -40,6 +63,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.driver.memory", driver_mem)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune_session(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
