@@ -28,11 +28,13 @@ def page_documents(pages: DataFrame, id_col: str = "page_id",
         F.col("url"),
         H.html_title(F.col("html")).alias("title"),
         H.visible_text(F.col("html")).alias("content"))
-    docs = docs.filter(H.has_min_content(F.col("content"), min_bytes))
-    latest = Window.partitionBy("url").orderBy(F.col("doc_id").desc())
+    # Filtering directly on ``content`` would be pushed below the projection
+    # with the regex chain inlined, evaluating it twice. Instead the window
+    # ranks long-enough pages first and the filter stays above it.
+    docs = docs.withColumn("_long", H.has_min_content(F.col("content"), min_bytes))
+    latest = Window.partitionBy("url").orderBy(F.col("_long").desc(), F.col("doc_id").desc())
     return (docs.withColumn("_n", F.row_number().over(latest))
-            .filter(F.col("_n") == 1).drop("_n"))
-
+            .filter((F.col("_n") == 1) & F.col("_long")).drop("_n", "_long"))
 
 def page_links(pages: DataFrame, id_col: str = "page_id", same_host: bool = True,
                encode: bool = False) -> DataFrame:
