@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from textindex.functions import html as H
 from textindex.operators.ranking import row_number_within
 from textindex.operators.robots import robots_decision, robots_rules
-from textindex.operators.web import page_links
+from textindex.operators.web import same_host_links
 from textindex.session import ensure_checkpoint_dir
 from textindex.sources.robots import USER_AGENT
 
@@ -57,39 +57,44 @@ def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, max_depth: int
         raise ValueError("max_depth must be >= 0")
     ensure_checkpoint_dir(seeds.sparkSession)
     rules, delays = robots_rules(robots, user_agent)
-    snapshot = _snapshot(pages)
-    frontier = seeds.select("url").filter(F.col("url").isNotNull()).distinct() \
-        .withColumn("depth", F.lit(0))
-    visited = frontier.select("url")
-    reports, reached = [], []
     if lineage_cut:
-        frontier = frontier.checkpoint(eager=True)
+        # Small (one row per rule / host) and used by every round.
+        rules, delays = rules.checkpoint(eager=True), delays.checkpoint(eager=True)
+    snapshot = _snapshot(pages).withColumn("found", F.lit(True))
+    frontier = (seeds.select("url").filter(F.col("url").isNotNull()).distinct()
+                .withColumn("depth", F.lit(0)))
+    visited = None
+    rounds = []
     for depth in range(max_depth + 1):
-        reached.append(frontier)
         decided = robots_decision(frontier, rules, delays, key_col="url", mode=mode)
-        fetched = (decided.join(snapshot.withColumn("found", F.lit(True)), "url", "left")
+        fetched = (decided.join(snapshot, "url", "left")
                    .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
         allowed_found = F.col("allowed") & F.col("found")
-        reports.append(fetched.select(
+        # One pass over the fetched pages yields the report row and the links
+        # to expand; the html itself is never materialized again.
+        expand = allowed_found & F.lit(depth < max_depth)
+        done = fetched.select(
             "url", "depth", "allowed", "found",
             F.when(allowed_found, F.col("status_code")).alias("status_code"),
             F.when(allowed_found, H.html_title(F.col("html"))).alias("title"),
             status_label(F.col("allowed"), F.col("found"), F.col("status_code")).alias("status"),
-            "crawl_delay", "host"))
+            "crawl_delay", "host",
+            F.when(expand, same_host_links(F.col("url"), F.col("html")))
+            .otherwise(F.array().cast("array<string>")).alias("links"))
+        if lineage_cut:
+            done = done.checkpoint(eager=True)
+        rounds.append(done)
+        seen = done.select("url")
+        visited = seen if visited is None else visited.unionByName(seen)
         if depth == max_depth:
             break
-        expand = fetched.filter(allowed_found).select(F.col("url").alias("page_id"), "url", "html")
-        links = page_links(expand, id_col="page_id").select(F.col("link").alias("url")).distinct()
+        links = done.select(F.explode("links").alias("url")).distinct()
         frontier = links.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
-        if lineage_cut:
-            frontier = frontier.checkpoint(eager=True)
-        visited = visited.unionByName(frontier.select("url"))
-    report = reports[0]
-    for r in reports[1:]:
+    report = rounds[0]
+    for r in rounds[1:]:
         report = report.unionByName(r)
-    front = reached[0]
-    for r in reached[1:]:
-        front = front.unionByName(r)
+    report = report.drop("links")
+    front = report.select("url", "depth")
     return CrawlResult(report=report, frontier=front)
 
 

@@ -36,6 +36,15 @@ def page_documents(pages: DataFrame, id_col: str = "page_id",
     return (docs.withColumn("_n", F.row_number().over(latest))
             .filter((F.col("_n") == 1) & F.col("_long")).drop("_n", "_long"))
 
+def same_host_links(base, html) -> F.Column:
+    """C11 + C12 + D4 as one array expression: resolved same-host links of a page."""
+    base = F.col(base) if isinstance(base, str) else base
+    html = F.col(html) if isinstance(html, str) else html
+    resolved = F.transform(H.hrefs(html), lambda h: U.resolve(base, h))
+    return F.filter(resolved, lambda l: l.isNotNull() & (l != F.lit(""))
+                    & (U.hostname(l) == U.hostname(base)))
+
+
 def page_links(pages: DataFrame, id_col: str = "page_id", same_host: bool = True,
                encode: bool = False) -> DataFrame:
     """C11 + C12 + D4: ``(page_id, link_pos, href, link)`` for every resolvable href.
