@@ -84,12 +84,14 @@ def analyzed_terms(text, language: str | None = ENGLISH, stopword_list=None,
 def title_from_text(text, path) -> Column:
     """First line that is non-blank after trimming, else the file's base name.
 
-    ``get`` (not ``element_at``) so an all-blank text yields null instead of an
-    error under ANSI mode.
+    One anchored regex: skip leading whitespace (blank lines included), take the
+    rest of that line, trim its end. No per-line split of the whole text.
     """
-    lines = F.transform(F.split(_col(text), "\n"), lambda l: trim_go(l))
-    first = F.get(F.filter(lines, lambda l: l != F.lit("")), 0)
-    return F.coalesce(first, F.element_at(F.split(_col(path), "/"), -1))
+    first = trim_go(F.regexp_extract(_col(text), FIRST_LINE_PATTERN, 1))
+    return F.coalesce(F.nullif(first, F.lit("")), F.element_at(F.split(_col(path), "/"), -1))
+
+
+FIRST_LINE_PATTERN = f"^{WHITESPACE_CLASS}*([^\n]*)"
 
 
 def trim_go(c) -> Column:

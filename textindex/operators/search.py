@@ -150,7 +150,9 @@ def batch_scores(index: Index, queries: DataFrame, total_documents: int | None =
                .crossJoin(F.broadcast(n))
                .select("query_id", "term",
                        (F.col("qtf") * idf(F.col("df"), F.col("total_documents"))).alias("weight")))
-    return (index.postings.select("term", "doc_id", "tf")
+    # The semi-join is pushed below the postings aggregation, so only tokens of
+    # query terms are aggregated and shuffled.
+    return (index.postings.join(needed, "term", "left_semi").select("term", "doc_id", "tf")
             .join(weights, "term")
             .groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("tf") * F.col("weight")).alias("score")))

@@ -54,8 +54,9 @@ def collapse_ws(expr: str) -> str:
 
 
 def title_from_text(text: str, path: str) -> str:
-    lines = f"list_transform(string_split({text}, chr(10)), lambda l: {trim_go('l')})"
-    return f"coalesce(list_filter({lines}, lambda l: l <> '')[1], string_split({path}, '/')[-1])"
+    from textindex.functions.text import FIRST_LINE_PATTERN
+    first = trim_go(f"regexp_extract({text}, {sql_str(FIRST_LINE_PATTERN)}, 1)")
+    return f"coalesce(nullif({first}, ''), string_split({path}, '/')[-1])"
 
 
 def idf(df: str, n: str) -> str:
