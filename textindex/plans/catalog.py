@@ -249,6 +249,23 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, title, url, score
 FROM ranked JOIN docs USING (doc_id) WHERE rank <= 10"""
 
 
+def _batch_sql(query_source: str) -> str:
+    return _BATCH_SQL.replace(
+        "SELECT item_id AS query_id, unnest(" + S.terms('text') + ") AS term FROM benchmark",
+        f"SELECT query_id, unnest({S.terms('text')}) AS term FROM ({query_source})")
+
+
+# Every conversation turn as a query; the id packs (conv_id, turn).
+_CONV_QUERIES_SQL = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations"
+
+
+@register("batch_search_conversations", _batch_sql(_CONV_QUERIES_SQL))
+def q_batch_search_conversations(spark, sf_dir):
+    queries = read_table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return batch_search(corpus_index(spark, sf_dir), queries, k=10)
+
+
 @register("batch_search_topk", _BATCH_SQL)
 def q_batch_search_topk(spark, sf_dir):
     queries = read_table(spark, sf_dir, "benchmark").select(
