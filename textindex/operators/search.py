@@ -38,19 +38,19 @@ def _total_documents(index: Index, total_documents: int | None) -> DataFrame:
     if total_documents is not None:
         return index.stats.sparkSession.range(1).select(
             F.lit(int(total_documents)).cast("long").alias("total_documents"))
-    return index.stats.select("total_documents")
+    # Counted from the documents alone: ``stats`` also carries the distinct-term
+    # count, which would drag a full postings aggregation into the plan.
+    return index.documents.agg(F.count(F.lit(1)).alias("total_documents"))
 
 
-def term_weights(index: Index, qtf: dict[str, int], total_documents: int | None = None) -> DataFrame:
+def term_weights(df_by_term: DataFrame, qtf: dict[str, int], n: DataFrame) -> DataFrame:
     """E2 + E7 + C15: ``(term, weight = qtf * idf)`` for the query's terms.
 
     At most one row per distinct query term, so it is safe to broadcast.
     """
     terms = sorted(qtf)
     qtf_map = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(int(qtf[t])))])
-    ts = index.term_stats.filter(F.col("term").isin(terms))
-    n = _total_documents(index, total_documents)
-    return (ts.crossJoin(F.broadcast(n))
+    return (df_by_term.crossJoin(F.broadcast(n))
             .select("term", (idf(F.col("df"), F.col("total_documents"))
                              * F.element_at(qtf_map, F.col("term"))).alias("weight")))
 
@@ -58,14 +58,24 @@ def term_weights(index: Index, qtf: dict[str, int], total_documents: int | None
 def score_documents(index: Index, query: str, language: str | None = ENGLISH,
                     stopword_list=None, stem: bool = False,
                     total_documents: int | None = None) -> DataFrame:
-    """E1 + F5: ``(doc_id, score)`` for every document containing a query term."""
+    """E1 + F5: ``(doc_id, score)`` for every document containing a query term.
+
+    The matching postings are shuffled once by ``doc_id`` (the key of the score
+    aggregate). Document frequencies of the query terms are counted from that
+    same exchange (partial counts per task, one row per term after), so the
+    postings are produced once and a frequent term never lands in one task.
+    """
     qtf = query_term_counts(query, language=language, stopword_list=stopword_list,
                             do_stem=stem)
     spark = index.postings.sparkSession
     if not qtf:
         return spark.createDataFrame([], "doc_id long, score double")
-    weights = term_weights(index, qtf, total_documents)
-    matches = index.postings.filter(F.col("term").isin(sorted(qtf))).select("term", "doc_id", "tf")
+    matches = (index.postings.filter(F.col("term").isin(sorted(qtf)))
+               .select("term", "doc_id", "tf").repartition("doc_id"))
+    # count(tf), not count(*): both branches then read identical columns from
+    # the exchange, which lets Spark reuse it instead of recomputing postings.
+    df_by_term = matches.groupBy("term").agg(F.count("tf").alias("df"))
+    weights = term_weights(df_by_term, qtf, _total_documents(index, total_documents))
     return (matches.join(F.broadcast(weights), "term")
             .groupBy("doc_id")
             .agg(F.sum(F.col("tf") * F.col("weight")).alias("score")))

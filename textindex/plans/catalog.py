@@ -159,7 +159,8 @@ n AS (SELECT count(*) AS n FROM documents)
 SELECT term, df, round({S.idf('df', 'n')}, 6) AS idf FROM dfs CROSS JOIN n""")
 def q_idf(spark, sf_dir):
     idx = corpus_index(spark, sf_dir)
-    return (idx.term_stats.crossJoin(F.broadcast(idx.stats.select("total_documents")))
+    n = idx.documents.agg(F.count(F.lit(1)).alias("total_documents"))
+    return (idx.term_stats.crossJoin(F.broadcast(n))
             .select("term", "df", F.round(T.idf(F.col("df"), F.col("total_documents")), 6)
                     .alias("idf")))
 
