@@ -31,8 +31,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     as one task. On a large table the scan already has more splits than cores
     and this returns ``df`` unchanged (no extra shuffle).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): keep the scan
+        return df
+    if splits >= cores:
         return df
     return df.repartition(cores, key)
 
