@@ -114,8 +114,11 @@ def previous_ids(docs: DataFrame) -> DataFrame:
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"))
+    # the id is read back from the key: both uses of the texts then ask for the
+    # same columns, and share one shuffle
+    first = F.lit(-(1 << 63))
+    base = docs.select(F.coalesce("doc_id", first).alias("k"),
+                       F.coalesce("text", F.lit("")).alias("text"))
     ids = previous_ids(base.select("k", F.floor(F.length("text") / 2).cast("int").alias("half"),
                                    F.xxhash64("text").alias("h")))
     own = (base.join(ids, "k")
@@ -125,14 +128,14 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
                          F.struct(F.left("text", "prev_half").alias("head"),
                                   F.col("fp").alias("next_fp")).alias("next"))
                  .groupBy("k").agg(F.max("next").alias("next")))
-    both = (own.select("k", "doc_id", "text", "fp").join(following, "k", "left")
+    both = (own.select("k", "text", "fp").join(following, "k", "left")
             .withColumn("n_chars", F.length("text"))
             .withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
             .withColumn("edited", F.concat(F.left("text", F.col("n_chars") - F.col("half")),
                                            F.left("next.head", "half")))
             .withColumn("edited_fp", fingerprint(paragraphs(F.col("edited")))))
     return both.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
+        F.nullif("k", first).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
