@@ -1,16 +1,20 @@
 """HTML title, visible text and links as regex column expressions.
 
-There is no HTML parser here. The cleanup is a fixed chain of regex rewrites that
-both Spark (Java regex) and the DuckDB oracle (RE2) evaluate identically: only
-constructs common to both engines are used (no backreferences, no ``\\s``).
+There is no HTML parser here. Comments, scripts, styles and noscript elements are
+cut out first, in one pass from left to right, so that none of them can hide or
+fake a tag; then the body is found (the whole document without its head, if there
+is no body tag), and tags and character references are resolved.
 
 Divergences from a tree builder, by design: block-level tags become a space
 (a tree's text would glue ``<li>a</li><li>b</li>`` into ``ab``), and
-script/style/noscript are dropped at any depth.
+script/style/noscript are dropped at any depth. Named references need their
+semicolon.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,44 +22,73 @@ from textindex.functions.text import collapse_whitespace, trim_go
 
 _SP = r"[ \t\n\r\f]"
 
-# Named and numeric character references decoded in text, in
-# application order; "&amp;" comes last so "&amp;lt;" stays "&lt;".
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&middot;", "·"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
-]
+# Named character references come from the standard library's table of them.
+_NAMED = {name.removesuffix(";"): text for name, text in html5.items() if name.endswith(";")}
+REFERENCE_PATTERN = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+# What numeric references 128-159 stand for.
+_WINDOWS_1252 = ("€ \x81 ‚ ƒ „ … † ‡ ˆ ‰ Š ‹ Œ \x8d Ž \x8f \x90 ‘ ’ “ ” • – — ˜ ™ š › œ \x9d ž Ÿ")
 
 # Tags that separate text blocks (replaced by a space).
 BLOCK_TAGS = ("address article aside blockquote br dd div dl dt figcaption figure footer "
               "form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody "
               "td tfoot th thead tr ul").split()
 
+
+def _element(tag: str) -> str:
+    return rf"<{tag}\b[^>]*>.*?(?:</{tag}{_SP}*>|\z)"
+
+
 TITLE_PATTERN = r"(?is)<title\b[^>]*>(.*?)</title" + _SP + "*>"
+HIDDEN_PATTERN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(map(_element, ("script", "style", "noscript")))
 BODY_PATTERN = r"(?is)<body\b[^>]*>(.*?)(?:</body" + _SP + r"*>|\z)"
-HREF_PATTERN = r"(?is)<a\b[^>]*?" + _SP + r"href" + _SP + r"*=" + _SP + r'*"([^"]*)"'
-
-# Ordered (pattern, replacement) rewrites from a body to its visible text.
-TEXT_STEPS = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script" + _SP + "*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style" + _SP + "*>", " "),
-    (r"(?is)<noscript\b[^>]*>.*?</noscript" + _SP + "*>", " "),
-    (r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")\b[^>]*>", " "),
-    (r"</?[A-Za-z][^>]*>", ""),
-]
+BODY_TAG_PATTERN = r"(?i)<body\b[^>]*>"
+HEAD_PATTERN = r"(?is)<!doctype[^>]*>|" + _element("head") + "|" + _element("title")
+HREF_PATTERN = (r"(?is)<a\b[^>]*?" + _SP + "href" + _SP + "*=" + _SP
+                + r"""*("[^"]*"|'[^']*'|[^ \t\n\r\f"'>]+)""")
+BLOCK_PATTERN = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
+TAG_PATTERN = r"</?[A-Za-z][^>]*>"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _literal_array(values: list[str]) -> Column:
+    """An array literal, folded once: joined by a character that no value has."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; U+FFFD for those that are none."""
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    mapped = F.get(_literal_array(_WINDOWS_1252.split(" ")), (number - 128).cast("int"))
+    return (F.when(number.between(128, 159), mapped).when(valid, plain)
+            .otherwise(F.lit("�")))
+
+
+def _reference(ref: Column) -> Column:
+    """What one reference (with its ``&`` and ``;``) stands for."""
+    body = F.regexp_replace(ref, "^&|;$", "")
+    hexed = F.conv(F.regexp_extract(body, "^#[xX]0*([0-9A-Fa-f]{1,8})$", 1), 16, 10)
+    plain = F.regexp_extract(body, "^#0*([0-9]{1,9})$", 1)
+    number = F.coalesce(F.nullif(hexed, F.lit("")), F.nullif(plain, F.lit(""))).cast("bigint")
+    named = F.element_at(F.map_from_arrays(_literal_array(list(_NAMED)), _literal_array(
+        [_NAMED[n] for n in _NAMED])), body)
+    return (F.when(~body.startswith("#"), F.coalesce(named, ref))
+            .when(body.rlike("^#[xX]?0+$") | number.isNull(), F.lit("�"))
+            .otherwise(_character(number)))
+
+
 def decode_entities(c) -> Column:
-    out = _col(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references resolved in one pass, so ``&amp;lt;`` gives ``&lt;``."""
+    text = _col(c)
+    pieces = F.split(text, REFERENCE_PATTERN, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0)), _reference)
+    joined = F.array_join(F.zip_with(pieces, found, lambda p, r: F.concat(
+        p, F.coalesce(r, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def html_title(html) -> Column:
@@ -63,16 +96,22 @@ def html_title(html) -> Column:
     return trim_go(decode_entities(F.regexp_extract(_col(html), TITLE_PATTERN, 1)))
 
 
+def without_hidden(html) -> Column:
+    """The document without comments, scripts, styles and noscript elements."""
+    return F.regexp_replace(_col(html), HIDDEN_PATTERN, " ")
+
+
 def html_body(html) -> Column:
-    return F.regexp_extract(_col(html), BODY_PATTERN, 1)
+    """What is inside the body; all but the head, if there is no body tag."""
+    shown = without_hidden(html)
+    return (F.when(F.rlike(shown, F.lit(BODY_TAG_PATTERN)), F.regexp_extract(shown, BODY_PATTERN, 1))
+            .otherwise(F.regexp_replace(shown, HEAD_PATTERN, " ")))
 
 
 def visible_text(html) -> Column:
     """The body's visible text with whitespace runs collapsed to one space."""
-    out = html_body(html)
-    for pattern, repl in TEXT_STEPS:
-        out = F.regexp_replace(out, pattern, repl)
-    return collapse_whitespace(decode_entities(out))
+    out = F.regexp_replace(html_body(html), BLOCK_PATTERN, " ")
+    return collapse_whitespace(decode_entities(F.regexp_replace(out, TAG_PATTERN, "")))
 
 
 def has_min_content(text, min_bytes: int = 100) -> Column:
@@ -81,6 +120,8 @@ def has_min_content(text, min_bytes: int = 100) -> Column:
 
 
 def hrefs(html) -> Column:
-    """C11: every ``<a href="...">`` value in document order, entities decoded."""
-    return F.transform(F.regexp_extract_all(_col(html), F.lit(HREF_PATTERN), 1),
-                       lambda h: decode_entities(h))
+    """C11: every ``<a href>`` value in document order, quoted either way or bare,
+    entities decoded."""
+    return F.transform(
+        F.regexp_extract_all(without_hidden(html), F.lit(HREF_PATTERN), F.lit(1)),
+        lambda h: decode_entities(F.regexp_replace(h, "^[\"']|[\"']$", "")))

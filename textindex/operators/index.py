@@ -8,6 +8,9 @@ An index is four DataFrames:
   skewed per-term collection.
 * ``term_stats(term, df)``: document frequency, always re-aggregated.
 * ``stats(total_documents, total_terms, last_indexed_at)``: one row, derived.
+
+An index built in this session also keeps its ``tokens(doc_id, pos, term)``, so a
+search can filter them to its own terms before any aggregation.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ class Index:
     postings: DataFrame
     term_stats: DataFrame
     stats: DataFrame
+    tokens: DataFrame | None = None
 
 
 def build_postings(terms: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -58,18 +62,30 @@ def index_stats(documents: DataFrame, term_stats: DataFrame,
             else F.lit(None).cast("timestamp"))
     docs = documents.agg(F.count(F.lit(1)).alias("total_documents"),
                          last.alias("last_indexed_at"))
+    # one row, so it is broadcast whatever the join settings are
     terms = term_stats.agg(F.count(F.lit(1)).alias("total_terms"))
-    return docs.crossJoin(terms).select("total_documents", "total_terms", "last_indexed_at")
+    return (docs.crossJoin(F.broadcast(terms))
+            .select("total_documents", "total_terms", "last_indexed_at"))
 
 
 def build_index(documents: DataFrame, text_col: str = "content", language: str | None = ENGLISH,
                 stopword_list=None, lang_col: str | None = None, stem: bool = False,
-                pattern: str = TOKEN_PATTERN, indexed_at_col: str | None = None) -> Index:
-    """G1: analyze every document and derive postings, term_stats and stats."""
+                pattern: str = TOKEN_PATTERN, indexed_at_col: str | None = None,
+                indexed_at=None) -> Index:
+    """G1: analyze every document and derive postings, term_stats and stats.
+
+    ``indexed_at`` (a timestamp or its text) is the time that the documents are
+    stamped with, passed in so that a run can be repeated; documents that carry
+    their own time keep it in ``indexed_at_col``.
+    """
+    if indexed_at is not None:
+        documents = documents.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp"))
+        indexed_at_col = "indexed_at"
     terms = analyze(documents, text_col=text_col, id_cols=("doc_id",), language=language,
                     stopword_list=stopword_list, lang_col=lang_col, stem=stem, pattern=pattern)
     postings = build_postings(terms)
     term_stats = doc_frequency(postings)
     stats = index_stats(documents, term_stats, indexed_at_col)
-    return Index(documents=documents, postings=postings, term_stats=term_stats, stats=stats)
+    return Index(documents=documents, postings=postings, term_stats=term_stats, stats=stats,
+                 tokens=terms)
 

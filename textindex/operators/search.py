@@ -1,9 +1,8 @@
 """TF-IDF search over an index.
 
 score(doc) = sum over the query's terms (with repetition) of tf * ln(1 + N/df).
-Scoring only ever touches postings rows of the query's terms; the filter on
-``term`` is pushed below the postings aggregation (or into the parquet scan of a
-stored index) by Catalyst.
+Scoring only ever touches tokens or postings of the queries' terms: the filter on
+``term`` comes before the aggregation, or reaches the parquet scan of a stored index.
 """
 
 from __future__ import annotations
@@ -16,8 +15,10 @@ from textindex.functions.stopwords import ENGLISH
 from textindex.functions.text import idf
 from textindex.operators.analyze import analyze
 from textindex.operators.index import Index
+from textindex.session import ensure_checkpoint_dir
 
 SCORE_DIGITS = 6
+BROADCAST_BYTES = 16 << 20
 RESULT_COLUMNS = ("doc_id", "title", "url", "score")
 
 
@@ -55,26 +56,34 @@ def term_weights(df_by_term: DataFrame, qtf: dict[str, int], n: DataFrame) -> Da
                              * F.element_at(qtf_map, F.col("term"))).alias("weight")))
 
 
+def _matches(index: Index, keep) -> DataFrame:
+    """``(term, doc_id, tf)`` of the postings that ``keep`` selects, written once.
+
+    ``keep`` is applied to single tokens, before any aggregation, so only tokens
+    of query terms are shuffled (by ``doc_id``, which spreads a frequent term) and
+    counted. The result goes to the checkpoint folder: frequencies and scores both
+    read it, and the corpus is tokenized once.
+    """
+    ensure_checkpoint_dir(index.postings.sparkSession)
+    if index.tokens is None:
+        found = keep(index.postings).select("term", "doc_id", "tf").repartition("doc_id")
+    else:
+        found = (keep(index.tokens).select("term", "doc_id").repartition("doc_id")
+                 .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
+    return found.checkpoint(eager=True)
+
+
 def score_documents(index: Index, query: str, language: str | None = ENGLISH,
                     stopword_list=None, stem: bool = False,
                     total_documents: int | None = None) -> DataFrame:
-    """E1 + F5: ``(doc_id, score)`` for every document containing a query term.
-
-    The matching postings are shuffled once by ``doc_id`` (the key of the score
-    aggregate). Document frequencies of the query terms are counted from that
-    same exchange (partial counts per task, one row per term after), so the
-    postings are produced once and a frequent term never lands in one task.
-    """
-    qtf = query_term_counts(query, language=language, stopword_list=stopword_list,
-                            do_stem=stem)
+    """E1 + F5: ``(doc_id, score)`` for every document containing a query term."""
+    qtf = query_term_counts(query, language=language, stopword_list=stopword_list, do_stem=stem)
     spark = index.postings.sparkSession
     if not qtf:
-        return spark.createDataFrame([], "doc_id long, score double")
-    matches = (index.postings.filter(F.col("term").isin(sorted(qtf)))
-               .select("term", "doc_id", "tf").repartition("doc_id"))
-    # count(tf), not count(*): both branches then read identical columns from
-    # the exchange, which lets Spark reuse it instead of recomputing postings.
-    df_by_term = matches.groupBy("term").agg(F.count("tf").alias("df"))
+        kind = index.documents.schema["doc_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"doc_id {kind}, score double")
+    matches = _matches(index, lambda rows: rows.filter(F.col("term").isin(sorted(qtf))))
+    df_by_term = matches.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = term_weights(df_by_term, qtf, _total_documents(index, total_documents))
     return (matches.join(F.broadcast(weights), "term")
             .groupBy("doc_id")
@@ -82,12 +91,18 @@ def score_documents(index: Index, query: str, language: str | None = ENGLISH,
 
 
 def scored_documents(index: Index, query: str, **kwargs) -> DataFrame:
-    """Scores joined to their documents; ids without a document vanish."""
+    """``(doc_id, score)`` of matching documents that exist."""
     scores = score_documents(index, query, **kwargs)
-    docs = index.documents.select("doc_id", "title", "url")
-    return (scores.join(docs, "doc_id")
-            .select("doc_id", "title", "url",
-                    F.round("score", SCORE_DIGITS).alias("score")))
+    return (scores.join(index.documents.select("doc_id"), "doc_id", "left_semi")
+            .select("doc_id", F.round("score", SCORE_DIGITS).alias("score")))
+
+
+def _with_documents(index: Index, top: DataFrame) -> DataFrame:
+    """``top`` with title and url. The semi-join goes below the projection that
+    derives titles, so only the documents of ``top`` get one."""
+    docs = (index.documents.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi")
+            .select("doc_id", "title", "url"))
+    return top.join(docs, "doc_id")
 
 
 def rank_order():
@@ -105,7 +120,8 @@ def search(index: Index, query: str, page=1, limit=10, **kwargs) -> DataFrame:
     ordered = scored_documents(index, query, **kwargs).orderBy(*rank_order())
     top = ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
     # The page is at most ``limit`` rows in one partition; numbering it is free.
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())) + offset)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())) + offset)
+    return _with_documents(index, top).select("doc_id", "title", "url", "score", "rank")
 
 
 def search_total(index: Index, query: str, **kwargs) -> DataFrame:
@@ -131,7 +147,7 @@ def search_envelope(index: Index, query: str, page=1, limit=10, **kwargs) -> Dat
         F.when(F.size("data") > 0, F.col("data")).alias("data"),
         F.lit(page_i).alias("page"), F.lit(limit_i).alias("limit"),
         F.col("total").cast("int").alias("total"))
-    return data.crossJoin(total).select(F.to_json(body).alias("response"))
+    return data.crossJoin(F.broadcast(total)).select(F.to_json(body).alias("response"))
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text",
@@ -144,27 +160,41 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
             .agg(F.count(F.lit(1)).alias("qtf")))
 
 
+def _small(df: DataFrame, text_col: str) -> bool:
+    """Whether ``df``, counted, is small enough to broadcast."""
+    size = df.agg(F.count(F.lit(1)).alias("n"),
+                  F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
+    return size["b"] + 64 * size["n"] <= BROADCAST_BYTES
+
+
 def batch_scores(index: Index, queries: DataFrame, total_documents: int | None = None,
-                 **kwargs) -> DataFrame:
+                 salts: int = 16, **kwargs) -> DataFrame:
     """``(query_id, doc_id, score)`` for a whole table of queries.
 
-    The query-term side joins postings on ``term``. AQE picks broadcast or a
-    shuffle join from the measured size, and splits a skewed term partition
-    (one term may hold a large share of all postings).
+    Tokens are filtered to the queries' terms before anything is aggregated. The
+    query side is broadcast when its counted size allows; the matched postings then
+    stay where they are, dealt by ``doc_id``, and so do the scores. Beyond that
+    size both joins shuffle, with a frequent term's postings split by document
+    into ``salts`` parts and the small weight rows repeated for each.
     """
-    qt = query_terms(queries, **kwargs)
+    ensure_checkpoint_dir(queries.sparkSession)
+    qt = query_terms(queries, **kwargs).checkpoint(eager=True)
     needed = qt.select("term").distinct()
-    ts = index.term_stats.join(needed, "term", "left_semi")
-    n = _total_documents(index, total_documents)
-    weights = (qt.join(ts, "term")
-               .crossJoin(F.broadcast(n))
+    small = _small(qt, "term")
+    side = F.broadcast(needed) if small else needed
+    matches = _matches(index, lambda rows: rows.join(side, "term", "left_semi"))
+    dfs = matches.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = (qt.join(dfs, "term")
+               .crossJoin(F.broadcast(_total_documents(index, total_documents)))
                .select("query_id", "term",
                        (F.col("qtf") * idf(F.col("df"), F.col("total_documents"))).alias("weight")))
-    # The semi-join is pushed below the postings aggregation, so only tokens of
-    # query terms are aggregated and shuffled.
-    return (index.postings.join(needed, "term", "left_semi").select("term", "doc_id", "tf")
-            .join(weights, "term")
-            .groupBy("query_id", "doc_id")
+    if small:
+        joined = matches.join(F.broadcast(weights), "term")
+    else:
+        parts = weights.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        joined = (matches.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+                  .join(parts, ["term", "salt"]))
+    return (joined.groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("tf") * F.col("weight")).alias("score")))
 
 
@@ -174,13 +204,13 @@ def batch_search(index: Index, queries: DataFrame, k: int = 10,
 
     ``row_number() <= k`` plans as a WindowGroupLimit that keeps k rows per query
     in each task before the shuffle, so a query matching millions of documents
-    sends only k rows per task.
+    sends only k rows per task. Titles are derived for the winners alone.
     """
     scores = (batch_scores(index, queries, total_documents=total_documents, **kwargs)
               .withColumn("score", F.round("score", SCORE_DIGITS)))
     w = Window.partitionBy("query_id").orderBy(*rank_order())
-    top = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    # Only k rows per query reach the document join.
-    docs = index.documents.select("doc_id", "title", "url")
-    return (top.join(docs, "doc_id")
-            .select("query_id", "rank", "doc_id", "title", "url", "score"))
+    top = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+           .checkpoint(eager=True))
+    docs = (index.documents.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+            .select("doc_id", "title", "url"))
+    return top.join(docs, "doc_id").select("query_id", "rank", "doc_id", "title", "url", "score")

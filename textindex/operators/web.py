@@ -36,28 +36,27 @@ def page_documents(pages: DataFrame, id_col: str = "page_id",
     return (docs.withColumn("_n", F.row_number().over(latest))
             .filter((F.col("_n") == 1) & F.col("_long")).drop("_n", "_long"))
 
+
 def same_host_links(base, html) -> F.Column:
     """C11 + C12 + D4 as one array expression: resolved same-host links of a page."""
     base = F.col(base) if isinstance(base, str) else base
     html = F.col(html) if isinstance(html, str) else html
     resolved = F.transform(H.hrefs(html), lambda h: U.resolve(base, h))
-    return F.filter(resolved, lambda l: l.isNotNull() & (l != F.lit(""))
+    return F.filter(resolved, lambda l: l.isNotNull() & (l != F.lit("")) & U.is_valid(l)
                     & (U.hostname(l) == U.hostname(base)))
 
 
-def page_links(pages: DataFrame, id_col: str = "page_id", same_host: bool = True,
-               encode: bool = False) -> DataFrame:
+def page_links(pages: DataFrame, id_col: str = "page_id", same_host: bool = True) -> DataFrame:
     """C11 + C12 + D4: ``(page_id, link_pos, href, link)`` for every resolvable href.
 
     Links whose hostname differs from the page's (ports ignored, case-sensitive)
-    are dropped when ``same_host``; hrefs that do not resolve are dropped.
+    are dropped when ``same_host``; hrefs that do not resolve or parse are dropped.
     """
     links = pages.select(F.col(id_col).alias("page_id"), F.col("url").alias("base"),
                          F.posexplode(H.hrefs(F.col("html"))).alias("link_pos", "href"))
     links = links.withColumn("link", U.resolve(F.col("base"), F.col("href")))
-    links = links.filter(F.col("link").isNotNull() & (F.col("link") != F.lit("")))
+    links = links.filter(F.col("link").isNotNull() & (F.col("link") != F.lit(""))
+                         & U.is_valid(F.col("link")))
     if same_host:
         links = links.filter(U.hostname(F.col("link")) == U.hostname(F.col("base")))
-    if encode:
-        links = links.withColumn("link", U.encode_non_ascii(F.col("link")))
     return links.select("page_id", "link_pos", "href", "link")

@@ -1,7 +1,7 @@
 """Registered queries: each reads the data folder's tables and returns a DataFrame.
 
 ``QUERIES[name](spark, sf_dir)`` is the Spark plan; ``ORACLES[name]`` is the
-independent DuckDB SQL over the same parquet tables. Computed columns carry the
+DuckDB SQL over the same parquet tables. Computed columns carry the
 same aliases on both sides; arrays are compared as joined strings and scores
 rounded to six places.
 """
@@ -20,7 +20,6 @@ from textindex.operators.index import build_index, build_postings
 from textindex.operators.search import (batch_search, score_documents, search,
                                         search_total)
 from textindex.plans import sqlparts as S
-from textindex.session import ensure_checkpoint_dir, tune_session
 from textindex.sources.tables import corpus_documents, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -36,13 +35,7 @@ LOOKUP_TERMS = ("thre", "ing", "ble")
 
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tune_session(spark)
-            ensure_checkpoint_dir(spark)
-            return fn(spark, sf_dir)
-        run.__name__ = run.__qualname__ = fn.__name__
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -256,14 +249,15 @@ def _batch_sql(query_source: str) -> str:
         f"SELECT query_id, unnest({S.terms('text')}) AS term FROM ({query_source})")
 
 
-# Every conversation turn as a query; the id packs (conv_id, turn).
-_CONV_QUERIES_SQL = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations"
+# Every conversation turn as a query; the id is "conv_id/turn".
+_CONV_QUERIES_SQL = "SELECT conv_id || '/' || turn AS query_id, text FROM conversations"
 
 
 @register("batch_search_conversations", _batch_sql(_CONV_QUERIES_SQL))
 def q_batch_search_conversations(spark, sf_dir):
     queries = read_table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        .alias("query_id"), "text")
     return batch_search(corpus_index(spark, sf_dir), queries, k=10)
 
 

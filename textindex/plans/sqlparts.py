@@ -1,13 +1,17 @@
-"""DuckDB SQL fragments for the oracle queries (mirrors of the Spark expressions).
+"""DuckDB SQL fragments for the oracle queries.
 
-These are only used to build the independent oracle SQL that checks our Spark
-plans; nothing in the library executes them.
+They are only used to build the SQL that checks our Spark plans; nothing in the
+library executes them. Word lists are shared with the library; patterns and rules
+are written here a second time.
 """
 
 from __future__ import annotations
 
 from textindex.functions.stopwords import stopwords
-from textindex.functions.text import TOKEN_PATTERN, WHITESPACE_CLASS
+
+TOKEN_PATTERN = "[A-Za-z]+"
+WHITESPACE_CLASS = (r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def sql_str(s: str) -> str:
@@ -54,8 +58,8 @@ def collapse_ws(expr: str) -> str:
 
 
 def title_from_text(text: str, path: str) -> str:
-    from textindex.functions.text import FIRST_LINE_PATTERN
-    first = trim_go(f"regexp_extract({text}, {sql_str(FIRST_LINE_PATTERN)}, 1)")
+    lines = f"list_transform(string_split({text}, chr(10)), lambda l: {trim_go('l')})"
+    first = f"coalesce(list_filter({lines}, lambda l: l <> '')[1], '')"
     return f"coalesce(nullif({first}, ''), string_split({path}, '/')[-1])"
 
 
@@ -72,92 +76,135 @@ CORPUS_DOCS = (f"SELECT doc_id, 'file' AS source_type, {DOC_PATH} AS url, "
 
 
 # ---------------------------------------------------------------------------
-# HTML and URL mirrors (textindex.functions.html / textindex.functions.urls)
+# HTML and URLs, written for DuckDB from the semantics: nothing here is imported
+# from the Spark expressions that it checks.
 # ---------------------------------------------------------------------------
 
-from textindex.functions import html as H  # noqa: E402
-from textindex.functions import urls as U  # noqa: E402
+# The named references that the test pages and their variants hold.
+_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
+          "middot": "·", "copy": "©", "reg": "®", "eacute": "é", "hellip": "…"}
 
 
 def decode_entities(expr: str) -> str:
-    for ent, ch in H.ENTITIES:
-        expr = f"replace({expr}, {sql_str(ent)}, {sql_str(ch)})"
-    return expr
+    named = " ".join(f"WHEN {sql_str('&' + n + ';')} THEN {sql_str(t)}" for n, t in _NAMES.items())
+    ref = "'&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);'"
+    one = (f"CASE r {named} ELSE CASE "
+           f"WHEN regexp_matches(r, '^&#[0-9]+;$') THEN chr(CAST(regexp_extract(r, '[0-9]+') AS INTEGER)) "
+           f"WHEN regexp_matches(r, '^&#[xX]') THEN "
+           f"chr(CAST('0x' || regexp_extract(r, '^&#[xX]([0-9A-Fa-f]+)', 1) AS INTEGER)) "
+           f"ELSE r END END")
+    return (f"list_reduce(list_transform(string_split_regex({expr}, {ref}), lambda p, i: p || coalesce("
+            f"list_transform(regexp_extract_all({expr}, {ref}), lambda r: {one})[i], '')), "
+            f"lambda a, b: a || b)")
 
 
 def html_title(html: str) -> str:
-    return trim_go(decode_entities(f"regexp_extract({html}, {sql_str(H.TITLE_PATTERN)}, 1)"))
+    return trim_go(decode_entities(
+        f"regexp_extract({html}, '(?is)<title[^a-z>]*[^>]*>(.*?)</title[ \\t\\r\\n\\f]*>', 1)"))
+
+
+def shown(html: str) -> str:
+    return (f"regexp_replace({html}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
+            f"|<noscript\\b.*?</noscript\\s*>', ' ', 'g')")
 
 
 def visible_text(html: str) -> str:
-    out = f"regexp_extract({html}, {sql_str(H.BODY_PATTERN)}, 1)"
-    for pattern, repl in H.TEXT_STEPS:
-        out = f"regexp_replace({out}, {sql_str(pattern)}, {sql_str(repl)}, 'g')"
-    return collapse_ws(decode_entities(out))
+    body = (f"(CASE WHEN regexp_matches({shown(html)}, '(?i)<body\\b') "
+            f"THEN split_part(regexp_extract({shown(html)}, '(?is)<body[^>]*>(.*)', 1), '</body>', 1) "
+            f"ELSE regexp_replace({shown(html)}, "
+            f"'(?is)<!doctype[^>]*>|<head\\b.*?</head>|<title\\b.*?</title>', ' ', 'g') END)")
+    blocks = ("address|article|aside|blockquote|br|d[dlt]|div|fig(?:ure|caption)|footer|form|h[1-6]|h[er]|header"
+              "|li|main|nav|[ou]l|p|pre|section|t(?:able|body|d|foot|h|head|r)")
+    out = f"regexp_replace({body}, '(?i)</?(?:{blocks})(?:[ \\t\\r\\n/][^>]*)?>', ' ', 'g')"
+    out = f"regexp_replace({out}, '</?[a-zA-Z][^>]*>', '', 'g')"
+    return (f"(SELECT {collapse_ws(decode_entities('shown_text'))} FROM (SELECT {out} AS shown_text))")
 
 
 def hrefs(html: str) -> str:
-    return (f"list_transform(regexp_extract_all({html}, {sql_str(H.HREF_PATTERN)}, 1), "
-            f"lambda h: {decode_entities('h')})")
+    pattern = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = f"regexp_extract_all({shown(html)}, {sql_str(pattern)}, 1)"
+    bare = "trim(h, '\"' || chr(39))"
+    for ref, text in (("&quot;", '"'), ("&#38;", "&"), ("&lt;", "<"), ("&amp;", "&")):
+        bare = f"replace({bare}, {sql_str(ref)}, {sql_str(text)})"
+    return f"list_transform({found}, lambda h: {bare})"
 
 
 def scheme(u: str) -> str:
-    return f"regexp_extract({u}, {sql_str(U.SCHEME_RE)}, 1)"
+    return (f"(CASE WHEN regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') "
+            f"THEN split_part({u}, ':', 1) ELSE '' END)")
 
 
 def authority(u: str) -> str:
-    return f"regexp_extract({u}, {sql_str(U.AUTHORITY_RE)}, 1)"
+    return f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 
 
 def hostname(u: str) -> str:
-    h = f"regexp_extract({authority(u)}, {sql_str(U.HOST_RE)}, 1)"
-    return f"regexp_replace({h}, '^\\[|\\]$', '', 'g')"
+    return (f"regexp_replace(regexp_extract({authority(u)}, '^(?:[^@]*@)?(\\[[^\\]]*\\]|[^:]*)', 1), "
+            f"'[\\[\\]]', '', 'g')")
 
 
 def url_path(u: str) -> str:
-    return f"regexp_extract({u}, {sql_str(U.PATH_RE)}, 1)"
+    return (f"regexp_replace(regexp_replace(regexp_replace({u}, '[?#].*$', '', 's'), "
+            f"'^[a-zA-Z][a-zA-Z0-9+.-]*:', ''), '^//[^/]*', '')")
 
 
 def raw_query(u: str) -> str:
-    return f"regexp_extract({u}, {sql_str(U.QUERY_RE)}, 1)"
+    return (f"(CASE WHEN contains(split_part({u}, '#', 1), '?') "
+            f"THEN regexp_replace(split_part({u}, '#', 1), '^[^?]*\\?', '', 's') ELSE '' END)")
 
 
 def robots_path(u: str) -> str:
-    q = raw_query(u)
-    return f"(CASE WHEN {q} <> '' THEN {url_path(u)} || '?' || {q} ELSE {url_path(u)} END)"
+    path = f"url_decode(replace({url_path(u)}, '+', '%2B'))"
+    return f"({path} || CASE WHEN {raw_query(u)} <> '' THEN '?' || {raw_query(u)} ELSE '' END)"
 
 
 def remove_dot_segments(p: str) -> str:
     segs = f"string_split(substring({p}, 2), '/')"
-    folded = (f"list_reduce({segs}, lambda acc, s: CASE WHEN s = '.' THEN acc "
-              f"WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') "
-              f"ELSE acc || '/' || s END, '')")
+    folded = (f"list_reduce({segs}, lambda acc, s: CASE s WHEN '.' THEN acc "
+              f"WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || s END, '')")
     out = (f"(CASE WHEN list_last({segs}) IN ('.', '..') AND NOT ends_with({folded}, '/') "
            f"THEN {folded} || '/' ELSE {folded} END)")
-    return f"(CASE WHEN {out} = '' THEN '/' ELSE {out} END)"
+    return f"coalesce(nullif({out}, ''), '/')"
+
+
+def encoded(part: str) -> str:
+    each = ("CASE WHEN regexp_matches(c, '^[A-Za-z0-9_.~$&+,/:;=@!()*%?#''\\[\\]-]$') THEN c "
+            "ELSE regexp_replace(upper(hex(encode(c))), '(..)', '%\\1', 'g') END")
+    return f"array_to_string(list_transform(regexp_extract_all({part}, '(?s).'), lambda c: {each}), '')"
 
 
 def _merge(base: str, ref_path: str) -> str:
-    bp = url_path(base)
-    dir_ = f"(CASE WHEN {bp} = '' THEN '/' ELSE regexp_extract({bp}, '^(.*/)', 1) END)"
-    return f"((CASE WHEN {dir_} = '' THEN '/' ELSE {dir_} END) || {ref_path})"
+    return f"(coalesce(nullif(regexp_extract({url_path(base)}, '^(.*/)', 1), ''), '/') || {ref_path})"
+
+
+def is_valid(u: str) -> str:
+    bare = (f"(regexp_replace(split_part({u}, '#', 1), '\\?.*$', '', 's') "
+            f"|| regexp_extract({u}, '(#.*)$', 1))")
+    host = f"regexp_extract({u}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)"
+    legal = r"""^([^@]*@)?(\[[^\]]*\]|[^: "<>\\^`{|}\[\]]*)(:[0-9]*)?$"""
+    return (f"(NOT regexp_matches({u}, '[\\x00-\\x1f\\x7f]') "
+            f"AND NOT contains(regexp_replace({bare}, '%[0-9a-fA-F][0-9a-fA-F]', '', 'g'), '%') "
+            f"AND ({scheme(u)} <> '' OR NOT contains(regexp_extract({u}, '^[^/?#]*'), ':')) "
+            f"AND regexp_matches({host}, {sql_str(legal)}))")
 
 
 def resolve(base: str, href: str) -> str:
     origin = f"({scheme(base)} || '://' || {authority(base)})"
-    nofrag = f"regexp_extract({base}, {sql_str(U.NO_FRAGMENT_RE)}, 1)"
-    ref_path = f"regexp_extract({href}, '^([^?#]*)', 1)"
-    ref_suffix = f"regexp_extract({href}, {sql_str(U.SUFFIX_RE)}, 1)"
+    nofrag = f"split_part({base}, '#', 1)"
+    ref_path = f"regexp_extract({href}, '^[^?#]*')"
+    rest = f"substring({href}, length({ref_path}) + 1)"
+    fragment = f"regexp_extract({rest}, '(#.*)$', 1)"
+    suffix = f"(split_part({rest}, '#', 1) || {encoded(fragment)})"
     resolved = f"""(CASE
       WHEN starts_with({href}, 'http') THEN {href}
-      WHEN regexp_matches({href}, {sql_str(U.SCHEME_RE)}) THEN {href}
-      WHEN starts_with({href}, '//') THEN {scheme(base)} || ':' || {href}
+      WHEN {scheme(href)} <> '' THEN {href}
+      WHEN starts_with({href}, '//') THEN {scheme(base)} || ':' || {encoded(ref_path)} || {suffix}
       WHEN {href} = '' THEN {nofrag}
-      WHEN starts_with({href}, '#') THEN {nofrag} || {href}
-      WHEN starts_with({href}, '?') THEN {origin} || {url_path(base)} || {href}
-      WHEN starts_with({href}, '/') THEN {origin} || {remove_dot_segments(ref_path)} || {ref_suffix}
-      ELSE {origin} || {remove_dot_segments(_merge(base, ref_path))} || {ref_suffix} END)"""
-    valid = f"({scheme(base)} <> '' AND {authority(base)} <> '')"
+      WHEN starts_with({href}, '#') THEN {nofrag} || {suffix}
+      WHEN starts_with({href}, '?') THEN {origin} || {encoded(url_path(base))} || {suffix}
+      WHEN starts_with({href}, '/') THEN {origin} || {encoded(remove_dot_segments(ref_path))} || {suffix}
+      ELSE {origin} || {encoded(remove_dot_segments(_merge(base, ref_path)))} || {suffix} END)"""
+    valid = f"({scheme(base)} <> '' AND {authority(base)} <> '' AND {is_valid(base)} AND {is_valid(href)})"
     return f"(CASE WHEN {valid} OR starts_with({href}, 'http') THEN {resolved} END)"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # joins become broadcasts by measured sizes (AQE), not by estimates, which
+    # explode and aggregate make unreliable
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -22,29 +27,6 @@ DEFAULT_CONF = {
 }
 
 
-# SQL settings that can change on a running session; applied by every
-# registered query, since callers may hand us their own session.
-# Static broadcast decisions use size *estimates*, which are unreliable after
-# explode/aggregate and could ship a huge side through the driver; they are
-# disabled. AQE converts a join to broadcast only from *measured* shuffle sizes,
-# and explicit broadcast() hints remain on sides with a proven bound (query
-# terms, one-row stats).
-RUNTIME_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-}
-
-
-def tune_session(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
-    return spark
-
-
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "textindex") -> SparkSession:
     """Return the active session, or build one with the defaults above."""
@@ -63,29 +45,24 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.driver.memory", driver_mem)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    tune_session(spark)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is used as is. Only when
-    it is unset (local tests) do we create a private folder.
+    On a cluster the setting must name storage that all executors share; without it
+    this raises. Only a local master, where driver and executors are one process,
+    gets a temporary folder instead.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textindex-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"

@@ -8,37 +8,16 @@ from pyspark.sql import functions as F
 from textindex.functions.text import title_from_text
 
 
-# Tables whose rows carry long texts: per-row CPU work (regexes, tokenizing)
-# dominates, so they must be spread over all cores even when stored as a few
-# large row groups.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
-               "benchmark": "item_id"}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               num_partitions: int | None = None) -> DataFrame:
     """``spark.read.parquet`` of ``<sf_dir>/<name>.parquet`` (lazy; pruning and
-    pushdown happen when a plan uses it)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = spread(df, TEXT_TABLES[name])
-    return df
+    pushdown happen when a plan uses it).
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition on ``key`` only when the scan has fewer splits than cores.
-
-    A parquet row group cannot be split, so a small table of long texts may scan
-    as one task. On a large table the scan already has more splits than cores
-    and this returns ``df`` unchanged (no extra shuffle).
+    ``num_partitions`` deals the rows out anew: for files whose few large row
+    groups a scan cannot split. Off by default, whatever the table's size.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): keep the scan
-        return df
-    if splits >= cores:
-        return df
-    return df.repartition(cores, key)
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if num_partitions is None else df.repartition(num_partitions)
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
