@@ -51,3 +51,9 @@ def test_schedule_offsets(spark):
     sched = {r.url: r.fetch_offset_s for r in crawl_schedule(res.report).collect()}
     assert sorted(sched.values()) == [float(i) for i in range(len(sched))]
     assert sched[H + "/"] == 0.0
+
+
+def test_stops_at_an_empty_frontier(spark):
+    res = _run(spark, 9)
+    depths = {r.url: r.depth for r in res.frontier.collect()}
+    assert depths[H + "/a/deeper"] == 3 and max(depths.values()) == 3

@@ -1,24 +1,24 @@
 """Crawling a page snapshot, its report and fetch schedule.
 
-The crawl is a breadth-first search with one round per depth (at most
-``max_depth + 1`` rounds, each a handful of joins): robots decision (E5), page
-lookup (E8), link extraction and resolution (C11, C12), same-host filter (D4)
-and the visited anti-join (D6, E6). Each round's frontier is written with a
-reliable ``checkpoint()`` so lineage stays short and a lost executor only
-recomputes the current round. Depth is the minimum depth at which a URL is
-reached.
+Titles and links are extracted in one pass over the pages, before anything is
+shuffled; what is written and joined is one narrow row per URL, never html. The
+crawl is a breadth-first search with one round per depth, until ``max_depth`` or an
+empty frontier: robots decision (E5), page lookup (E8), same-host filter (D4) and
+the visited anti-join (D6, E6). Each round is written with a reliable
+``checkpoint()``, so a lost executor recomputes the current round only. Depth is
+the minimum depth at which a URL is reached.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textindex.functions import html as H
 from textindex.operators.ranking import row_number_within
-from textindex.operators.robots import robots_decision, robots_rules
+from textindex.operators.robots import host_rules, robots_decision
 from textindex.operators.web import same_host_links
 from textindex.session import ensure_checkpoint_dir
 from textindex.sources.robots import USER_AGENT
@@ -31,14 +31,16 @@ class CrawlResult:
 
 
 def _snapshot(pages: DataFrame) -> DataFrame:
-    """One page per URL (highest id wins), with a status code (200 if not given)."""
+    """``(url, status_code, title, links)``: one page per URL (highest id wins), with
+    a status code (200 if not given)."""
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     id_col = "page_id" if "page_id" in pages.columns else "url"
-    latest = Window.partitionBy("url").orderBy(F.col("_id").desc())
-    return (pages.select("url", "html", status.cast("int").alias("status_code"),
-                         F.col(id_col).alias("_id"))
-            .withColumn("_n", F.row_number().over(latest))
-            .filter(F.col("_n") == 1).drop("_n", "_id"))
+    narrow = pages.select(
+        "url", F.col(id_col).alias("_id"),
+        F.struct(status.cast("int").alias("status_code"), H.html_title(F.col("html")).alias("title"),
+                 F.array_distinct(same_host_links(F.col("url"), F.col("html"))).alias("links"))
+        .alias("page"))
+    return narrow.groupBy("url").agg(F.max_by("page", "_id").alias("page")).select("url", "page.*")
 
 
 def status_label(allowed, found, status_code) -> F.Column:
@@ -50,52 +52,43 @@ def status_label(allowed, found, status_code) -> F.Column:
 
 
 def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame, max_depth: int = 1,
-          user_agent: str = USER_AGENT, mode: str = "reference",
-          lineage_cut: bool = True) -> CrawlResult:
+          user_agent: str = USER_AGENT, mode: str = "reference") -> CrawlResult:
     """Crawl ``seeds(url)`` over ``pages(url, html[, status_code])``."""
     if max_depth < 0:
         raise ValueError("max_depth must be >= 0")
     ensure_checkpoint_dir(seeds.sparkSession)
-    rules, delays = robots_rules(robots, user_agent)
-    if lineage_cut:
-        # Small (one row per rule / host) and used by every round.
-        rules, delays = rules.checkpoint(eager=True), delays.checkpoint(eager=True)
-    snapshot = _snapshot(pages).withColumn("found", F.lit(True))
+    hosts = host_rules(robots, user_agent).checkpoint(eager=True)
+    snapshot = _snapshot(pages).withColumn("found", F.lit(True)).checkpoint(eager=True)
     frontier = (seeds.select("url").filter(F.col("url").isNotNull()).distinct()
                 .withColumn("depth", F.lit(0)))
-    visited = None
-    rounds = []
+    visited, rounds = None, []
     for depth in range(max_depth + 1):
-        decided = robots_decision(frontier, rules, delays, key_col="url", mode=mode)
+        decided = robots_decision(frontier, hosts, mode=mode).drop("robots_path")
         fetched = (decided.join(snapshot, "url", "left")
                    .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
-        allowed_found = F.col("allowed") & F.col("found")
-        # One pass over the fetched pages yields the report row and the links
-        # to expand; the html itself is never materialized again.
-        expand = allowed_found & F.lit(depth < max_depth)
+        reached = F.col("allowed") & F.col("found")
         done = fetched.select(
             "url", "depth", "allowed", "found",
-            F.when(allowed_found, F.col("status_code")).alias("status_code"),
-            F.when(allowed_found, H.html_title(F.col("html"))).alias("title"),
+            F.when(reached, F.col("status_code")).alias("status_code"),
+            F.when(reached, F.col("title")).alias("title"),
             status_label(F.col("allowed"), F.col("found"), F.col("status_code")).alias("status"),
-            "crawl_delay", "host",
-            F.when(expand, same_host_links(F.col("url"), F.col("html")))
-            .otherwise(F.array().cast("array<string>")).alias("links"))
-        if lineage_cut:
-            done = done.checkpoint(eager=True)
+            "crawl_delay", "host", F.when(reached, F.col("links")).alias("links"))
+        done = done.checkpoint(eager=True)
         rounds.append(done)
         seen = done.select("url")
         visited = seen if visited is None else visited.unionByName(seen)
         if depth == max_depth:
             break
         links = done.select(F.explode("links").alias("url")).distinct()
-        frontier = links.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
+        frontier = (links.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
+                    .checkpoint(eager=True))
+        if frontier.isEmpty():
+            break
     report = rounds[0]
     for r in rounds[1:]:
         report = report.unionByName(r)
     report = report.drop("links")
-    front = report.select("url", "depth")
-    return CrawlResult(report=report, frontier=front)
+    return CrawlResult(report=report, frontier=report.select("url", "depth"))
 
 
 def crawl_summary(report: DataFrame) -> DataFrame:

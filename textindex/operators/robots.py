@@ -1,13 +1,14 @@
 """Robots.txt rules and decisions as relational jobs.
 
-Parsing is a chain of DataFrame steps over ``robots(host, robots_txt)``:
-lines -> directives -> current agent (fill-forward window) -> group rules ->
-group choice. Windows partition by host, i.e. by one robots file.
+One robots file is one row, so it is parsed inside the row: lines are split and
+folded into the rules of two groups (ours and ``*``), of which one applies. A
+host's rules are one row of arrays, bounded by its file, and targets meet them in
+a single join on ``host``, which Spark splits where a host has very many targets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textindex.functions import urls as U
@@ -17,107 +18,105 @@ from textindex.sources.robots import USER_AGENT
 # A crawl-delay value that parses as a decimal number.
 NUMBER_RE = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 OWN, STAR = "own", "*"
+_RULES = "array<struct<pattern:string,line_no:int>>"
 
 
-def robots_directives(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
-    """``(host, line_no, field, value, grp)`` for lines inside a group that concerns us.
+def _directives(text: Column) -> Column:
+    """Array of (line_no, field, value): blank and ``#`` lines and lines without a
+    colon are dropped; inline comments are not stripped."""
+    lines = F.transform(F.split(text, "\n"), lambda raw, i: F.struct(
+        i.alias("line_no"), trim_go(raw).alias("line")))
+    kept = F.filter(lines, lambda x: (x["line"] != "") & ~x["line"].startswith("#")
+                    & x["line"].contains(":"))
+    return F.transform(kept, lambda x: F.struct(
+        x["line_no"].alias("line_no"),
+        trim_go(F.lower(F.substring_index(x["line"], ":", 1))).alias("field"),
+        trim_go(F.regexp_extract(x["line"], r"^[^:]*:(.*)$", 1)).alias("value")))
 
-    Blank and ``#`` lines are dropped (inline comments are not stripped); lines
-    without ``:`` are skipped; the current agent is the value of the latest
-    ``user-agent`` line above, so only the last agent of a stacked group counts.
-    """
-    ua = user_agent.strip().lower()
-    lines = robots.select("host", F.posexplode(F.split("robots_txt", "\n")).alias("line_no", "raw"))
-    lines = lines.withColumn("line", trim_go(F.col("raw")))
-    lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#")
-                         & F.col("line").contains(":"))
-    lines = lines.select(
-        "host", "line_no",
-        trim_go(F.lower(F.substring_index(F.col("line"), ":", 1))).alias("field"),
-        trim_go(F.regexp_extract(F.col("line"), r"^[^:]*:(.*)$", 1)).alias("value"))
-    w = (Window.partitionBy("host").orderBy("line_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    agent = F.last(F.when(F.col("field") == "user-agent", F.lower(F.col("value"))),
-                   ignorenulls=True).over(w)
-    lines = lines.withColumn("agent", agent)
-    grp = (F.when(F.col("agent") == F.lit(ua), F.lit(OWN))
-           .when(F.col("agent") == F.lit("*"), F.lit(STAR)))
-    return (lines.withColumn("grp", grp)
-            .filter(F.col("grp").isNotNull()
-                    & F.col("field").isin("allow", "disallow", "crawl-delay"))
-            .select("host", "line_no", "field", "value", "grp"))
-
-
-def _group_rules(directives: DataFrame) -> DataFrame:
-    """Allow/Disallow rules per (host, grp); an empty Disallow clears earlier ones."""
-    w = Window.partitionBy("host", "grp")
-    d = directives.withColumn("last_clear", F.max(F.when(
-        (F.col("field") == "disallow") & (F.col("value") == ""), F.col("line_no"))).over(w))
-    kept = (((F.col("field") == "disallow") & F.col("value").startswith("/")
-             & (F.col("line_no") > F.coalesce(F.col("last_clear"), F.lit(-1))))
-            | ((F.col("field") == "allow") & F.col("value").startswith("/")))
-    return d.filter(kept).select("host", "grp", F.col("field").alias("kind"),
-                                 F.col("value").alias("pattern"), "line_no")
-
-
-def _group_delays(directives: DataFrame) -> DataFrame:
-    """Last valid crawl-delay per (host, grp)."""
-    return (directives.filter((F.col("field") == "crawl-delay")
-                              & F.col("value").rlike(NUMBER_RE))
-            .groupBy("host", "grp")
-            .agg(F.max_by(F.col("value").cast("double"), F.col("line_no")).alias("crawl_delay")))
-
-
-def robots_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> tuple[DataFrame, DataFrame]:
-    """C14: ``(rules, delays)`` of the group that applies to each host.
-
-    ``rules(host, grp, kind, pattern, line_no)``; ``delays(host, grp, crawl_delay)``.
+
+def _group(allow: Column, disallow: Column, delay: Column) -> Column:
+    return F.struct(allow.alias("allow"), disallow.alias("disallow"), delay.alias("delay"))
+
+
+def _add(group: Column, x: Column) -> Column:
+    """A group after one directive; an empty Disallow clears the earlier ones."""
+    rule = F.array(F.struct(x["value"].alias("pattern"), x["line_no"].alias("line_no")))
+    path = x["value"].startswith("/")
+    return _group(
+        F.when((x["field"] == "allow") & path, F.concat(group["allow"], rule))
+        .otherwise(group["allow"]),
+        F.when((x["field"] == "disallow") & (x["value"] == ""), F.array().cast(_RULES))
+        .when((x["field"] == "disallow") & path, F.concat(group["disallow"], rule))
+        .otherwise(group["disallow"]),
+        F.when((x["field"] == "crawl-delay") & x["value"].rlike(NUMBER_RE),
+               x["value"].try_cast("double")).otherwise(group["delay"]))
+
+
+def host_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
+    """C14: ``(host, grp, allow, disallow, crawl_delay)``, one row per robots file.
+
+    ``allow`` and ``disallow`` are arrays of (pattern, line_no). The current agent is
+    the latest ``user-agent`` line above, so only the last of a stacked group counts.
     Our own group applies when it has any rule or a positive delay, else ``*``.
     """
-    directives = robots_directives(robots, user_agent)
-    rules = _group_rules(directives)
-    delays = _group_delays(directives)
-    own_rules = rules.filter(F.col("grp") == OWN).select("host").distinct()
-    own_delay = delays.filter((F.col("grp") == OWN) & (F.col("crawl_delay") > 0)).select("host")
-    own_hosts = own_rules.unionByName(own_delay).distinct().withColumn("own", F.lit(True))
-    chosen = (robots.select("host").distinct().join(own_hosts, "host", "left")
-              .select("host", F.when(F.col("own"), F.lit(OWN)).otherwise(F.lit(STAR))
-                      .alias("grp")))
-    applied_rules = rules.join(chosen, ["host", "grp"], "left_semi")
-    applied_delays = (chosen.join(delays, ["host", "grp"], "left")
-                      .select("host", "grp", F.coalesce("crawl_delay", F.lit(0.0))
-                              .alias("crawl_delay")))
-    return applied_rules, applied_delays
-
-
-def robots_decision(targets: DataFrame, rules: DataFrame, delays: DataFrame,
-                    key_col: str = "url", url_col: str = "url",
+    ua = user_agent.strip().lower()
+    none = _group(F.array().cast(_RULES), F.array().cast(_RULES), F.lit(None).cast("double"))
+    start = F.struct(F.lit("").alias("agent"), none.alias("own"), none.alias("star"))
+
+    def step(acc: Column, x: Column) -> Column:
+        is_agent = x["field"] == "user-agent"
+        return F.struct(
+            F.when(is_agent, F.lower(x["value"])).otherwise(acc["agent"]).alias("agent"),
+            F.when(~is_agent & (acc["agent"] == F.lit(ua)), _add(acc["own"], x))
+            .otherwise(acc["own"]).alias("own"),
+            F.when(~is_agent & (acc["agent"] == F.lit(STAR)), _add(acc["star"], x))
+            .otherwise(acc["star"]).alias("star"))
+
+    parsed = robots.select("host", F.aggregate(
+        _directives(F.coalesce("robots_txt", F.lit(""))), start, step).alias("g"))
+    own = F.col("g.own")
+    applies = ((F.size(own["allow"]) > 0) | (F.size(own["disallow"]) > 0)
+               | (F.coalesce(own["delay"], F.lit(0.0)) > 0))
+    chosen = parsed.select("host", F.when(applies, F.lit(OWN)).otherwise(F.lit(STAR)).alias("grp"),
+                           F.when(applies, own).otherwise(F.col("g.star")).alias("g"))
+    return chosen.select("host", "grp", "g.allow", "g.disallow",
+                         F.coalesce("g.delay", F.lit(0.0)).alias("crawl_delay"))
+
+
+def robots_rules(hosts: DataFrame) -> DataFrame:
+    """``(host, grp, kind, pattern, line_no)``: the rules of ``host_rules``, a row each."""
+    def kind(name: str) -> Column:
+        return F.transform(name, lambda r: F.struct(
+            F.lit(name).alias("kind"), r["pattern"].alias("pattern"), r["line_no"].alias("line_no")))
+
+    return (hosts.select("host", "grp", F.explode(F.concat(kind("allow"), kind("disallow"))).alias("r"))
+            .select("host", "grp", "r.kind", "r.pattern", "r.line_no"))
+
+
+def robots_decision(targets: DataFrame, hosts: DataFrame, url_col: str = "url",
                     mode: str = "reference") -> DataFrame:
     """E5 + F7: add ``host``, ``robots_path``, ``allowed`` and ``crawl_delay``.
 
     ``mode="reference"``: any matching Allow wins, else any matching Disallow
     blocks. ``mode="longest"``: the longest match wins, Allow on ties.
-    Matching is a prefix test; ``*`` and ``$`` are literal characters. Hosts
-    without robots rules are allowed with no delay. ``key_col`` must be unique.
+    Matching is a prefix test on the decoded path; ``*`` and ``$`` are literal
+    characters. Hosts without robots rules are allowed with no delay.
     """
+    if mode not in ("reference", "longest"):
+        raise ValueError(f"unknown robots mode {mode!r}")
+
+    def longest(rules: str) -> Column:
+        """Length of the longest matching rule, -1 without any."""
+        hits = F.filter(rules, lambda r: F.col("robots_path").startswith(r["pattern"]))
+        return F.coalesce(F.array_max(F.transform(hits, lambda r: F.length(r["pattern"]))), F.lit(-1))
+
     t = (targets.withColumn("host", U.hostname(F.col(url_col)))
          .withColumn("robots_path", U.robots_path(F.col(url_col))))
-    r = rules.select(F.col("host").alias("r_host"), "kind", "pattern")
-    m = (t.select(key_col, "host", "robots_path")
-         .join(r, (F.col("host") == F.col("r_host"))
-               & F.col("robots_path").startswith(F.col("pattern")))
-         .groupBy(key_col)
-         .agg(F.max(F.when(F.col("kind") == "allow", F.length("pattern"))).alias("_allow"),
-              F.max(F.when(F.col("kind") == "disallow", F.length("pattern"))).alias("_disallow")))
-    if mode == "reference":
-        allowed = F.col("_allow").isNotNull() | F.col("_disallow").isNull()
-    elif mode == "longest":
-        allowed = F.coalesce(F.col("_allow"), F.lit(-1)) >= F.coalesce(F.col("_disallow"), F.lit(-1))
-    else:
-        raise ValueError(f"unknown robots mode {mode!r}")
-    d = delays.select(F.col("host").alias("d_host"), "crawl_delay")
-    return (t.join(m, key_col, "left")
-            .join(d, F.col("host") == F.col("d_host"), "left")
+    allow, disallow = longest("_allow"), longest("_disallow")
+    allowed = ((allow >= 0) | (disallow < 0)) if mode == "reference" else (allow >= disallow)
+    rules = hosts.select(F.col("host").alias("_host"), F.col("allow").alias("_allow"),
+                         F.col("disallow").alias("_disallow"), "crawl_delay")
+    return (t.join(rules, F.col("host") == F.col("_host"), "left")
             .withColumn("allowed", allowed)
             .withColumn("crawl_delay", F.coalesce(F.col("crawl_delay"), F.lit(0.0)))
-            .drop("_allow", "_disallow", "d_host"))
+            .drop("_host", "_allow", "_disallow"))

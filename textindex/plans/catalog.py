@@ -404,51 +404,80 @@ def q_union_sources(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 from textindex.operators.crawl import crawl, crawl_schedule, crawl_summary  # noqa: E402
-from textindex.operators.robots import robots_decision, robots_rules  # noqa: E402
+from textindex.operators.ranking import row_number_within  # noqa: E402
+from textindex.operators.robots import host_rules, robots_decision, robots_rules  # noqa: E402
 from textindex.plans import sql_crawl as SC  # noqa: E402
+from textindex.session import ensure_checkpoint_dir  # noqa: E402
 from textindex.sources.robots import derived_robots  # noqa: E402
 
-CRAWL_MAX_DEPTH = 2
+CRAWL_MAX_DEPTH = 3
 
 
-def _robots(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
-    rules, delays = robots_rules(derived_robots(pages))
-    return pages, rules, delays
+def _hosts(spark, sf_dir):
+    return host_rules(derived_robots(read_table(spark, sf_dir, "pages")))
 
 
 @register("robots_rules", "WITH " + SC.robots_ctes() + """
 SELECT host, grp, kind, pattern, line_no FROM applied_rules""")
 def q_robots_rules(spark, sf_dir):
-    return _robots(spark, sf_dir)[1].select("host", "grp", "kind", "pattern", "line_no")
+    return robots_rules(_hosts(spark, sf_dir))
 
 
 @register("robots_delays", "WITH " + SC.robots_ctes() + """
 SELECT host, grp, crawl_delay FROM applied_delays""")
 def q_robots_delays(spark, sf_dir):
-    return _robots(spark, sf_dir)[2]
+    return _hosts(spark, sf_dir).select("host", "grp", "crawl_delay")
+
+
+# Every URL is decided as it is and with its path's first letter percent-encoded,
+# which must not change the decision.
+def _targets(pages):
+    escaped = F.regexp_replace("url", "^(https?://[^/]*)/e", "$1/%65")
+    forms = F.array(F.struct(F.lit("plain").alias("form"), F.col("url").alias("url")),
+                    F.struct(F.lit("escaped").alias("form"), escaped.alias("url")))
+    return (pages.select("page_id", F.explode(forms).alias("f"))
+            .select("page_id", "f.form", "f.url"))
+
+
+_TARGETS_SQL = r"""(SELECT page_id, 'plain' AS form, url FROM pages UNION ALL
+  SELECT page_id, 'escaped', regexp_replace(url, '^(https?://[^/]*)/e', '\1/%65') FROM pages)"""
 
 
 def _decision_query(mode):
     def fn(spark, sf_dir):
-        pages, rules, delays = _robots(spark, sf_dir)
-        return (robots_decision(pages.select("page_id", "url"), rules, delays,
-                                key_col="page_id", mode=mode)
-                .select("page_id", "url", "host", "robots_path", "allowed", "crawl_delay"))
+        pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+        return (robots_decision(_targets(pages), _hosts(spark, sf_dir), mode=mode)
+                .select("page_id", "form", "url", "host", "robots_path", "allowed", "crawl_delay"))
     return fn
 
 
 for _mode, _name in (("reference", "robots_decision"), ("longest", "robots_decision_longest")):
     register(_name, "WITH " + SC.robots_ctes() + f"""
-SELECT page_id, url, host, robots_path, allowed, crawl_delay
-FROM {SC.decision_sql('(SELECT page_id, url FROM pages)', 'page_id', _mode)}""")(
-        _decision_query(_mode))
+SELECT page_id, form, url, host, robots_path, allowed, crawl_delay
+FROM {SC.decision_sql(_TARGETS_SQL, "url", _mode)}""")(_decision_query(_mode))
 
 
-def _crawl(spark, sf_dir):
+# The pages of a host, in order of URL, are made a binary tree: page n gets links to
+# pages 2n and 2n + 1, as paths, and the crawl starts at page 1 of each host.
+def _linked_pages(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
     pages = read_table(spark, sf_dir, "pages")
-    seeds = pages.select("url")
-    return crawl(seeds, pages, derived_robots(pages), max_depth=CRAWL_MAX_DEPTH)
+    urls = pages.select(U.hostname("url").alias("host"), "url").distinct()
+    n = row_number_within(urls, "host", ["url"], out="n").checkpoint(eager=True)
+    child = n.select(F.col("host").alias("host"), F.floor(F.col("n") / 2).alias("n"),
+                     F.regexp_replace("url", "^https?://[^/]*", "").alias("path"))
+    links = (n.join(child, ["host", "n"]).groupBy("url")
+             .agg(F.array_join(F.array_sort(F.collect_list(F.concat(
+                 F.lit("<a href='"), "path", F.lit("'>more</a>")))), "").alias("links")))
+    linked = pages.join(links, "url", "left").select(
+        "page_id", "url", F.concat("html", F.coalesce("links", F.lit(""))).alias("html"))
+    return n.filter("n = 1").select("url"), linked
+
+
+def _crawl(spark, sf_dir):
+    seeds, pages = _linked_pages(spark, sf_dir)
+    robots = derived_robots(read_table(spark, sf_dir, "pages"))
+    return crawl(seeds, pages, robots, max_depth=CRAWL_MAX_DEPTH)
 
 
 _CRAWL_SQL = SC.crawl_ctes(CRAWL_MAX_DEPTH)

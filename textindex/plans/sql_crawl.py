@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from textindex.operators.robots import NUMBER_RE, OWN, STAR
 from textindex.plans import sqlparts as S
 from textindex.sources.robots import USER_AGENT, derived_robots_sql
 
+OWN, STAR = "own", "*"
+NUMBER_RE = r"^[-+]?([0-9]+[.]?|[0-9]*[.][0-9]+)([eE][-+]?[0-9]+)?$"
+
 
 def robots_ctes(user_agent: str = USER_AGENT) -> str:
     ua = user_agent.strip().lower()
@@ -66,11 +68,24 @@ SELECT t.*, {allowed} AS allowed, coalesce(d.crawl_delay, 0.0) AS crawl_delay
 FROM t LEFT JOIN m ON t.{key} = m._k LEFT JOIN applied_delays d ON t.host = d.host)"""
 
 
-def crawl_ctes(max_depth: int, seeds: str = "SELECT DISTINCT url FROM pages WHERE url IS NOT NULL") -> str:
+# The binary tree of each host's pages that the crawl queries add to their html.
+LINKED = f"""numbered AS (
+  SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY url) AS n
+  FROM (SELECT DISTINCT {S.hostname('url')} AS host, url FROM pages)),
+more AS (
+  SELECT p.url, string_agg(a, '' ORDER BY a) AS links FROM (
+    SELECT host, n // 2 AS n, '<a href=' || chr(39) || regexp_replace(url, '^https?://[^/]*', '')
+           || chr(39) || '>more</a>' AS a FROM numbered) c
+  JOIN numbered p ON p.host = c.host AND p.n = c.n GROUP BY p.url),
+linked AS (
+  SELECT page_id, pages.url, html || coalesce(links, '') AS html FROM pages LEFT JOIN more ON more.url = pages.url)"""
+
+
+def crawl_ctes(max_depth: int, seeds: str = "SELECT url FROM numbered WHERE n = 1") -> str:
     """Unrolled BFS: f{d} frontier, r{d} report rows, for d = 0..max_depth."""
-    parts = [robots_ctes(),
+    parts = [robots_ctes(), LINKED,
              """snap AS (SELECT url, html, 200 AS status_code, true AS found FROM (
-  SELECT url, html, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM pages)
+  SELECT url, html, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM linked)
   WHERE rn = 1)""",
              f"f0 AS (SELECT url, 0 AS depth FROM ({seeds}))",
              "v0 AS (SELECT url FROM f0)"]
@@ -90,7 +105,7 @@ def crawl_ctes(max_depth: int, seeds: str = "SELECT DISTINCT url FROM pages WHER
     SELECT base, {S.resolve('base', 'href')} AS link FROM (
       SELECT url AS base, unnest({S.hrefs('html')}) AS href FROM r{d}
       WHERE allowed AND found))
-  WHERE link IS NOT NULL AND link <> '' AND {S.hostname('link')} = {S.hostname('base')}),
+  WHERE link IS NOT NULL AND link <> '' AND {S.is_valid('link')} AND {S.hostname('link')} = {S.hostname('base')}),
 f{d + 1} AS (SELECT url, {d + 1} AS depth FROM l{d + 1} WHERE url NOT IN (SELECT url FROM v{d})),
 v{d + 1} AS (SELECT url FROM v{d} UNION ALL SELECT url FROM f{d + 1})""")
     parts.append("report AS (" + " UNION ALL ".join(
