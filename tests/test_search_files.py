@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from textindex.operators.index import build_index
 from textindex.operators.search import (batch_search, score_documents, search, search_envelope,
                                         search_total, validate_paging)
+from textindex.operators.web import page_documents
 from textindex.plans.store import IndexStore, reindex
-from textindex.sources.files import read_text_files
+from textindex.sources.files import file_documents, read_text_files
 from textindex.streaming.indexer import start_indexing_stream
 
 CORPUS = {
@@ -115,6 +116,94 @@ def test_store_roundtrip_and_reindex(spark, corpus_dir, tmp_dir):
     assert store.read().stats.first().total_documents == fresh.documents.count()
 
 
+def _files(root):
+    return {os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs}
+
+
+def test_update_rewrites_only_touched_buckets(spark, corpus_dir, tmp_dir):
+    root = os.path.join(tmp_dir, "store")
+    store = IndexStore(spark, root, buckets=16)
+    store.write(build_index(read_text_files(spark, corpus_dir)))
+    first = store.manifest()
+    time.sleep(1.1)
+    write_tree(corpus_dir, {"doc1.txt": "banana split"})
+    store.update(read_text_files(spark, corpus_dir))
+    second = store.manifest()
+    assert second.version > first.version and second.buckets == 16
+    changed = {b for b in second.segments if second.segments[b] != first.segments.get(b)}
+    assert len(changed) == 1
+    new = next(iter({second.segments[b] for b in changed}))
+    assert {f.split("bucket=")[1].split("/")[0] for f in _files(f"{root}/segments/{new}") if "bucket=" in f} == {
+        str(b) for b in changed}
+    assert _postings(store.read()) == _postings(build_index(read_text_files(spark, corpus_dir)))
+    # the same batch again changes nothing
+    assert store.update(read_text_files(spark, corpus_dir)) == second.version
+
+
+def test_removal_that_empties_a_bucket(spark, corpus_dir, tmp_dir):
+    store = IndexStore(spark, os.path.join(tmp_dir, "store"), buckets=64)
+    docs = read_text_files(spark, corpus_dir)
+    store.write(build_index(docs))
+    before = store.manifest()
+    path = [r.file_path for r in docs.collect() if r.file_path.endswith("doc2.txt")]
+    store.update(docs.limit(0), removed_paths=path)
+    after = store.manifest()
+    assert len(after.segments) < len(before.segments)
+    rest = docs.filter(~F.col("file_path").endswith("doc2.txt"))
+    assert _postings(store.read()) == _postings(build_index(rest))
+
+
+def test_failed_write_is_not_seen_and_a_retry_works(spark, corpus_dir, tmp_dir):
+    store = IndexStore(spark, os.path.join(tmp_dir, "store"), buckets=4)
+    index = build_index(read_text_files(spark, corpus_dir))
+    store.write(index)
+    version = store.current_version()
+    broken = build_index(index.documents.withColumn("content", F.raise_error("lost").cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        store.write(broken)
+    assert store.current_version() == version
+    assert store.write(index) > version
+
+
+def test_unreadable_root_is_an_error(spark, tmp_dir):
+    assert IndexStore(spark, os.path.join(tmp_dir, "nothing")).current_version() is None
+    with pytest.raises(Exception):
+        IndexStore(spark, "nosuchscheme://host/x").current_version()
+
+
+def test_hidden_files_are_an_error(spark, corpus_dir):
+    write_tree(corpus_dir, {"_drafts/b.txt": "draft", ".hidden.md": "x"})
+    with pytest.raises(ValueError, match="2 hidden"):
+        read_text_files(spark, corpus_dir)
+    assert read_text_files(spark, corpus_dir, skip_hidden=True).count() == 7
+
+
+def test_frequent_term_is_spread_over_tasks(spark):
+    docs = spark.range(400).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.lit("u").alias("url"),
+        F.concat(F.lit("common word"), F.repeat(F.lit("x"), (F.col("id") % 5).cast("int"))).alias("content"))
+    index = build_index(docs)
+    from textindex.operators import search as S
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # 400 rows are few
+    matches = S._matches(index, lambda rows: rows.filter(F.col("term").isin("common")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    tasks = matches.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert matches.count() == 400 and tasks > 1
+    queries = spark.createDataFrame([(1, "common"), (2, "wordx common common")], "query_id long, text string")
+    small = sorted(map(tuple, S.batch_search(index, queries, k=5).collect()))
+    held, S.BROADCAST_BYTES = S.BROADCAST_BYTES, 0
+    try:      # the same through salted shuffles
+        assert sorted(map(tuple, S.batch_search(index, queries, k=5).collect())) == small
+    finally:
+        S.BROADCAST_BYTES = held
+
+
+def test_latest_page_that_is_long_enough_wins(spark):
+    pages = spark.createDataFrame([(1, "http://h/a", "<body>" + "long " * 40), (2, "http://h/a", "<body>short")],
+                                  "page_id long, url string, html string")
+    assert [(r.doc_id, len(r.content)) for r in page_documents(pages).collect()] == [(1, 199)]
+
+
 def test_stream_indexes_directory(spark, corpus_dir, tmp_dir):
     store_root = os.path.join(tmp_dir, "stream-store")
     q = start_indexing_stream(spark, corpus_dir, store_root, os.path.join(tmp_dir, "chk"),

@@ -121,7 +121,8 @@ def search(index: Index, query: str, page=1, limit=10, **kwargs) -> DataFrame:
     top = ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
     # The page is at most ``limit`` rows in one partition; numbering it is free.
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())) + offset)
-    return _with_documents(index, top).select("doc_id", "title", "url", "score", "rank")
+    return (_with_documents(index, top).select("doc_id", "title", "url", "score", "rank")
+            .orderBy("rank"))
 
 
 def search_total(index: Index, query: str, **kwargs) -> DataFrame:

@@ -8,6 +8,7 @@ rounded to six places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,10 @@ from textindex.functions import text as T
 from textindex.functions.stopwords import ENGLISH, SPANISH, language_column
 from textindex.operators.analyze import analyze
 from textindex.operators.index import build_index, build_postings
-from textindex.operators.search import (batch_search, score_documents, search,
+from textindex.operators.search import (batch_search, score_documents, search, search_envelope,
                                         search_total)
 from textindex.plans import sqlparts as S
+from textindex.session import ensure_checkpoint_dir
 from textindex.sources.tables import corpus_documents, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -141,9 +143,12 @@ def q_doc_frequency(spark, sf_dir):
 
 @register("index_stats", _POSTINGS_SQL + """
 SELECT (SELECT count(*) FROM documents) AS total_documents,
-       (SELECT count(DISTINCT term) FROM postings) AS total_terms""")
+       (SELECT count(DISTINCT term) FROM postings) AS total_terms,
+       CAST(CASE WHEN (SELECT count(*) FROM documents) > 0 THEN TIMESTAMP '2024-01-05 06:07:08' END AS VARCHAR)
+         AS last_indexed_at""")
 def q_index_stats(spark, sf_dir):
-    return corpus_index(spark, sf_dir).stats.select("total_documents", "total_terms")
+    stats = corpus_index(spark, sf_dir, indexed_at="2024-01-05 06:07:08").stats
+    return stats.withColumn("last_indexed_at", F.col("last_indexed_at").cast("string"))
 
 
 @register("idf", _POSTINGS_SQL + f""",
@@ -213,6 +218,22 @@ def q_search_page2(spark, sf_dir):
     return search(corpus_index(spark, sf_dir), QUERY_TEXT, page=2, limit=10)
 
 
+@register("search_stored", _page_sql(QUERY_TEXT, 1, 10))
+def q_search_stored(spark, sf_dir):
+    """Search an index that was written under the checkpoint folder and read back."""
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    store.write(corpus_index(spark, sf_dir))
+    return search(store.read(), QUERY_TEXT, page=1, limit=10)
+
+
+@register("search_envelope", _scores_sql(QUERY_TEXT.split()) + """
+SELECT '{"data":[' || string_agg('{"docID":"' || doc_id || '","title":' || to_json(title)
+         || ',"url":' || to_json(url) || '}', ',' ORDER BY rank) FILTER (rank <= 10)
+       || '],"page":1,"limit":10,"total":' || count(*) || '}' AS response FROM ranked""")
+def q_search_envelope(spark, sf_dir):
+    return search_envelope(corpus_index(spark, sf_dir), QUERY_TEXT, page=1, limit=10)
+
+
 @register("search_repeated_terms", _page_sql(REPEATED_QUERY_TEXT, 1, 10))
 def q_search_repeated(spark, sf_dir):
     return search(corpus_index(spark, sf_dir), REPEATED_QUERY_TEXT, page=1, limit=10)
@@ -370,7 +391,8 @@ _WEB_DOCS_SQL = f"""web AS (
   SELECT doc_id, source_type, url, title, content FROM (
     SELECT page_id AS doc_id, 'web' AS source_type, url, {S.html_title('html')} AS title,
            {S.visible_text('html')} AS content,
-           row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn
+           row_number() OVER (PARTITION BY url ORDER BY
+             octet_length(encode({S.visible_text('html')})) >= 100 DESC, page_id DESC) AS rn
     FROM pages)
   WHERE rn = 1 AND octet_length(encode(content)) >= 100)"""
 
@@ -387,16 +409,62 @@ def q_web_postings(spark, sf_dir):
     return idx.postings.select("term", "doc_id", "tf", joined_ints("positions").alias("positions"))
 
 
-@register("union_sources", f"""WITH {_WEB_DOCS_SQL}, files AS ({S.CORPUS_DOCS})
+# Ids are unique across sources: "file:<doc_id>" and "web:<page_id>".
+_UNION_SQL = f"""WITH {_WEB_DOCS_SQL}, files AS ({S.CORPUS_DOCS}),
+both_sources AS (
+  SELECT source_type || ':' || doc_id AS doc_id, source_type, url, title, content FROM files
+  UNION ALL SELECT source_type || ':' || doc_id, source_type, url, title, content FROM web)"""
+
+
+def _union(spark, sf_dir):
+    files = corpus_documents(spark, sf_dir).select("source_type", "doc_id", "url", "title", "content")
+    web = page_documents(read_table(spark, sf_dir, "pages")).select(*files.columns)
+    return files.unionByName(web).withColumn(
+        "doc_id", F.concat_ws(":", "source_type", F.col("doc_id").cast("string")))
+
+
+@register("union_sources", _UNION_SQL + """
 SELECT source_type, doc_id, url, title, CAST(octet_length(encode(content)) AS INTEGER) AS n_bytes
-FROM (SELECT source_type, doc_id, url, title, content FROM files
-      UNION ALL SELECT source_type, doc_id, url, title, content FROM web)""")
+FROM both_sources""")
 def q_union_sources(spark, sf_dir):
-    files = corpus_documents(spark, sf_dir).select("source_type", "doc_id", "url", "title", "content")
-    web = page_documents(read_table(spark, sf_dir, "pages"))
-    return (files.unionByName(web.select(*files.columns))
-            .select("source_type", "doc_id", "url", "title",
-                    F.octet_length("content").cast("int").alias("n_bytes")))
+    return _union(spark, sf_dir).select("source_type", "doc_id", "url", "title",
+                                        F.octet_length("content").cast("int").alias("n_bytes"))
+
+
+@register("union_postings", _UNION_SQL + f""",
+toks AS (SELECT doc_id, unnest(t) AS term, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos
+         FROM (SELECT doc_id, {S.terms('content')} AS t FROM both_sources))
+SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf,
+       string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+FROM toks GROUP BY term, doc_id""")
+def q_union_postings(spark, sf_dir):
+    idx = build_index(_union(spark, sf_dir), text_col="content")
+    return idx.postings.select("term", "doc_id", "tf", joined_ints("positions").alias("positions"))
+
+
+# Every page is also rewritten: links single-quoted or bare, no body tag, a body end
+# inside a script, references named and numeric.
+_HTML_FORMS = [
+    ("single_quoted", "replace(html, '\"', '\\'')", "replace(html, '\"', chr(39))"),
+    ("bare", """regexp_replace(html, 'href="([^" ]*)"', 'href=$1')""",
+     r"""regexp_replace(html, 'href="([^" ]*)"', 'href=\1', 'g')"""),
+    ("no_body", "regexp_replace(html, '</?body>', '')", "regexp_replace(html, '</?body>', '', 'g')"),
+    ("script", "replace(html, '<body>', '<body><script>var s=\"</body>\";</script>')",
+     "replace(html, '<body>', '<body><script>var s=\"</body>\";</script>')"),
+    ("references", "replace(html, '<p>', '<p>caf&eacute; &#233;&#xE9; &amp;lt; &hellip; ')",
+     "replace(html, '<p>', '<p>caf&eacute; &#233;&#xE9; &amp;lt; &hellip; ')"),
+]
+
+
+@register("html_variants", f"""
+SELECT page_id, form, {S.visible_text('html')} AS text, array_to_string({S.hrefs('html')}, ' ') AS links FROM (
+  {" UNION ALL ".join(f"SELECT page_id, '{n}' AS form, {q} AS html FROM pages" for n, _, q in _HTML_FORMS)})""")
+def q_html_variants(spark, sf_dir):
+    forms = F.array(*[F.struct(F.lit(n).alias("form"), F.expr(e).alias("html")) for n, e, _ in _HTML_FORMS])
+    pages = (read_table(spark, sf_dir, "pages").select("page_id", F.explode(forms).alias("f"))
+             .select("page_id", "f.form", "f.html"))
+    return pages.select("page_id", "form", H.visible_text("html").alias("text"),
+                        joined(H.hrefs("html")).alias("links"))
 
 
 # --------------------------------------------------------------------------
@@ -407,7 +475,6 @@ from textindex.operators.crawl import crawl, crawl_schedule, crawl_summary  # no
 from textindex.operators.ranking import row_number_within  # noqa: E402
 from textindex.operators.robots import host_rules, robots_decision, robots_rules  # noqa: E402
 from textindex.plans import sql_crawl as SC  # noqa: E402
-from textindex.session import ensure_checkpoint_dir  # noqa: E402
 from textindex.sources.robots import derived_robots  # noqa: E402
 
 CRAWL_MAX_DEPTH = 3
@@ -517,11 +584,11 @@ def q_crawl_schedule(spark, sf_dir):
 # Incremental re-index
 # --------------------------------------------------------------------------
 
-from textindex.plans.store import changed_documents, reindex  # noqa: E402
+from textindex.plans.store import IndexStore, changed_ids, reindex  # noqa: E402
 
 # The stored index holds the English documents as of 2024-01-04, in an older
 # wording (vowels rotated); the incoming scan holds every document with a
-# modification time derived from its length.
+# modification time derived from its length, and is the whole table.
 STORED_AT = "2024-01-04 00:00:00"
 OLD_WORDING = ("aeiou", "uoiea")
 
@@ -552,7 +619,7 @@ FROM incoming i LEFT JOIN (SELECT doc_id, file_path FROM ({S.CORPUS_DOCS}) WHERE
 WHERE s.doc_id IS NULL OR i.modified_at > TIMESTAMP '{STORED_AT}'""")
 def q_changed_docs(spark, sf_dir):
     stored = _stored_index(spark, sf_dir).documents
-    return changed_documents(_incoming(spark, sf_dir), stored).select("file_path", "doc_id", "change")
+    return changed_ids(_incoming(spark, sf_dir), stored).select("file_path", "doc_id", "change")
 
 
 @register("delete_reindex", f"""WITH {_INCOMING_SQL},
@@ -572,10 +639,9 @@ def q_delete_reindex(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# C4, G3 stemmed, B6: checked on rows by the driver and by golden tests
+# C4, G3 stemmed: checked on rows by the driver and by golden tests
 # --------------------------------------------------------------------------
 
-from textindex.operators.search import search_envelope  # noqa: E402
 from textindex.operators.stemming import stem_vocabulary  # noqa: E402
 
 STEMMED_QUERY_TEXT = "threes ing bles running"
@@ -599,8 +665,3 @@ def q_analyze_stemmed(spark, sf_dir):
 def q_search_stemmed(spark, sf_dir):
     return search(corpus_index(spark, sf_dir, stem=True), STEMMED_QUERY_TEXT, page=1,
                   limit=10, stem=True)
-
-
-@register("search_envelope")
-def q_search_envelope(spark, sf_dir):
-    return search_envelope(corpus_index(spark, sf_dir), QUERY_TEXT, page=1, limit=10)

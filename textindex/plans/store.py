@@ -2,112 +2,214 @@
 
 Layout under a root on shared storage::
 
-    <root>/v00000001/documents/bucket=<b>/part-*.parquet
-    <root>/v00000001/postings/bucket=<b>/part-*.parquet
-    <root>/_current/part-*.txt        one line: the current version name
-
-Both tables are partitioned by the *document* bucket ``pmod(xxhash64(doc_id), B)``
-so a changed document touches one bucket of each. Postings are sorted by term
-inside each file, so parquet min/max statistics prune row groups for a
-``term IN (...)`` lookup. Every write goes to a new version directory and only
-then moves the pointer: a plan never overwrites the files it reads, and a failed
-job leaves the previous version intact. ``term_stats`` and ``stats`` are derived
-on read, never stored as counters.
+    <root>/segments/<uuid>/documents/bucket=<b>/part-*.parquet
+    <root>/segments/<uuid>/postings/bucket=<b>/part-*.parquet
+    <root>/versions/v00000001-<uuid>/        one manifest row per live bucket
+
+Both tables are bucketed by document (``pmod(xxhash64(doc_id), buckets)``), so a
+changed document touches one bucket of each. A write makes a new segment that holds
+the touched buckets alone, then a manifest that names, for every bucket, the segment
+it lives in; untouched buckets are carried over by name. Nothing is ever replaced: a
+version counts once Spark has committed its manifest (``_SUCCESS``), a job that dies
+leaves at most an unnamed segment, and a retry takes new names. Within a segment rows
+are sorted by bucket and term, so parquet statistics prune row groups for a lookup
+of terms. The bucket count is kept in the manifest. One writer at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textindex.functions.stopwords import ENGLISH
 from textindex.operators.index import Index, build_index, doc_frequency, index_stats
+from textindex.session import ensure_checkpoint_dir
 
-DEFAULT_BUCKETS = 64
+DOCS_PER_BUCKET = 20_000
 
 
-def doc_bucket(doc_id_col, buckets: int) -> F.Column:
+def doc_bucket(doc_id_col, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id_col), F.lit(buckets)).cast("int")
 
 
+@dataclass(frozen=True)
+class Manifest:
+    version: str
+    buckets: int
+    segments: dict[int, str]      # live bucket -> segment
+
+
 class IndexStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
+    """``buckets`` is taken at the first write only; by default one for each
+    ``DOCS_PER_BUCKET`` documents of that write."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
 
-    # -- pointer ------------------------------------------------------------
+    # -- versions -----------------------------------------------------------
+    def _versions(self) -> list[str]:
+        """Names of committed versions, in order. A root that does not exist has none;
+        one that cannot be read raises."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        path = jvm.org.apache.hadoop.fs.Path
+        return sorted(n for n in names if fs.exists(path(f"{self.root}/versions/{n}/_SUCCESS")))
+
     def current_version(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.root}/_current").collect()
-        except Exception:  # noqa: BLE001 - no pointer yet
+        versions = self._versions()
+        return versions[-1] if versions else None
+
+    def manifest(self, version: str | None = None) -> Manifest | None:
+        """The manifest of a version (the current one by default): a row a bucket."""
+        version = version or self.current_version()
+        if version is None:
             return None
-        names = sorted(r.value.strip() for r in rows if r.value.strip())
-        return names[-1] if names else None
+        rows = (self.spark.read.schema("bucket int, segment string, buckets int")
+                .parquet(f"{self.root}/versions/{version}").collect())
+        return Manifest(version, rows[0]["buckets"],
+                        {r["bucket"]: r["segment"] for r in rows if r["bucket"] is not None})
+
+    def _publish(self, segments: dict[int, str], buckets: int) -> str:
+        current = self.current_version()
+        number = int(current[1:9]) + 1 if current else 1
+        version = f"v{number:08d}-{uuid.uuid4().hex[:12]}"
+        rows = [(b, s, buckets) for b, s in sorted(segments.items())] or [(None, None, buckets)]
+        (self.spark.createDataFrame(rows, "bucket int, segment string, buckets int").coalesce(1)
+         .write.parquet(f"{self.root}/versions/{version}"))
+        return version
 
-    def _next_version(self) -> str:
-        cur = self.current_version()
-        n = int(cur[1:]) + 1 if cur else 1
-        return f"v{n:08d}"
+    # -- segments -----------------------------------------------------------
+    def _write_segment(self, documents: DataFrame, postings: DataFrame, buckets: int) -> dict[int, str]:
+        """Write the rows' buckets as a new segment; bucket -> segment."""
+        segment = uuid.uuid4().hex
+        bucket = doc_bucket(F.col("doc_id"), buckets)
+        for name, rows, order in (("documents", documents, ["bucket", "doc_id"]),
+                                  ("postings", postings, ["bucket", "term", "doc_id"])):
+            (rows.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order)
+             .write.partitionBy("bucket").parquet(f"{self.root}/segments/{segment}/{name}"))
+        held = (self.spark.read.parquet(f"{self.root}/segments/{segment}/documents")
+                .select("bucket").distinct().collect()) if not documents.isEmpty() else []
+        return {r["bucket"]: segment for r in held}
+
+    def _table(self, name: str, segments: dict[int, str], like: DataFrame | None = None) -> DataFrame | None:
+        """The rows of a table in the given buckets."""
+        paths = [f"{self.root}/segments/{s}/{name}/bucket={b}" for b, s in sorted(segments.items())]
+        if not paths:
+            return like.limit(0) if like is not None else None
+        if name == "postings":          # a bucket may hold documents without any term
+            jvm = self.spark._jvm
+            conf = self.spark._jsc.hadoopConfiguration()
+            found = []
+            for p in paths:
+                folder = jvm.org.apache.hadoop.fs.Path(p)
+                if folder.getFileSystem(conf).exists(folder):
+                    found.append(p)
+            paths = found
+            if not paths:
+                return self.spark.createDataFrame(
+                    [], "term string, doc_id string, tf int, positions array<int>")
+        return self.spark.read.parquet(*paths)
 
     # -- write / read -------------------------------------------------------
     def write(self, index: Index) -> str:
-        """B1 + B2: write documents and postings as a new version, then point to it."""
-        version = self._next_version()
-        base = f"{self.root}/{version}"
-        docs = index.documents.withColumn("bucket", doc_bucket(F.col("doc_id"), self.buckets))
-        (docs.repartition(self.buckets, "bucket")
-         .write.mode("errorifexists").partitionBy("bucket").parquet(f"{base}/documents"))
-        post = index.postings.withColumn("bucket", doc_bucket(F.col("doc_id"), self.buckets))
-        (post.repartition(self.buckets, "bucket").sortWithinPartitions("term", "doc_id")
-         .write.mode("errorifexists").partitionBy("bucket").parquet(f"{base}/postings"))
-        (self.spark.createDataFrame([(version,)], "value string").coalesce(1)
-         .write.mode("overwrite").text(f"{self.root}/_current"))
-        return version
+        """B1 + B2: write a whole index as a new version."""
+        buckets = self.buckets or max(1, -(-index.documents.count() // DOCS_PER_BUCKET))
+        return self._publish(self._write_segment(index.documents, index.postings, buckets), buckets)
 
     def read(self, version: str | None = None) -> Index:
-        version = version or self.current_version()
-        if version is None:
+        manifest = self.manifest(version)
+        if manifest is None:
             raise FileNotFoundError(f"no index version under {self.root}")
-        base = f"{self.root}/{version}"
-        docs = self.spark.read.parquet(f"{base}/documents").drop("bucket")
-        postings = self.spark.read.parquet(f"{base}/postings").drop("bucket")
+        if not manifest.segments:
+            raise FileNotFoundError(f"version {manifest.version} holds no documents")
+        docs = self._table("documents", manifest.segments)
+        postings = self._table("postings", manifest.segments)
         term_stats = doc_frequency(postings)
         indexed = "indexed_at" if "indexed_at" in docs.columns else None
         return Index(documents=docs, postings=postings, term_stats=term_stats,
                      stats=index_stats(docs, term_stats, indexed))
 
-
-def changed_documents(incoming: DataFrame, stored_docs: DataFrame) -> DataFrame:
-    """D2 + A4 + E4: incoming files that are new or strictly newer than stored.
-
-    One left join on ``file_path`` for the whole scan (no per-file lookups).
-    Adds ``old_doc_id`` (null for new files) and ``change`` (new / modified).
-    """
-    stored = stored_docs.select(F.col("file_path"), F.col("doc_id").alias("old_doc_id"),
+    def update(self, incoming: DataFrame, language: str | None = ENGLISH, stopword_list=None,
+               lang_col: str | None = None, stem: bool = False,
+               removed_paths: Iterable[str] = (), indexed_at=None) -> str | None:
+        """Index the new and modified documents of ``incoming`` and drop those of
+        ``removed_paths``; only the buckets they fall in are read and written. Returns
+        the new version, or the current one if nothing changed (as for a replayed batch).
+        """
+        ensure_checkpoint_dir(self.spark)
+        manifest = self.manifest()
+        if indexed_at is not None:
+            incoming = incoming.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp"))
+        kwargs = {"text_col": "content", "language": language, "stopword_list": stopword_list,
+                  "lang_col": lang_col, "stem": stem}
+        if manifest is None or not manifest.segments:
+            if incoming.isEmpty():
+                return manifest and manifest.version
+            if manifest is not None:
+                self.buckets = manifest.buckets
+            return self.write(build_index(incoming, **kwargs))
+        stored = self._table("documents", manifest.segments)
+        changes = changed_ids(incoming, stored)
+        gone = changes.select(F.explode(F.array("doc_id", "old_doc_id")).alias("doc_id"))
+        if removed_paths:
+            paths = self.spark.createDataFrame([(p,) for p in removed_paths], "file_path string")
+            gone = gone.unionByName(stored.join(paths, "file_path", "left_semi").select("doc_id"))
+        gone = gone.filter(F.col("doc_id").isNotNull()).distinct().checkpoint(eager=True)
+        # at most one number for each bucket
+        touched = {r["b"] for r in gone.select(
+            doc_bucket(F.col("doc_id"), manifest.buckets).alias("b")).distinct().collect()}
+        if not touched:
+            return manifest.version
+        old = {b: s for b, s in manifest.segments.items() if b in touched}
+        new_docs = incoming.join(changes.select("doc_id"), "doc_id", "left_semi")
+        fresh = build_index(new_docs, **kwargs)
+        docs, postings = new_docs, fresh.postings
+        if old:
+            kept = self._table("documents", old).join(gone, "doc_id", "left_anti")
+            docs = kept.unionByName(docs, allowMissingColumns=True)
+            postings = (self._table("postings", old).join(gone, "doc_id", "left_anti")
+                        .unionByName(postings.select("term", "doc_id", "tf", "positions")))
+        made = self._write_segment(docs, postings, manifest.buckets)
+        carried = {b: s for b, s in manifest.segments.items() if b not in touched}
+        return self._publish(carried | made, manifest.buckets)
+
+
+def changed_ids(incoming: DataFrame, stored_docs: DataFrame) -> DataFrame:
+    """D2 + A4 + E4: ``(file_path, doc_id, old_doc_id, change)`` of incoming documents
+    that are new or strictly newer than stored. Only paths, ids and times are joined;
+    the result is checkpointed."""
+    stored = stored_docs.select("file_path", F.col("doc_id").alias("old_doc_id"),
                                 F.col("modified_at").alias("stored_modified_at"))
-    joined = incoming.join(stored, "file_path", "left")
+    joined = incoming.select("file_path", "doc_id", "modified_at").join(stored, "file_path", "left")
     keep = F.col("old_doc_id").isNull() | (F.col("modified_at") > F.col("stored_modified_at"))
+    ensure_checkpoint_dir(incoming.sparkSession)
     return (joined.filter(keep)
             .withColumn("change", F.when(F.col("old_doc_id").isNull(), F.lit("new"))
                         .otherwise(F.lit("modified")))
-            .drop("stored_modified_at"))
+            .select("file_path", "doc_id", "old_doc_id", "change").checkpoint(eager=True))
 
 
 def reindex(current: Index, incoming: DataFrame, language: str | None = ENGLISH,
             stopword_list=None, lang_col: str | None = None, stem: bool = False) -> Index:
-    """Drop documents and postings of changed files (B4, B5), add their new
-    version, and re-derive ``term_stats`` and ``stats``.
-
-    Deletion is a ``left_anti`` join on ``doc_id`` against the ids being
-    replaced; document frequency is re-aggregated, so it is always exact.
+    """G4 on an index that is not stored: drop documents and postings of changed files
+    (B4, B5), add their new version, and re-derive ``term_stats`` and ``stats``.
     """
-    changed = changed_documents(incoming, current.documents)
-    replaced = changed.select(F.col("old_doc_id").alias("doc_id")).filter(F.col("doc_id").isNotNull())
-    new_docs = changed.drop("old_doc_id", "change")
+    changes = changed_ids(incoming, current.documents)
+    new_docs = incoming.join(changes.select("doc_id"), "doc_id", "left_semi")
     fresh = build_index(new_docs, text_col="content", language=language,
                         stopword_list=stopword_list, lang_col=lang_col, stem=stem)
-    gone = replaced.unionByName(new_docs.select("doc_id")).distinct()
+    gone = (changes.select(F.explode(F.array("doc_id", "old_doc_id")).alias("doc_id"))
+            .filter(F.col("doc_id").isNotNull()).distinct())
     kept_docs = current.documents.join(gone, "doc_id", "left_anti")
     kept_post = current.postings.join(gone, "doc_id", "left_anti")
     docs = kept_docs.unionByName(new_docs.select(*kept_docs.columns))

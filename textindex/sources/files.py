@@ -23,12 +23,12 @@ def file_documents(raw: DataFrame) -> DataFrame:
     """Turn ``binaryFile`` rows into documents.
 
     ``(doc_id, source_type='file', url, title, content, file_path, modified_at)``;
-    the id is a hash of the path, so a modified file keeps its id. Invalid UTF-8
+    the id is the SHA-256 of the path, so a modified file keeps its id. Invalid UTF-8
     is replaced, never an error.
     """
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return raw.select(
-        F.xxhash64(F.col("path")).alias("doc_id"),
+        F.sha2(F.col("path"), 256).alias("doc_id"),
         F.lit("file").alias("source_type"),
         F.col("path").alias("url"),
         title_from_text(text, F.col("path")).alias("title"),
@@ -37,8 +37,31 @@ def file_documents(raw: DataFrame) -> DataFrame:
         F.col("modificationTime").alias("modified_at"))
 
 
-def read_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``.txt``/``.md`` file under ``root`` (recursively) as a document."""
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """Text files that Spark's file sources pass over: those with a name, or a folder
+    below ``root``, that begins with ``_`` or ``.``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found = fs.makeQualified(path).toString().rstrip("/"), []
+    files = fs.listFiles(path, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        below = name.removeprefix(base).strip("/")
+        if name.lower().endswith((".txt", ".md")) and any(
+                part.startswith((".", "_")) for part in below.split("/")):
+            found.append(name)
+    return found
+
+
+def read_text_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
+    """Every ``.txt``/``.md`` file under ``root`` (recursively) as a document.
+
+    Spark's file sources do not read hidden files, so a tree that holds any raises,
+    unless ``skip_hidden`` says to leave them out.
+    """
+    if not skip_hidden and (hidden := hidden_files(spark, root)):
+        raise ValueError(f"{len(hidden)} hidden text files would be left out, such as {hidden[0]}; "
+                         "rename them or pass skip_hidden=True")
     raw = (spark.read.format("binaryFile")
            .option("recursiveFileLookup", "true")
            .option("pathGlobFilter", TEXT_FILE_GLOB)
