@@ -106,22 +106,29 @@ def labelled_tokens(docs: DataFrame, min_length: int = 16) -> DataFrame:
 
 def train(samples: DataFrame, min_length: int = 16, threshold: float = 10.0,
           smoothing: float = 0.5) -> MarkovModel:
-    """Fit both models to labelled tokens. At most two counts for each cell of the
-    alphabet's square reach the driver."""
+    """Fit both models to labelled tokens.
+
+    A pair's probability is smoothed towards its second character's own frequency,
+    so after a character that a model has not seen the next one still counts. At
+    most two counts for each cell of the alphabet's square reach the driver.
+    """
     counts = (samples.select("label", F.explode(_pairs(F.col("token"))).alias("cell"))
               .groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).collect())
     size = ALPHABET_SIZE
     logs = {}
     for label in (0, 1):
-        cells = [smoothing] * (size * size)
+        cells = [0] * (size * size)
         for row in counts:
             if row["label"] == label and 0 <= row["cell"] < size * size:
                 cells[row["cell"]] += row["n"]
+        total = sum(cells) + smoothing * size
+        single = [(sum(cells[c::size]) + smoothing) / total for c in range(size)]
         logs[label] = []
         for a in range(size):
             line = cells[a * size:(a + 1) * size]
-            total = math.fsum(line)
-            logs[label] += [math.log(x / total) for x in line]
+            weight = smoothing * size
+            logs[label] += [math.log((n + weight * p) / (sum(line) + weight))
+                            for n, p in zip(line, single)]
     return MarkovModel(tuple(r - o for r, o in zip(logs[1], logs[0])), min_length, threshold)
 
 
