@@ -33,9 +33,3 @@ def language_column(lang: Column) -> Column:
     """Per-row form of :func:`resolve_language` for a ``lang`` column."""
     return (F.when(F.lower(F.trim(lang)).isin(SPANISH, "es"), F.lit(SPANISH))
             .otherwise(F.lit(ENGLISH)))
-
-
-def stopwords_frame(spark, languages=(ENGLISH, SPANISH)):
-    """``stopwords(language, word)`` as a DataFrame (for joins against tables)."""
-    rows = [(resolve_language(lang), w) for lang in languages for w in stopwords(lang)]
-    return spark.createDataFrame(rows, "language string, word string")

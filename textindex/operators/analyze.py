@@ -7,26 +7,22 @@ not reflect the gaps stopwords leave).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textindex.functions.stopwords import ENGLISH, language_column, resolve_language
 from textindex.functions.text import TOKEN_PATTERN, analyzed_terms
-from textindex.operators.stemming import stem_terms
+from textindex.operators.stemming import stem_tokens
 
 
 def term_array(text, language: str | None = ENGLISH, stopword_list=None, lang_col=None,
-               stem: bool = False, pattern: str = TOKEN_PATTERN) -> Column:
-    """The analyzed terms of ``text`` as one ``array<string>`` column."""
-    terms = analyzed_terms(text, language=language, stopword_list=stopword_list,
-                           lang_col=lang_col, pattern=pattern)
-    if stem:
-        lang_expr = (language_column(F.col(lang_col) if isinstance(lang_col, str) else lang_col)
-                     if lang_col is not None else F.lit(resolve_language(language)))
-        terms = stem_terms(terms, lang_expr)
-    return terms
+               pattern: str = TOKEN_PATTERN) -> Column:
+    """The analyzed terms of ``text``, not stemmed, as one ``array<string>`` column."""
+    return analyzed_terms(text, language=language, stopword_list=stopword_list,
+                          lang_col=lang_col, pattern=pattern)
 
 
 def analyze(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
@@ -38,6 +34,23 @@ def analyze(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("do
     picks them per row (C6). ``stopword_list=[]`` disables stopwords.
     """
     terms = term_array(F.col(text_col), language=language, stopword_list=stopword_list,
-                       lang_col=lang_col, stem=stem, pattern=pattern)
-    return df.select(*[F.col(c) for c in id_cols],
-                     F.posexplode(terms).alias("pos", "term"))
+                       lang_col=lang_col, pattern=pattern)
+    tokens = df.select(*[F.col(c) for c in id_cols], F.posexplode(terms).alias("pos", "term"))
+    if not stem:
+        return tokens
+    of_row = (language_column(F.col(lang_col)) if lang_col is not None
+              else F.lit(resolve_language(language)))
+    return stem_tokens(df.select(
+        *[F.col(c) for c in id_cols], of_row.alias("language"),
+        F.posexplode(terms).alias("pos", "term"))).select(*id_cols, "pos", "term")
+
+
+def query_term_counts(spark: SparkSession, text: str | None, language: str | None = ENGLISH,
+                      stopword_list=None, stem: bool = False) -> dict[str, int]:
+    """A query string's terms with their multiplicity, by the same analysis as documents.
+
+    One row goes in, and at most the query's own terms come back.
+    """
+    row = spark.createDataFrame([(0, text)], "doc_id int, text string")
+    terms = analyze(row, language=language, stopword_list=stopword_list, stem=stem)
+    return dict(Counter(r["term"] for r in terms.collect()))

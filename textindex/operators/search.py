@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textindex.functions.analyzer import query_term_counts
 from textindex.functions.stopwords import ENGLISH
 from textindex.functions.text import idf
-from textindex.operators.analyze import analyze
+from textindex.operators.analyze import analyze, query_term_counts
 from textindex.operators.index import Index
 from textindex.session import ensure_checkpoint_dir
 
@@ -77,8 +76,8 @@ def score_documents(index: Index, query: str, language: str | None = ENGLISH,
                     stopword_list=None, stem: bool = False,
                     total_documents: int | None = None) -> DataFrame:
     """E1 + F5: ``(doc_id, score)`` for every document containing a query term."""
-    qtf = query_term_counts(query, language=language, stopword_list=stopword_list, do_stem=stem)
     spark = index.postings.sparkSession
+    qtf = query_term_counts(spark, query, language, stopword_list, stem)
     if not qtf:
         kind = index.documents.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, score double")

@@ -1,88 +1,46 @@
-"""C4: Snowball stemming on Spark.
+"""C4: stemming as a vocabulary job.
 
-Two forms:
-
-* ``stem_terms(array_col, lang_col)``: an Arrow-batched pandas UDF that stems the
-  term arrays of a batch of documents. Inside a batch every word is stemmed once
-  (pandas factorize over the flattened batch) and results are memoized per
-  worker, so Python work grows with the vocabulary, not with the token count,
-  and tokens are never shuffled.
-* ``stem_vocabulary(terms_df)``: the distinct ``(language, term)`` vocabulary with
-  its stem, a dictionary table for inspection or for stemming stored postings.
+The suffix steps of ``functions.stemming`` run once for each distinct term of a
+language, as SQL expressions; the resulting dictionary is joined back to the tokens.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from textindex.functions.snowball import stem
-
-# Per-worker memo: Python workers are reused across tasks, so a word seen once
-# on an executor is not stemmed again there. Bounded to keep memory in check.
-_MEMO: dict[tuple[str, str], str] = {}
-_MEMO_LIMIT = 2_000_000
-
-
-def _stem_unique(words: np.ndarray, language: str) -> np.ndarray:
-    out = np.empty(len(words), dtype=object)
-    for i, w in enumerate(words):
-        key = (language, w)
-        hit = _MEMO.get(key)
-        if hit is None:
-            hit = stem(w, language)
-            if len(_MEMO) < _MEMO_LIMIT:
-                _MEMO[key] = hit
-        out[i] = hit
-    return out
-
 
-def _stem_batch(arrays: pd.Series, languages: pd.Series) -> pd.Series:
-    result = [None] * len(arrays)
-    for language in pd.unique(languages):
-        idx = np.flatnonzero((languages == language).to_numpy())
-        rows = [arrays.iat[i] for i in idx]
-        lengths = np.fromiter((0 if r is None else len(r) for r in rows), dtype=np.int64,
-                              count=len(rows))
-        if lengths.sum() == 0:
-            flat_stems = np.empty(0, dtype=object)
-        else:
-            flat = np.concatenate([np.asarray(r, dtype=object) for r in rows if r is not None
-                                   and len(r)])
-            codes, uniques = pd.factorize(flat)
-            flat_stems = _stem_unique(np.asarray(uniques, dtype=object), str(language))[codes]
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        for j, i in enumerate(idx):
-            r = rows[j]
-            result[i] = None if r is None else list(flat_stems[offsets[j]:offsets[j + 1]])
-    return pd.Series(result, dtype=object)
+from textindex.functions.stemming import SPARK, english_steps, spanish_steps
+from textindex.functions.stopwords import ENGLISH, SPANISH
+from textindex.session import ensure_checkpoint_dir
 
 
-_stem_udf = F.pandas_udf(_stem_batch, T.ArrayType(T.StringType()))
+def _apply(words: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
+    for step in steps:
+        words = words.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return words.select("language", "term", "stem")
 
 
-def stem_terms(terms: Column, language: Column) -> Column:
-    """Stem every element of an ``array<string>`` column; ``language`` per row."""
-    return _stem_udf(terms, language)
+def stem_words(words: DataFrame) -> DataFrame:
+    """``(language, term, stem)`` of distinct ``(language, term)``; Spanish or English."""
+    spanish = F.col("language") == SPANISH
+    return (_apply(words.filter(spanish), spanish_steps(SPARK))
+            .unionByName(_apply(words.filter(~spanish), english_steps(SPARK))))
 
 
-def _stem_words(words: pd.Series, languages: pd.Series) -> pd.Series:
-    out = np.empty(len(words), dtype=object)
-    for language in pd.unique(languages):
-        mask = (languages == language).to_numpy()
-        out[mask] = _stem_unique(words[mask].to_numpy(dtype=object), str(language))
-    return pd.Series(out, dtype=object)
-
+def stem_vocabulary(terms_df: DataFrame, term_col: str = "term",
+                    language_col: str = "language") -> DataFrame:
+    """``(language, term, stem)`` for each distinct term of ``terms_df``."""
+    return stem_words(terms_df.select(F.coalesce(language_col, F.lit(ENGLISH)).alias("language"),
+                                      F.col(term_col).alias("term")).distinct())
 
-_stem_word_udf = F.pandas_udf(_stem_words, T.StringType())
 
+def stem_tokens(tokens: DataFrame) -> DataFrame:
+    """``tokens(language, term, ...)`` with each term replaced by its stem.
 
-def stem_vocabulary(terms_df: DataFrame, term_col: str = "term",
-                    language_col: str = "language") -> DataFrame:
-    """``(language, term, stem)`` for each distinct term: the UDF sees each word once."""
-    vocab = terms_df.select(F.col(language_col).alias("language"),
-                            F.col(term_col).alias("term")).distinct()
-    return vocab.withColumn("stem", _stem_word_udf(F.col("term"), F.col("language")))
+    The dictionary is checkpointed, so the join's two sides are plain shuffles and
+    Spark can split the tokens of a frequent term.
+    """
+    ensure_checkpoint_dir(tokens.sparkSession)
+    stems = stem_vocabulary(tokens).checkpoint(eager=True)
+    return (tokens.join(stems, ["language", "term"])
+            .select(*[F.col("stem").alias("term") if c == "term" else F.col(c) for c in tokens.columns]))

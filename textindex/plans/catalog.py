@@ -639,15 +639,21 @@ def q_delete_reindex(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# C4, G3 stemmed: checked on rows by the driver and by golden tests
+# C4, G3 stemmed
 # --------------------------------------------------------------------------
 
 from textindex.operators.stemming import stem_vocabulary  # noqa: E402
 
 STEMMED_QUERY_TEXT = "threes ing bles running"
 
+_STEM_TOKENS_SQL = f"""raw AS (
+  SELECT doc_id, CASE WHEN lower(trim(lang)) IN ('spanish', 'es') THEN 'spanish' ELSE 'english' END AS language,
+         unnest(t) AS term, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos
+  FROM (SELECT doc_id, lang, {S.terms_by_lang('text', 'lang')} AS t FROM documents)),
+{S.stem_ctes('raw')}"""
 
-@register("stem_vocabulary")
+
+@register("stem_vocabulary", f"WITH {_STEM_TOKENS_SQL}\nSELECT language, term, stem FROM st_stems")
 def q_stem_vocabulary(spark, sf_dir):
     terms = analyze(corpus_documents(spark, sf_dir).withColumn(
         "language", language_column(F.col("lang"))), "content", ("doc_id", "language"),
@@ -655,13 +661,27 @@ def q_stem_vocabulary(spark, sf_dir):
     return stem_vocabulary(terms)
 
 
-@register("analyze_stemmed")
+@register("analyze_stemmed", f"""WITH {_STEM_TOKENS_SQL}
+SELECT doc_id, pos, stem AS term FROM raw JOIN st_stems USING (language, term)""")
 def q_analyze_stemmed(spark, sf_dir):
     return analyze(read_table(spark, sf_dir, "documents"), "text", ("doc_id",),
                    lang_col="lang", stem=True)
 
 
-@register("search_stemmed")
+@register("search_stemmed", f"""WITH plain AS (
+  SELECT doc_id, 'english' AS language, unnest({S.terms('text')}) AS term FROM documents
+  UNION ALL SELECT NULL, 'english', unnest({S.terms(S.sql_str(STEMMED_QUERY_TEXT))})),
+{S.stem_ctes('plain')},
+toks AS (SELECT doc_id, stem AS term FROM plain JOIN st_stems USING (language, term)),
+q AS (SELECT term, count(*) AS qtf FROM toks WHERE doc_id IS NULL GROUP BY term),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM toks WHERE doc_id IS NOT NULL GROUP BY term, doc_id),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents),
+scores AS (SELECT doc_id, round(sum(tf * qtf * {S.idf('df', 'n')}), 6) AS score
+           FROM tf JOIN dfs USING (term) JOIN q USING (term) CROSS JOIN n GROUP BY doc_id),
+docs AS ({S.CORPUS_DOCS})
+SELECT doc_id, title, url, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+FROM scores JOIN docs USING (doc_id) QUALIFY rank <= 10""")
 def q_search_stemmed(spark, sf_dir):
     return search(corpus_index(spark, sf_dir, stem=True), STEMMED_QUERY_TEXT, page=1,
                   limit=10, stem=True)

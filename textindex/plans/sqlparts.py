@@ -211,3 +211,22 @@ def resolve(base: str, href: str) -> str:
 def word_count(expr: str) -> str:
     return (f"CAST(len(list_filter(regexp_split_to_array({expr}, '{WHITESPACE_CLASS}+'), "
             f"lambda x: x <> '')) AS BIGINT)")
+
+
+def stem_ctes(tokens: str, prefix: str = "st") -> str:
+    """CTEs that end in ``<prefix>_stems(language, term, stem)`` for the distinct terms
+    of a relation ``tokens(language, term, ...)``: the published steps, one CTE each."""
+    from textindex.functions.stemming import DUCKDB, english_steps, spanish_steps
+
+    ctes, ends = [], []
+    for language, steps in (("spanish", spanish_steps(DUCKDB)), ("english", english_steps(DUCKDB))):
+        name, columns = f"{prefix}_{language}", ["language", "term"]
+        ctes.append(f"{name}0 AS (SELECT DISTINCT language, term FROM {tokens} WHERE language = '{language}')")
+        for i, step in enumerate(steps):
+            kept = [c for c in columns if c not in step]
+            columns = kept + list(step)
+            made = kept + [f"{sql} AS {c}" for c, sql in step.items()]
+            ctes.append(f"{name}{i + 1} AS MATERIALIZED (SELECT {', '.join(made)} FROM {name}{i})")
+        ends.append(f"SELECT language, term, stem FROM {name}{len(steps)}")
+    ctes.append(f"{prefix}_stems AS ({' UNION ALL '.join(ends)})")
+    return ",\n".join(ctes)
