@@ -36,6 +36,7 @@ LETTERS = 64          # folded alphabet: 0 is a gap, 1-26 a-z, the rest other le
 SEED = 20241
 UNDETERMINED = "und"
 _TOGETHER = 128       # documents whose trigrams are bundled in one product
+_PART = 1 << 13       # trigram numbers whose counts are summed in one group
 _SLICE = 1 << 20      # characters of a text that are turned to numbers at a time
 
 
@@ -136,35 +137,41 @@ def train(samples: DataFrame, dimensions: int = DIMENSIONS) -> LanguageModel:
                 # a text counts as a whole: its trigrams' weights are of length one
                 held[grams] += np.sqrt(n) / max(1.0, np.sqrt(n.sum()))
         for lang, held in sums.items():
-            grams = np.flatnonzero(held)
-            yield pa.RecordBatch.from_pydict({
-                "lang": [lang], "grams": pa.array([grams.astype("<i4").tobytes()], pa.binary()),
-                "weights": pa.array([held[grams].astype("<f8").tobytes()], pa.binary())})
+            for part in range(0, len(held), _PART):
+                grams = part + np.flatnonzero(held[part:part + _PART])
+                if len(grams):
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": [lang], "part": pa.array([part], pa.int32()),
+                        "grams": pa.array([grams.astype("<i4").tobytes()], pa.binary()),
+                        "weights": pa.array([held[grams].astype("<f8").tobytes()], pa.binary())})
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        held = np.zeros(LETTERS ** 3)
+        part = key[1].as_py()
+        held = np.zeros(_PART)
         for g, w in zip(table.column("grams"), table.column("weights")):
-            held[np.frombuffer(g.as_py(), "<i4")] += np.frombuffer(w.as_py(), "<f8")
+            held[np.frombuffer(g.as_py(), "<i4") - part] += np.frombuffer(w.as_py(), "<f8")
         grams = np.flatnonzero(held)
-        return pa.table({"lang": [key[0].as_py()],
-                         "grams": pa.array([grams.astype("<i4").tobytes()], pa.binary()),
+        return pa.table({"lang": [key[0].as_py()], "part": pa.array([part], pa.int32()),
+                         "grams": pa.array([(part + grams).astype("<i4").tobytes()], pa.binary()),
                          "weights": pa.array([held[grams].astype("<f8").tobytes()], pa.binary())})
 
-    schema = "lang string, grams binary, weights binary"
+    schema = "lang string, part int, grams binary, weights binary"
     counted = (samples.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
                .select("text", "lang").mapInArrow(count, schema)
-               .groupBy("lang").applyInArrow(add, schema))
-    rows = sorted(counted.collect(), key=lambda r: r["lang"])
+               .groupBy("lang", "part").applyInArrow(add, schema))
+    rows: dict[str, list] = {}
+    for r in sorted(counted.collect(), key=lambda r: (r["lang"], r["part"])):
+        rows.setdefault(r["lang"], []).append(
+            (np.frombuffer(r["grams"], "<i4").astype(np.int64), np.frombuffer(r["weights"], "<f8")))
     space = Space(dimensions)
-    bundles = [space.bundle(np.frombuffer(r["grams"], "<i4").astype(np.int64),
-                            np.frombuffer(r["weights"], "<f8")) for r in rows]
+    bundles = [sum(space.bundle(g, w) for g, w in parts) for parts in rows.values()]
     if not bundles:
         return LanguageModel((), np.zeros((0, dimensions), np.float32))
     units = np.array([b / max(np.linalg.norm(b), 1e-9) for b in bundles])
     if len(units) > 1:
         units = units - units.mean(axis=0)
         units /= np.maximum(np.linalg.norm(units, axis=1), 1e-9)[:, None]
-    return LanguageModel(tuple(r["lang"] for r in rows), units.astype(np.float32))
+    return LanguageModel(tuple(rows), units.astype(np.float32))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
