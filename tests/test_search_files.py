@@ -140,6 +140,18 @@ def test_update_rewrites_only_touched_buckets(spark, corpus_dir, tmp_dir):
     assert store.update(read_text_files(spark, corpus_dir)) == second.version
 
 
+def test_stored_lookup_reaches_the_scan(spark, corpus_dir, tmp_dir):
+    store = IndexStore(spark, os.path.join(tmp_dir, "store"), buckets=4)
+    store.write(build_index(read_text_files(spark, corpus_dir), indexed_at="2024-05-06 07:08:09"))
+    index = store.read()
+    assert str(index.stats.first().last_indexed_at) == "2024-05-06 07:08:09"
+    found = index.postings.filter(F.col("term").isin("apple", "fruit"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [apple,fruit])]" in plan
+    assert {r.term for r in found.collect()} == {"apple", "fruit"}
+    assert scores(index, "apple") == scores(build_index(read_text_files(spark, corpus_dir)), "apple")
+
+
 def test_removal_that_empties_a_bucket(spark, corpus_dir, tmp_dir):
     store = IndexStore(spark, os.path.join(tmp_dir, "store"), buckets=64)
     docs = read_text_files(spark, corpus_dir)

@@ -1,7 +1,6 @@
 """Column expressions for text analysis (tokenize, normalize, stopwords, titles, IDF).
 
-All of these are built-in Spark SQL expressions, so they run inside whole-stage
-codegen with no Python in the hot path.
+All of these are built-in Spark SQL expressions: no Python runs on the executors.
 """
 
 from __future__ import annotations

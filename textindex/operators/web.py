@@ -15,12 +15,14 @@ MIN_CONTENT_BYTES = 100
 
 
 def page_documents(pages: DataFrame, id_col: str = "page_id",
-                   min_bytes: int = MIN_CONTENT_BYTES) -> DataFrame:
+                   min_bytes: int = MIN_CONTENT_BYTES, modified_at=None) -> DataFrame:
     """C8 + C9 + C10 + C16: one web document per page with enough visible text.
 
     ``(doc_id, source_type='web', url, title, content)``. One document per URL,
     the row with the highest id wins (V7); the dedup window partitions by URL,
-    which holds one row per copy of a page, not per term or host.
+    which holds one row per copy of a page, not per term or host. A copy that is too
+    short does not replace a longer one. ``modified_at`` (a timestamp or its text)
+    adds the time of the snapshot.
     """
     docs = pages.select(
         F.col(id_col).alias("doc_id"),
@@ -33,8 +35,11 @@ def page_documents(pages: DataFrame, id_col: str = "page_id",
     # ranks long-enough pages first and the filter stays above it.
     docs = docs.withColumn("_long", H.has_min_content(F.col("content"), min_bytes))
     latest = Window.partitionBy("url").orderBy(F.col("_long").desc(), F.col("doc_id").desc())
-    return (docs.withColumn("_n", F.row_number().over(latest))
+    docs = (docs.withColumn("_n", F.row_number().over(latest))
             .filter((F.col("_n") == 1) & F.col("_long")).drop("_n", "_long"))
+    if modified_at is None:
+        return docs
+    return docs.withColumn("modified_at", F.lit(modified_at).cast("timestamp"))
 
 
 def same_host_links(base, html) -> F.Column:

@@ -359,6 +359,11 @@ _VARIANTS_SPARK = [
     ("net_path", lambda h, host: F.concat(F.lit("//"), host, h)),
     ("query", lambda h, host: F.concat(F.lit("?q="), F.regexp_replace(h, "^/", ""))),
     ("fragment", lambda h, host: F.concat(F.lit("#"), F.regexp_replace(h, "^/", ""))),
+    ("non_ascii", lambda h, host: F.concat(h, F.lit("/é ü?q=é#ñ"))),
+    ("escaped", lambda h, host: F.concat(F.lit("/%61/../%65"), h)),
+    ("bad_escape", lambda h, host: F.concat(h, F.lit("%zz"))),
+    ("bad_port", lambda h, host: F.concat(F.lit("//"), host, F.lit(":x1"), h)),
+    ("colon_first", lambda h, host: F.concat(F.lit("1:"), h)),
 ]
 _VARIANTS_SQL = [
     ("as_is", "href"),
@@ -368,6 +373,11 @@ _VARIANTS_SQL = [
     ("net_path", f"'//' || {S.hostname('base')} || href"),
     ("query", "'?q=' || regexp_replace(href, '^/', '')"),
     ("fragment", "'#' || regexp_replace(href, '^/', '')"),
+    ("non_ascii", "href || '/é ü?q=é#ñ'"),
+    ("escaped", "'/%61/../%65' || href"),
+    ("bad_escape", "href || '%zz'"),
+    ("bad_port", f"'//' || {S.hostname('base')} || ':x1' || href"),
+    ("colon_first", "'1:' || href"),
 ]
 
 

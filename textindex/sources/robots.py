@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textindex.functions import urls as U
 
+# Fixed value: the agent whose robots group applies by default.
 USER_AGENT = "MyCrawler/1.0 (+https://example.com/bot)"
 
 # Robots.txt templates for derived hosts, chosen by
