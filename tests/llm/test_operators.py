@@ -445,17 +445,46 @@ def test_contamination(spark, docs, empty, per_block, monkeypatch):
 
 # -- pipeline ----------------------------------------------------------------
 
-def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_dir):
+def test_pipeline_against_brute_force(spark, tmp_dir):
+    """Each stage against brute force on what the stage before kept."""
     import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    cols, before = docs.columns, docs.count()
+    from test_units import edf
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(TEXTS)]
+    items = [(0, " ".join(TEXTS[15].split()[31:80])), (1, sentence(random.Random(1), 30)), (2, None)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_dir}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
-        path = os.path.join(tmp_dir, name)
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-        assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == cols
-    assert 0.8 * before < docs.count() <= before
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+        stage(spark, docs, tmp_dir).write.parquet(f"{tmp_dir}/{name}")
+        docs = spark.read.parquet(f"{tmp_dir}/{name}")
+        seen.append(docs.collect())
+        assert name == "mixing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    spoken, lines, single, clean, mixed = ([tuple(r)[:5] for r in sorted(rs)] for rs in seen)
+    assert {r[0] for r in rows if sum(map(str.isalpha, r[1] or "")) > 60} <= {r[0] for r in spoken}
+    assert not {r[0] for r in rows if not any(map(str.isalpha, r[1] or ""))} & {r[0] for r in spoken}
+    assert set(spoken) <= set(rows)
+    left = {d: "\n".join(kept) for d, (_, kept) in brute_lines(spoken).items()}
+    assert {r[0]: r[1] for r in lines} == {d: t for d, t in left.items() if t.strip(" ")}
+    assert all(r[4] == len(r[1]) for r in lines)
+    assert {r[0] for r in single} == {c for _, _, c, _ in brute_links(lines, 5, 80)} < {r[0] for r in lines}
+    bad = {d for d, *_ in brute_contained(single, items)}
+    assert bad and {r[0] for r in clean} == {r[0] for r in single} - bad
+    assert set(mixed) == set(clean)
+    counts = collections.Counter(r[3] for r in clean)
+    blocks = {s: -(-n // mixing.BLOCK_DOCS) for s, n in counts.items()}
+    order = edf(blocks, mixing.target_weights(counts), mixing.QUANTUM)
+    slots = {r["slot"]: r["source"] for r in seen[-1]}
+    assert [slots[i] for i in range(len(slots))] == order
+    assert sorted(r["position"] for r in seen[-1]) == list(range(len(clean)))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, tmp_dir).collect())) == sorted(map(tuple, seen[-1]))
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_dir):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, tmp_dir).collect() == []
