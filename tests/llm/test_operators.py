@@ -323,6 +323,29 @@ def test_jaccard_family_over_many_blocks(spark, seed, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(df).collect())) == sorted(brute_links(rows))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    from textindex.llm.graph import components
+
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(330)]
+    edges += [(1000 + i, 1000 + (i + 1) % 60) for i in range(60)] + [(5000, i) for i in range(5001, 5200)]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in root)
+
+
 # -- 8 ---------------------------------------------------------------------
 
 def test_language(spark, docs, empty):

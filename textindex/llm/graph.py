@@ -28,8 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(
             large.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
             .filter("src <> dst").union(least.select("src", F.col("m").alias("dst"))).distinct(), "edges")
-        # done once every edge leads to a node from which none leads on
-        if not now.select("dst").join(now.select(F.col("src").alias("dst")), "dst", "left_semi").limit(1).count():
+        # done once these are stars: every node leads to one other, which leads nowhere
+        several = now.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("src")
+        onward = now.select(F.col("dst").alias("src")).join(now, "src", "left_semi").select("src")
+        if several.union(onward).isEmpty():
             break
     return (now.select(F.col("src").alias("node"), F.col("dst").alias("label"))
             .union(now.select(F.col("dst").alias("node"), F.col("dst").alias("label")).distinct()))
