@@ -121,14 +121,16 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
     ids = previous_ids(base.select("k", F.floor(F.length("text") / 2).cast("int").alias("half"),
                                    F.xxhash64("text").alias("h")))
-    own = (base.join(ids, "k")
-           .withColumn("fp", fingerprint(paragraphs(F.col("text")))))
-    following = (own.filter(F.xxhash64("text") == F.col("pick"))
+    # Both uses of the texts are dealt by the key alone, so they share one shuffle;
+    # the test by XOR, unlike an equality, does not become a second join key.
+    following = (base.join(ids, "k")
+                 .filter(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
                  .select(F.col("prev_k").alias("k"),
                          F.struct(F.left("text", "prev_half").alias("head"),
-                                  F.col("fp").alias("next_fp")).alias("next"))
+                                  fingerprint(paragraphs(F.col("text"))).alias("next_fp")).alias("next"))
                  .groupBy("k").agg(F.max("next").alias("next")))
-    both = (own.select("k", "text", "fp").join(following, "k", "left")
+    both = (base.join(following, "k", "left")
+            .withColumn("fp", fingerprint(paragraphs(F.col("text"))))
             .withColumn("n_chars", F.length("text"))
             .withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
             .withColumn("edited", F.concat(F.left("text", F.col("n_chars") - F.col("half")),
