@@ -54,6 +54,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _literal_array(values: list[str]) -> Column:
     """An array literal, folded once: joined by a character that no value has."""
     return F.split(F.lit("\x1f".join(values)), "\x1f")
@@ -83,12 +88,14 @@ def _reference(ref: Column) -> Column:
 
 def decode_entities(c) -> Column:
     """Character references resolved in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    text = _col(c)
-    pieces = F.split(text, REFERENCE_PATTERN, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0)), _reference)
-    joined = F.array_join(F.zip_with(pieces, found, lambda p, r: F.concat(
-        p, F.coalesce(r, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def decoded(text: Column) -> Column:
+        pieces = F.split(text, REFERENCE_PATTERN, -1)
+        found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0)), _reference)
+        joined = F.array_join(F.zip_with(pieces, found, lambda p, r: F.concat(
+            p, F.coalesce(r, F.lit("")))), "")
+        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    return _once(_col(c), decoded)
 
 
 def html_title(html) -> Column:
@@ -103,9 +110,9 @@ def without_hidden(html) -> Column:
 
 def html_body(html) -> Column:
     """What is inside the body; all but the head, if there is no body tag."""
-    shown = without_hidden(html)
-    return (F.when(F.rlike(shown, F.lit(BODY_TAG_PATTERN)), F.regexp_extract(shown, BODY_PATTERN, 1))
-            .otherwise(F.regexp_replace(shown, HEAD_PATTERN, " ")))
+    return _once(without_hidden(html), lambda shown: (
+        F.when(F.rlike(shown, F.lit(BODY_TAG_PATTERN)), F.regexp_extract(shown, BODY_PATTERN, 1))
+        .otherwise(F.regexp_replace(shown, HEAD_PATTERN, " "))))
 
 
 def visible_text(html) -> Column:
