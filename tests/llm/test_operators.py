@@ -323,6 +323,18 @@ def test_jaccard_family_over_many_blocks(spark, seed, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(df).collect())) == sorted(brute_links(rows))
 
 
+def test_jaccard_of_the_smallest_sets_that_link(spark):
+    """Texts of 7 to 9 words and the same with one word added, at the pipeline's 80."""
+    rows = []
+    for n in (7, 8, 9):
+        text = [f"w{n}x{i}" for i in range(n)]
+        rows += [(10 * n, " ".join(text)), (10 * n + 1, " ".join([*text, "added"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(brute_links(rows, 5, 80))
+    assert [c for _, _, c, _ in want] == [70, 71, 80, 80, 90, 90]
+    assert sorted(map(tuple, jaccard.jaccard_components(df, words=5, threshold=80).collect())) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_random_graphs(spark, seed):
     from textindex.llm.graph import components

@@ -113,6 +113,19 @@ def test_common_counts_intersections(monkeypatch):
         assert got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
 
 
+@pytest.mark.parametrize("threshold", [50, 67, 75, 80, 85, 90, 95])
+def test_small_sets_that_can_link_are_not_settled(threshold):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{n}x{i}" for i in range(n + more)) for n in range(1, 25) for more in (0, 1)]
+    table = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    asked = jaccard._ask(1, 1)((pa.scalar(0),), table)
+    done = jaccard._settle(1, threshold, 1)((pa.scalar(0),), table, jaccard._answer((), asked))
+    kept = [s is not None for s in done.column("shingles").to_pylist()]
+    for n in range(1, 25):          # n words and the same n with one more: similarity n / (n + 1)
+        assert 100 * n < threshold * (n + 1) or kept[2 * n - 2] and kept[2 * n - 1]
+
+
 def test_window_search_finds_items_anywhere():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]

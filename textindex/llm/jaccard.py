@@ -20,7 +20,7 @@ frequency, rare ones first, and linked sets share a shingle among the first
    of links, not its pairs, so thousands of near copies cost no pair rows.
 4. Connected components of the links give each document the smallest id it reaches.
 
-Sets of up to ``t / (1 - t)`` shingles link only with equal sets. Shingles are
+Sets of fewer than ``t / (1 - t)`` shingles link only with equal sets. Shingles are
 compared by 64-bit hashes.
 
 Edge cases: null or empty text, or text without words, is the empty set, linked
@@ -104,7 +104,7 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
 
 
 def _settle(words: int, threshold: int, shards: int):
-    smallest = 1 + threshold // (100 - threshold)
+    smallest = -(-threshold // (100 - threshold))     # n shingles in n + 1 reach n / (n + 1)
 
     def settle(key: tuple, texts: pa.Table, said: pa.Table) -> pa.Table:
         """Each document's set size and digest, and the ordered set if it may link."""
