@@ -382,6 +382,23 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, model).collect() == []
 
 
+def test_language_stage_drops_unknown_languages_and_keeps_short_texts(spark):
+    import corpus_pipeline
+    from conftest import SF01
+
+    rng = random.Random(9)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
+    foreign = [(10 ** 9 + i, " ".join("".join(rng.choices(letters[i % 3], k=rng.randint(2, 9))) for _ in range(n)))
+               for i, n in enumerate([10, 30, 100, 300] * 75)]
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang")
+    df = docs.unionByName(spark.createDataFrame(foreign, "doc_id long, text string").withColumn(
+        "lang", F.lit(None).cast("string")).coalesce(1))
+    stayed = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, df, SF01).select("doc_id").collect()}
+    # all documents with a letter stay, of 4 characters up
+    assert {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))} <= stayed
+    assert len(stayed & {i for i, _ in foreign}) <= 0.03 * len(foreign)
+
+
 # -- 9 ---------------------------------------------------------------------
 
 def test_fingerprints(docs, empty):

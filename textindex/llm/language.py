@@ -7,6 +7,11 @@ frequency. A language's prototype is the bundle over all its training documents,
 less the mean of the prototypes, which all languages share. A document goes to
 the prototype with the largest cosine.
 
+Cosines of unrelated random vectors scatter by ``1 / sqrt(DIMENSIONS)``, so a score
+tells languages apart but not a text of none of them. ``likeness`` does: the largest
+cosine of the trigram weights themselves, what the score tends to with ever more
+dimensions.
+
 Training counts trigrams per language over every training document. What reaches
 the driver is one vector of counts for each language, of a size that the folded
 alphabet fixes; languages are named by ``lang`` values, of which there are few.
@@ -113,12 +118,33 @@ class Space:
 class LanguageModel:
     languages: tuple[str, ...]
     prototypes: np.ndarray      # one unit row a language
+    grams: np.ndarray           # the trigrams of all languages, sorted
+    weights: np.ndarray         # their weights, one centred unit row a language
+
+
+def best_of(prototypes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest prototype, and their cosine (0 if negative)."""
+    norms = np.linalg.norm(vectors, axis=1)
+    cosines = vectors @ prototypes.T / np.maximum(norms, 1e-9)[:, None]
+    best = cosines.argmax(axis=1)
+    return best, np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
+
 
-    def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        norms = np.linalg.norm(vectors, axis=1)
-        cosines = vectors @ self.prototypes.T / np.maximum(norms, 1e-9)[:, None]
-        best = cosines.argmax(axis=1)
-        return best, np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
+def likeness(grams: np.ndarray, weights: np.ndarray, found: np.ndarray, n: np.ndarray) -> float:
+    """The largest cosine of a text's counted trigrams with a language's weights."""
+    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+    known = grams[at] == found
+    cosines = weights[:, at[known]] @ np.sqrt(n[known]) / max(1.0, np.sqrt(n.sum()))
+    return float(np.clip(cosines.max(), 0.0, 1.0))
+
+
+def _centred(rows: np.ndarray) -> np.ndarray:
+    """Unit rows, less what all of them share."""
+    units = rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]
+    if len(units) > 1:
+        units = units - units.mean(axis=0)
+        units /= np.maximum(np.linalg.norm(units, axis=1), 1e-9)[:, None]
+    return units.astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,34 +192,45 @@ def train(samples: DataFrame, dimensions: int = DIMENSIONS) -> LanguageModel:
     space = Space(dimensions)
     bundles = [sum(space.bundle(g, w) for g, w in parts) for parts in rows.values()]
     if not bundles:
-        return LanguageModel((), np.zeros((0, dimensions), np.float32))
-    units = np.array([b / max(np.linalg.norm(b), 1e-9) for b in bundles])
-    if len(units) > 1:
-        units = units - units.mean(axis=0)
-        units /= np.maximum(np.linalg.norm(units, axis=1), 1e-9)[:, None]
-    return LanguageModel(tuple(rows), units.astype(np.float32))
-
-
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced)."""
-    @pandas_udf("lang_pred string, score double")
+        return LanguageModel((), np.zeros((0, dimensions), np.float32),
+                             np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+    grams = np.unique(np.concatenate([g for parts in rows.values() for g, _ in parts]))
+    weights = np.zeros((len(rows), len(grams)))
+    for row, parts in zip(weights, rows.values()):
+        for g, w in parts:
+            row[np.searchsorted(grams, g)] = w
+    return LanguageModel(tuple(rows), _centred(np.array(bundles)), grams, _centred(weights))
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text",
+             with_likeness: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, and ``likeness`` if asked for
+    (columns of these names are replaced)."""
+    added = ["lang_pred", "score", *(["likeness"] if with_likeness else [])]
+    languages, prototypes = model.languages, model.prototypes
+    profile = (model.grams, model.weights) if with_likeness else None
+
+    @pandas_udf("lang_pred string, score double" + (", likeness double" if with_likeness else ""))
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        space = Space(model.prototypes.shape[1])
+        space = Space(prototypes.shape[1])
         for series in texts:
             names = np.full(len(series), UNDETERMINED, dtype=object)
-            scores = np.zeros(len(series))
-            known = [i for i, t in enumerate(series) if _has_letter(t)] if model.languages else []
+            scores, likes = np.zeros(len(series)), np.zeros(len(series))
+            known = [i for i, t in enumerate(series) if _has_letter(t)] if languages else []
             for at in range(0, len(known), _TOGETHER):
                 part = known[at:at + _TOGETHER]
-                best, score = model.score(space.texts([trigram_counts(series.iloc[i]) for i in part]))
-                names[part] = np.array(model.languages, dtype=object)[best]
+                counted = [trigram_counts(series.iloc[i]) for i in part]
+                best, score = best_of(prototypes, space.texts(counted))
+                names[part] = np.array(languages, dtype=object)[best]
                 scores[part] = score
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+                if profile:
+                    likes[part] = [likeness(*profile, *c) for c in counted]
+            yield pd.DataFrame(dict(zip(added, (names, scores, likes))))
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in added]
     predicted = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
                             guess(F.col(f"`{text}`")).alias("guess"))
-    return predicted.select("row.*", "guess.lang_pred", "guess.score")
+    return predicted.select("row.*", *[f"guess.{c}" for c in added])
 
 
 def fit(docs: DataFrame) -> LanguageModel:
