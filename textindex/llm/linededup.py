@@ -5,7 +5,9 @@ of ``min_chars`` code points or more are hashed to 128 bits; distinct hashes are
 dealt into shards. Each shard is a minimal perfect hash over its distinct hashes
 (levels of bit arrays, in which a hash that is alone at its place is settled, the
 others going on to the next level) and three compact arrays that it indexes:
-fingerprints, counts (of holders) and first holders. Documents do not join lines:
+fingerprints, counts and first holders. A count is 1 for one holder and 2 for
+several, all that dropping needs; it is not the number of holders. A shard is built
+and probed over the same rows, in one call. Documents do not join lines:
 they are dealt into small blocks, a block sends each distinct hash once to the
 hash's shard (so a line in a third of all documents costs a row for each block of
 one task, not for each document), probes the arrays there, and gets back only the
@@ -111,7 +113,7 @@ class LineShard:
         return out
 
     def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0 if unknown) and first holders of the given hashes."""
+        """Counts (0 if unknown, 1 for one holder, 2 for several) and first holders of the given hashes."""
         index = self.index(high, low)
         known = index >= 0
         known[known] = self.fingerprints[index[known]] == (low[known] >> np.uint64(32)).astype(np.uint32)
