@@ -86,6 +86,16 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).collect() == []
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    texts = ["alpha beta gamma delta epsilon. one two three four five six.",
+             "one two three four five six. zulu yankee xray whiskey victor uniform."]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    got = substrings.remove_repeats(df).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 1]
+    assert all(sum(part in r["text"] for r in got) == 1
+               for part in ("alpha beta gamma", "one two three four five six", "zulu yankee"))
+
+
 # -- 2 ---------------------------------------------------------------------
 
 def test_mixing_positions_and_deviation(docs, empty):

@@ -8,8 +8,9 @@ that a third of all documents holds is one row a task), the occurrence that come
 first by document id and place is kept, and all others are removed. Removed units
 are reported with their places in the original text.
 
-Edge cases: null text is empty; rows that share a doc_id are one document, so the
-same place in them counts once; a null doc_id is the last in rank; units repeated
+Edge cases: null text is empty; rows that share a doc_id and text are one document,
+so the same place in them counts once; rows that share a doc_id alone are documents of
+their own, told apart and ranked by a hash of the text; a null doc_id is the last in rank; units repeated
 in one document lose all but the first; an empty table gives no rows. Other
 columns are not read and may have any name.
 """
@@ -44,40 +45,42 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, byt
 def _unit_rows(min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, starts, ends, digests = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs, texts, starts, ends, digests = [], [], [], [], []
+            for doc, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for start, end, digest in units(text or "", min_words):
                     docs.append(doc)
+                    texts.append(h)
                     starts.append(start)
                     ends.append(end)
                     digests.append(digest)
             both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({
-                "k": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int32()),
+                "k": pa.array(docs, pa.int64()), "h": pa.array(texts, pa.int64()), "start": pa.array(starts, pa.int32()),
                 "end": pa.array(ends, pa.int32()), "a": pa.array(both[:, 0].copy()),
                 "b": pa.array(both[:, 1].copy())})
     return rows
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(k, start, end)`` of every unit to remove, ``docs`` being ``(k, text)``."""
-    found = docs.select("k", "text").mapInArrow(
-        _unit_rows(min_words), "k long, start int, end int, a long, b long")
-    place = F.struct("k", "start")
+    """``(k, h, start, end)`` of every unit to remove, ``docs`` being ``(k, h, text)``."""
+    found = docs.select("k", "h", "text").mapInArrow(
+        _unit_rows(min_words), "k long, h long, start int, end int, a long, b long")
+    place = F.struct("k", "h", "start")
     first = (found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter("first != last").select("a", "b", "first"))
-    return (found.join(first, ["a", "b"]).filter(F.struct("k", "start") != F.col("first"))
-            .select("k", "start", "end"))
+    return (found.join(first, ["a", "b"]).filter(place != F.col("first"))
+            .select("k", "h", "start", "end"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, n_removed, removed_chars, removed, text)``: the text without repeats,
     and the places of what was removed as ``start:end``, comma-joined."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce("doc_id", F.lit(_LAST)).alias("k"))
-    spans = (repeated_units(base, min_words).groupBy("k")
+                       F.coalesce("doc_id", F.lit(_LAST)).alias("k"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    spans = (repeated_units(base, min_words).groupBy("k", "h")
              .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
-    joined = base.join(spans, "k", "left").withColumn(
+    joined = base.join(spans, ["k", "h"], "left").withColumn(
         "spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
     # what stays lies between the removed spans
     stops = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("text")))
