@@ -13,9 +13,47 @@ PAGES = [
     ("<body><a href='/q'>1</a> <a class=x href=/bare>2</a> <A HREF=\"/d&eacute;f\">3</a><!-- <a href=/no> -->",
      "1 2 3", ["/q", "/bare", "/déf"]),
     ("<ul><li>a</li><li>b</li></ul><noscript><a href=/n>n</a></noscript>", "a b", []),
+    ('<body><a title="a>b" href="/z">link</a> <img alt=\'<a href="/no">\' src=x>', "link", ["/z"]),
+    ("<body><p title=don't>it</p><p>isn't</p>", "it isn't", []),
+    ("<body><textarea><a href=/in>t&amp;</a></textarea><iframe><a href=/f>f</a></iframe>",
+     "<a href=/in>t&</a><a href=/f>f</a>", []),
+    ("<body>&copy 2020 caf&eacute; caf&eacute &copy2020 &notit; &#233 &amp&lt <b>&am</b>p;",
+     "© 2020 café café ©2020 ¬it; é &< &amp;", []),
+    ('<body><a href="?a=1&copy=2&lt;&reg">x</a><a name=n>y</a><a href>z</a><a data-href=/n href = "/s" href=/t>w</a>',
+     "xyzw", ["?a=1&copy=2<®", "", "/s"]),
+    ("<!doctype html><!-- <body> --><html><head><meta a='>'><script>if (a<b) '<p>'</script></head>\n <p>in</p> x",
+     "in x", []),
+    ("plain <b>text</b> 1 < 2 </ x> <", "plain text 1 < 2 <", []),
+    ("<head><title>T</title>\n early <body>late", "early late", []),
+    ('<body>a<p class="never closed>b</p>', "a", []),
+    ("<svg><title>icon</title></svg><TITLE>u</TITLE>end", "iconuend", []),
     ("", "", []),
     (None, None, None),
 ]
+# Html and the title expected of it.
+TITLES = [
+    ("<!-- <title>old</title> --><title>new</title>", "new"),
+    ("<script>var t='<title>js</title>';</script><title lang='a>b'> x &amp\ty </title>", "x &\ty"),
+    ("<title>not <b>closed</b>", "not <b>closed</b>"), ("<p>none</p>", ""), ("<TITLE>a</title><title>b</title>", "a"),
+    ("<textarea><title>t</title></textarea>", ""), ("", ""), (None, None),
+]
+
+
+def test_titles(spark):
+    df = spark.createDataFrame([(h,) for h, _ in TITLES], "html string")
+    assert [r.t for r in df.select(H.html_title("html").alias("t")).collect()] == [t for _, t in TITLES]
+
+
+def test_large_pages(spark):
+    """Pages whose tags, scripts, comments and texts are long need no deep recursion."""
+    many = "<p a='>' b=\"<\">w</p>" * 50_000
+    long = "<body><!--" + "-" * 3_000_000 + "--><script>" + "<" * 3_000_000 + "</script><i t='" + "x" * 3_000_000 + "'>end"
+    wide = "<body><a " + "x='>' " * 2_000 + "href=/w>wide"
+    df = spark.createDataFrame([(many,), (long,), (wide,)], "html string")
+    got = [(len(r.t), r.l) for r in df.select(H.visible_text("html").alias("t"), H.hrefs("html").alias("l")).collect()]
+    assert got == [(99_999, []), (3, []), (4, ["/w"])]
+
+
 
 
 def test_text_and_links(spark):

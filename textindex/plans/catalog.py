@@ -453,7 +453,8 @@ def q_union_postings(spark, sf_dir):
 
 
 # Every page is also rewritten: links single-quoted or bare, no body tag, a body end
-# inside a script, references named and numeric.
+# inside a script, references named, numeric and without semicolons, ">" in attributes,
+# titles in comments and scripts, markup in raw-text elements.
 _HTML_FORMS = [
     ("single_quoted", "replace(html, '\"', '\\'')", "replace(html, '\"', chr(39))"),
     ("bare", """regexp_replace(html, 'href="([^" ]*)"', 'href=$1')""",
@@ -463,18 +464,24 @@ _HTML_FORMS = [
      "replace(html, '<body>', '<body><script>var s=\"</body>\";</script>')"),
     ("references", "replace(html, '<p>', '<p>caf&eacute; &#233;&#xE9; &amp;lt; &hellip; ')",
      "replace(html, '<p>', '<p>caf&eacute; &#233;&#xE9; &amp;lt; &hellip; ')"),
+    *[(name, *[f"replace(html, '{old}', '{new}')"] * 2) for name, old, new in (
+    ("no_semicolon", "<p>", '<p>&copy 2020 caf&eacute &#233 &#xE9x&amp&ltb <a href="/q?a=1&copy=2&amp;b=3&lt">l</a> '),
+    ("quoted_gt", "<p>", '<p title="a>b" data-x=c>x<a title="a>b" class=k href="/z>q">z</a><img alt="<a href=/no>"> '),
+    ("hidden_title", "<title>", '<!-- <title>old</title> --><script>var t="<title>js</title>";</script><title lang="a>b">'),
+    ("raw_text", "<p>", '<p><textarea rows=2><a href="/in">t&amp;</a></textarea><iframe><a href="/f">f</a></iframe> '),
+    ("upper", "<p>", '<P CLASS="x"><SCRIPT TYPE="a>b">no()</SCRIPT><A HREF=/up>up</A><B>old</B> '))],
 ]
 
 
 @register("html_variants", f"""
-SELECT page_id, form, {S.visible_text('html')} AS text, array_to_string({S.hrefs('html')}, ' ') AS links FROM (
+SELECT page_id, form, {S.html_title('html')} AS title, {S.visible_text('html')} AS text, array_to_string({S.hrefs('html')}, ' ') AS links FROM (
   {" UNION ALL ".join(f"SELECT page_id, '{n}' AS form, {q} AS html FROM pages" for n, _, q in _HTML_FORMS)})""")
 def q_html_variants(spark, sf_dir):
     forms = F.array(*[F.struct(F.lit(n).alias("form"), F.expr(e).alias("html")) for n, e, _ in _HTML_FORMS])
     pages = (read_table(spark, sf_dir, "pages").select("page_id", F.explode(forms).alias("f"))
              .select("page_id", "f.form", "f.html"))
-    return pages.select("page_id", "form", H.visible_text("html").alias("text"),
-                        joined(H.hrefs("html")).alias("links"))
+    return pages.select("page_id", "form", H.html_title("html").alias("title"),
+                        H.visible_text("html").alias("text"), joined(H.hrefs("html")).alias("links"))
 
 
 # --------------------------------------------------------------------------

@@ -80,53 +80,84 @@ CORPUS_DOCS = (f"SELECT doc_id, 'file' AS source_type, {DOC_PATH} AS url, "
 # from the Spark expressions that it checks.
 # ---------------------------------------------------------------------------
 
-# The named references that the test pages and their variants hold.
+# The named references that the test pages and their variants hold, and
+# those of them that may lack their semicolon.
 _NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
           "middot": "·", "copy": "©", "reg": "®", "eacute": "é", "hellip": "…"}
-
-
-def decode_entities(expr: str) -> str:
-    named = " ".join(f"WHEN {sql_str('&' + n + ';')} THEN {sql_str(t)}" for n, t in _NAMES.items())
-    ref = "'&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);'"
-    one = (f"CASE r {named} ELSE CASE "
-           f"WHEN regexp_matches(r, '^&#[0-9]+;$') THEN chr(CAST(regexp_extract(r, '[0-9]+') AS INTEGER)) "
+_OPEN_NAMES = "amp lt gt quot nbsp middot copy reg eacute".split()
+
+
+def decode_entities(expr: str, attribute: bool = False) -> str:
+    named = " ".join(f"WHEN r = {sql_str('&' + n + ';')} THEN {sql_str(t)}" for n, t in _NAMES.items())
+    if attribute:       # whole names only, and none before an equals sign
+        loose = " ".join(f"WHEN r = {sql_str('&' + n)} THEN {sql_str(_NAMES[n])}" for n in _OPEN_NAMES)
+    else:
+        loose = " ".join(f"WHEN starts_with(r, {sql_str('&' + n)}) THEN {sql_str(_NAMES[n])} || "
+                         f"substring(r, {len(n) + 2})" for n in _OPEN_NAMES)
+    ref = f"'&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*{'[;=]?' if attribute else ';?'})'"
+    one = (f"CASE {named} "
+           f"WHEN regexp_matches(r, '^&#[0-9]+;?$') THEN chr(CAST(regexp_extract(r, '[0-9]+') AS INTEGER)) "
            f"WHEN regexp_matches(r, '^&#[xX]') THEN "
            f"chr(CAST('0x' || regexp_extract(r, '^&#[xX]([0-9A-Fa-f]+)', 1) AS INTEGER)) "
-           f"ELSE r END END")
+           f"{loose} ELSE r END")
     return (f"list_reduce(list_transform(string_split_regex({expr}, {ref}), lambda p, i: p || coalesce("
             f"list_transform(regexp_extract_all({expr}, {ref}), lambda r: {one})[i], '')), "
             f"lambda a, b: a || b)")
 
 
-def html_title(html: str) -> str:
-    return trim_go(decode_entities(
-        f"regexp_extract({html}, '(?is)<title[^a-z>]*[^>]*>(.*?)</title[ \\t\\r\\n\\f]*>', 1)"))
+# A page as a list of comments, raw elements, tags and texts; the patterns are RE2's,
+# which has neither look-ahead nor back-references.
+_IN_TAG = r"""(?:=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)|[^>])*"""
+_RAW_NAMES = "script style noscript textarea title iframe xmp noembed noframes".split()
+_RAW_ELEMENTS = "|".join(rf"<{n}(?:[\s/]{_IN_TAG})?>.*?(?:</{n}(?:[\s/][^>]*)?>|\z)" for n in _RAW_NAMES)
+_LEXER = rf"(?is)<!--.*?(?:-->|\z)|<!{_IN_TAG}>|{_RAW_ELEMENTS}|</?[a-z]{_IN_TAG}>|[^<]+|<"
+
+
+def _lexed(html: str) -> str:
+    return f"regexp_extract_all({html}, {sql_str(_LEXER)})"
 
 
-def shown(html: str) -> str:
-    return (f"regexp_replace({html}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
-            f"|<noscript\\b.*?</noscript\\s*>', ' ', 'g')")
+def _named(l: str) -> str:
+    return f"lower(regexp_extract({l}, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1))"
+
+
+def _content(l: str) -> str:
+    """Inside of a raw element."""
+    start = sql_str(rf"(?is)^<[a-z]+(?:[\s/]{_IN_TAG})?>")
+    return f"regexp_replace(regexp_replace({l}, {start}, ''), '(?is)</[a-z]+[^<>]*>$', '')"
+
+
+def html_title(html: str) -> str:
+    first = f"list_filter(lx, lambda l: {_named('l')} = 'title')[1]"
+    return (f"(SELECT coalesce({trim_go(decode_entities('t'))}, '') FROM (SELECT {_content(first)} AS t "
+            f"FROM (SELECT {_lexed(html)} AS lx)))")
 
 
 def visible_text(html: str) -> str:
-    body = (f"(CASE WHEN regexp_matches({shown(html)}, '(?i)<body\\b') "
-            f"THEN split_part(regexp_extract({shown(html)}, '(?is)<body[^>]*>(.*)', 1), '</body>', 1) "
-            f"ELSE regexp_replace({shown(html)}, "
-            f"'(?is)<!doctype[^>]*>|<head\\b.*?</head>|<title\\b.*?</title>', ' ', 'g') END)")
-    blocks = ("address|article|aside|blockquote|br|d[dlt]|div|fig(?:ure|caption)|footer|form|h[1-6]|h[er]|header"
-              "|li|main|nav|[ou]l|p|pre|section|t(?:able|body|d|foot|h|head|r)")
-    out = f"regexp_replace({body}, '(?i)</?(?:{blocks})(?:[ \\t\\r\\n/][^>]*)?>', ' ', 'g')"
-    out = f"regexp_replace({out}, '</?[a-zA-Z][^>]*>', '', 'g')"
-    return (f"(SELECT {collapse_ws(decode_entities('shown_text'))} FROM (SELECT {out} AS shown_text))")
+    head = ("('', 'html', 'head', 'title', 'meta', 'link', 'base', 'basefont', 'bgsound', 'script', 'style', "
+            "'noscript', 'noframes', 'template')")
+    opener = (f"CASE WHEN l LIKE '<%' AND l <> '<' THEN {_named('l')} NOT IN {head} AND {_named('l')} NOT LIKE '/%' "
+              f"ELSE {trim_go('l')} <> '' END")
+    blocks = ("^/?(?:address|article|aside|blockquote|br|d[dlt]|div|fig(?:ure|caption)|footer|form|h[1-6]|h[er]|header"
+              "|li|main|nav|[ou]l|p|pre|section|t(?:able|body|d|foot|h|head|r))$")
+    piece = (f"CASE WHEN l NOT LIKE '<%' OR l = '<' THEN l WHEN l LIKE '<!%' THEN ' ' "
+             f"WHEN {_named('l')} IN ('script', 'style', 'noscript') OR regexp_matches({_named('l')}, '{blocks}') THEN ' ' "
+             f"WHEN {_named('l')} IN {sql_in_list(_RAW_NAMES)} THEN {_content('l')} ELSE chr(1) END")
+    joined = f"replace({decode_entities('shown_text')}, chr(1), '')"
+    return (f"(SELECT coalesce({collapse_ws(joined)}, '') FROM ("
+            f"SELECT array_to_string(list_transform(lx[first_shown:], lambda l: {piece}), '') AS shown_text FROM ("
+            f"SELECT lx, coalesce(list_position(list_transform(lx, lambda l: {opener}), true), len(lx) + 1) AS first_shown "
+            f"FROM (SELECT {_lexed(html)} AS lx))))")
 
 
 def hrefs(html: str) -> str:
-    pattern = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    found = f"regexp_extract_all({shown(html)}, {sql_str(pattern)}, 1)"
-    bare = "trim(h, '\"' || chr(39))"
-    for ref, text in (("&quot;", '"'), ("&#38;", "&"), ("&lt;", "<"), ("&amp;", "&")):
-        bare = f"replace({bare}, {sql_str(ref)}, {sql_str(text)})"
-    return f"list_transform({found}, lambda h: {bare})"
+    attribute = r"""[^\s/>=<]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?"""
+    links = f"list_filter({_lexed(html)}, lambda l: {_named('l')} = 'a')"
+    first = (f"list_filter(regexp_extract_all(l, {sql_str(attribute)}), "
+             f"lambda x: regexp_matches(x, '(?i)^href(?:\\s*=|$)'))[1]")
+    bare = f"trim(regexp_replace(h, '(?i)^href(?:\\s*=\\s*)?', ''), '\"' || chr(39))"
+    return (f"list_transform(list_filter(list_transform({links}, lambda l: {first}), lambda h: h IS NOT NULL), "
+            f"lambda h: {decode_entities(bare, attribute=True)})")
 
 
 def scheme(u: str) -> str:
