@@ -183,13 +183,6 @@ def test_unreadable_root_is_an_error(spark, tmp_dir):
         IndexStore(spark, "nosuchscheme://host/x").current_version()
 
 
-def test_hidden_files_are_an_error(spark, corpus_dir):
-    write_tree(corpus_dir, {"_drafts/b.txt": "draft", ".hidden.md": "x"})
-    with pytest.raises(ValueError, match="2 hidden"):
-        read_text_files(spark, corpus_dir)
-    assert read_text_files(spark, corpus_dir, skip_hidden=True).count() == 7
-
-
 def test_frequent_term_is_spread_over_tasks(spark):
     docs = spark.range(400).select(
         F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.lit("u").alias("url"),

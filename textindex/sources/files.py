@@ -4,23 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textindex.functions.text import title_from_text
-
-# Extensions .txt and .md in any letter case, as a glob for the file source.
-TEXT_FILE_GLOB = "*.{[tT][xX][tT],[mM][dD]}"
-
-BINARY_FILE_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("modificationTime", T.TimestampType(), False),
-    T.StructField("length", T.LongType(), False),
-    T.StructField("content", T.BinaryType(), True),
-])
-
+from textindex.sources import tree
 
 def file_documents(raw: DataFrame) -> DataFrame:
-    """Turn ``binaryFile`` rows into documents.
+    """Turn rows ``(path, modificationTime, length, content)`` into documents.
 
     ``(doc_id, source_type='file', url, title, content, file_path, modified_at)``;
     the id is the SHA-256 of the path, so a modified file keeps its id. Invalid UTF-8
@@ -37,33 +26,11 @@ def file_documents(raw: DataFrame) -> DataFrame:
         F.col("modificationTime").alias("modified_at"))
 
 
-def hidden_files(spark: SparkSession, root: str) -> list[str]:
-    """Text files that Spark's file sources pass over: those with a name, or a folder
-    below ``root``, that begins with ``_`` or ``.``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, found = fs.makeQualified(path).toString().rstrip("/"), []
-    files = fs.listFiles(path, True)
-    while files.hasNext():
-        name = files.next().getPath().toString()
-        below = name.removeprefix(base).strip("/")
-        if name.lower().endswith((".txt", ".md")) and any(
-                part.startswith((".", "_")) for part in below.split("/")):
-            found.append(name)
-    return found
-
-
 def read_text_files(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
     """Every ``.txt``/``.md`` file under ``root`` (recursively) as a document.
 
-    Spark's file sources do not read hidden files, so a tree that holds any raises,
+    Files and folders whose names begin with ``_`` or ``.`` count like any other,
     unless ``skip_hidden`` says to leave them out.
     """
-    if not skip_hidden and (hidden := hidden_files(spark, root)):
-        raise ValueError(f"{len(hidden)} hidden text files would be left out, such as {hidden[0]}; "
-                         "rename them or pass skip_hidden=True")
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", TEXT_FILE_GLOB)
-           .load(root))
-    return file_documents(raw)
+    tree.register(spark)
+    return file_documents(spark.read.format(tree.FORMAT).option("skipHidden", str(skip_hidden).lower()).load(root))
