@@ -153,7 +153,7 @@ def test_stored_lookup_reaches_the_scan(spark, corpus_dir, tmp_dir):
 
 
 def test_removal_that_empties_a_bucket(spark, corpus_dir, tmp_dir):
-    store = IndexStore(spark, os.path.join(tmp_dir, "store"), buckets=64)
+    store = IndexStore(spark, os.path.join(tmp_dir, "store"), buckets=4096)    # so that no two files share one
     docs = read_text_files(spark, corpus_dir)
     store.write(build_index(docs))
     before = store.manifest()

@@ -10,11 +10,14 @@ An index is four DataFrames:
 * ``stats(total_documents, total_terms, last_indexed_at)``: one row, derived.
 
 An index built in this session also keeps its ``tokens(doc_id, pos, term)``, so a
-search can filter them to its own terms before any aggregation.
+search can filter them to its own terms before any aggregation. A stored index has
+``postings_of``, which opens only the parts that hold given terms, and knows its
+``total_documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ class Index:
     term_stats: DataFrame
     stats: DataFrame
     tokens: DataFrame | None = None
+    postings_of: Callable[[list[str]], DataFrame] | None = None
+    total_documents: int | None = None
 
 
 def build_postings(terms: DataFrame, doc_col: str = "doc_id") -> DataFrame:

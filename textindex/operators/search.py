@@ -37,6 +37,7 @@ def validate_paging(page, limit) -> tuple[int, int]:
 
 
 def _total_documents(index: Index, total_documents: int | None) -> DataFrame:
+    total_documents = index.total_documents if total_documents is None else total_documents
     if total_documents is not None:
         return index.stats.sparkSession.range(1).select(
             F.lit(int(total_documents)).cast("long").alias("total_documents"))
@@ -57,16 +58,20 @@ def term_weights(df_by_term: DataFrame, qtf: dict[str, int], n: DataFrame) -> Da
                              * F.element_at(qtf_map, F.col("term"))).alias("weight")))
 
 
-def _matches(index: Index, keep) -> DataFrame:
+def _matches(index: Index, keep, terms: list[str] | None = None) -> DataFrame:
     """``(term, doc_id, tf)`` of the postings that ``keep`` selects, written once.
 
+    A stored index looks up ``terms`` where they lie, if they are known by name.
+
     ``keep`` is applied to single tokens, before any aggregation, so only tokens
     of query terms are shuffled (by ``doc_id``, which spreads a frequent term) and
     counted. The result goes to the checkpoint folder: frequencies and scores both
     read it, and the corpus is tokenized once.
     """
     ensure_checkpoint_dir(index.postings.sparkSession)
-    if index.tokens is None:
+    if terms is not None and index.postings_of is not None:
+        found = index.postings_of(terms).select("term", "doc_id", "tf").repartition("doc_id")
+    elif index.tokens is None:
         found = keep(index.postings).select("term", "doc_id", "tf").repartition("doc_id")
     else:
         found = (keep(index.tokens).select("term", "doc_id").repartition("doc_id")
@@ -83,7 +88,7 @@ def score_documents(index: Index, query: str, language: str | None = ENGLISH,
     if not qtf:
         kind = index.documents.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, score double")
-    matches = _matches(index, lambda rows: rows.filter(F.col("term").isin(sorted(qtf))))
+    matches = _matches(index, lambda rows: rows.filter(F.col("term").isin(sorted(qtf))), sorted(qtf))
     df_by_term = matches.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = term_weights(df_by_term, qtf, _total_documents(index, total_documents))
     return (matches.join(F.broadcast(weights), "term")

@@ -639,7 +639,7 @@ def q_changed_docs(spark, sf_dir):
     return changed_ids(_incoming(spark, sf_dir), stored).select("file_path", "doc_id", "change")
 
 
-@register("delete_reindex", f"""WITH {_INCOMING_SQL},
+_REINDEXED_SQL = f"""WITH {_INCOMING_SQL},
 final_docs AS (
   SELECT doc_id, CASE WHEN lang = 'en' AND modified_at <= TIMESTAMP '{STORED_AT}'
                       THEN translate(content, '{OLD_WORDING[0]}', '{OLD_WORDING[1]}')
@@ -649,12 +649,39 @@ toks AS (SELECT doc_id, unnest(t) AS term, CAST(unnest(range(0, len(t))) AS INTE
          FROM (SELECT doc_id, {S.terms('content')} AS t FROM final_docs))
 SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf,
        string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
-FROM toks GROUP BY term, doc_id""")
+FROM toks GROUP BY term, doc_id"""
+
+
+@register("delete_reindex", _REINDEXED_SQL)
 def q_delete_reindex(spark, sf_dir):
     idx = reindex(_stored_index(spark, sf_dir), _incoming(spark, sf_dir))
     return idx.postings.select("term", "doc_id", "tf", joined_ints("positions").alias("positions"))
 
 
+@register("update_stored", _REINDEXED_SQL)
+def q_update_stored(spark, sf_dir):
+    """The same change through a stored index: only changed documents are analyzed again."""
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    store.write(_stored_index(spark, sf_dir))
+    store.update(_incoming(spark, sf_dir))
+    return store.read().postings.select("term", "doc_id", "tf", joined_ints("positions").alias("positions"))
+
+
+@register("stored_stats", f"""WITH {_INCOMING_SQL},
+toks AS (SELECT doc_id, unnest({S.terms(f"""CASE WHEN lang = 'en' AND modified_at <= TIMESTAMP '{STORED_AT}'
+  THEN translate(content, '{OLD_WORDING[0]}', '{OLD_WORDING[1]}') ELSE content END""")}) AS term FROM incoming)
+SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM incoming) AS total_documents,
+       (SELECT count(DISTINCT term) FROM toks) AS total_terms
+FROM toks GROUP BY term""")
+def q_stored_stats(spark, sf_dir):
+    """Statistics of a stored and updated index, merged from its buckets' counts."""
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", buckets=8)
+    store.write(_stored_index(spark, sf_dir))
+    store.update(_incoming(spark, sf_dir))
+    index = store.read()
+    return index.term_stats.crossJoin(F.broadcast(index.stats.select("total_documents", "total_terms")))
+
+
 # --------------------------------------------------------------------------
 # C4, G3 stemmed
 # --------------------------------------------------------------------------

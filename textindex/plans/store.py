@@ -1,24 +1,39 @@
-"""A versioned parquet store for the index and incremental re-indexing.
+"""A versioned parquet store for the index and incremental re-indexing.
 
 Layout under a root on shared storage::
 
-    <root>/segments/<uuid>/documents/bucket=<b>/part-*.parquet
-    <root>/segments/<uuid>/postings/bucket=<b>/part-*.parquet
-    <root>/versions/v00000001-<uuid>/        one manifest row per live bucket
-
-Both tables are bucketed by document (``pmod(xxhash64(doc_id), buckets)``), so a
-changed document touches one bucket of each. A write makes a new segment that holds
-the touched buckets alone, then a manifest that names, for every bucket, the segment
-it lives in; untouched buckets are carried over by name. Nothing is ever replaced: a
-version counts once Spark has committed its manifest (``_SUCCESS``), a job that dies
-leaves at most an unnamed segment, and a retry takes new names. Within a segment rows
-are sorted by bucket and term, so parquet statistics prune row groups for a lookup
-of terms. The bucket count is kept in the manifest. One writer at a time.
+    <root>/segments/<uuid>/documents/bucket=<b>/     rows of a document bucket
+    <root>/segments/<uuid>/postings/bucket=<b>/
+    <root>/segments/<uuid>/term_counts/bucket=<b>/   (term, df) of the bucket's documents
+    <root>/segments/<uuid>/terms/term_part=<t>/      the same postings, addressed by term
+    <root>/segments/<uuid>/paths/path_part=<p>/      (file_path, doc_id, modified_at)
+    <root>/segments/<uuid>/info/                     one row: which of these folders exist
+    <root>/versions/v00000001-<uuid>/                one manifest row per live bucket
+
+Documents and their postings are dealt by document (``pmod(xxhash64(doc_id), buckets)``),
+so a changed document touches one bucket of each. A write makes a new segment that holds
+the touched buckets alone, then a manifest that names, for every bucket, the segment it
+lives in; untouched buckets are carried over by name. Nothing is ever replaced: a version
+counts once Spark has committed its manifest (``_SUCCESS``), a job that dies leaves at
+most an unnamed segment, and a retry takes new names. One writer at a time.
+
+What is read follows from what is asked:
+
+* a lookup of terms opens the parts that the terms' hashes name, where rows are sorted by
+  term (a frequent term fills several files, split by document) and carry bloom filters;
+* a change scan opens the parts that the incoming paths' hashes name;
+* document frequencies and totals are merged from the live buckets' ``term_counts`` and
+  the manifest's counts; no postings are read.
+
+Rows of ``terms`` and ``paths`` name their bucket and segment, and count while the manifest
+has that bucket in that segment. The bucket count is chosen anew when the documents have
+outgrown it ``GROWTH`` times.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -30,27 +45,58 @@ from textindex.operators.index import Index, build_index, doc_frequency, index_s
 from textindex.session import ensure_checkpoint_dir
 
 DOCS_PER_BUCKET = 20_000
+ROWS_PER_PART = 2_000_000
+GROWTH = 4
+POSTING_COLUMNS = ("term", "doc_id", "tf", "positions")
 
 
 def doc_bucket(doc_id_col, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id_col), F.lit(buckets)).cast("int")
 
 
+def part_of(name: Column, parts: int) -> Column:
+    """The part of ``terms`` or ``paths`` that a term or path falls in; as ``part_number``."""
+    return (F.crc32(F.encode(name, "UTF-8")) % parts).cast("int")
+
+
+def part_number(name: str, parts: int) -> int:
+    return zlib.crc32(name.encode()) % parts
+
+
+@dataclass(frozen=True)
+class Segment:
+    """What a segment holds: its buckets, those with postings, and its parts."""
+    name: str
+    buckets: frozenset[int]
+    posted: frozenset[int]
+    term_parts: int
+    terms: frozenset[int]
+    path_parts: int
+    paths: frozenset[int]
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: str
     buckets: int
     segments: dict[int, str]      # live bucket -> segment
+    documents: dict[int, int]     # live bucket -> number of documents
+    indexed_at: dict[int, object]
+    batch: str | None
 
 
 class IndexStore:
-    """``buckets`` is taken at the first write only; by default one for each
-    ``DOCS_PER_BUCKET`` documents of that write."""
+    """``buckets`` (of documents) and ``parts`` (of terms and of paths) are by default
+    chosen from the rows: one for each ``DOCS_PER_BUCKET`` documents or ``ROWS_PER_PART``
+    rows."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None,
+                 parts: int | None = None, docs_per_bucket: int = DOCS_PER_BUCKET):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        self.parts = parts
+        self.docs_per_bucket = docs_per_bucket
 
     # -- versions -----------------------------------------------------------
     def _versions(self) -> list[str]:
@@ -74,57 +120,139 @@ class IndexStore:
         version = version or self.current_version()
         if version is None:
             return None
-        rows = (self.spark.read.schema("bucket int, segment string, buckets int")
-                .parquet(f"{self.root}/versions/{version}").collect())
-        return Manifest(version, rows[0]["buckets"],
-                        {r["bucket"]: r["segment"] for r in rows if r["bucket"] is not None})
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/versions/{version}").collect()
+        live = [r for r in rows if r["bucket"] is not None]
+        return Manifest(version, rows[0]["buckets"], {r["bucket"]: r["segment"] for r in live},
+                        {r["bucket"]: r["documents"] for r in live},
+                        {r["bucket"]: r["indexed_at"] for r in live}, rows[0]["batch"])
 
-    def _publish(self, segments: dict[int, str], buckets: int) -> str:
+    def _publish(self, live: dict[int, tuple], buckets: int, batch: str | None = None) -> str:
+        """``live``: bucket -> (segment, documents, indexed_at)."""
         current = self.current_version()
         number = int(current[1:9]) + 1 if current else 1
         version = f"v{number:08d}-{uuid.uuid4().hex[:12]}"
-        rows = [(b, s, buckets) for b, s in sorted(segments.items())] or [(None, None, buckets)]
-        (self.spark.createDataFrame(rows, "bucket int, segment string, buckets int").coalesce(1)
+        rows = [(b, s, buckets, n, t, batch) for b, (s, n, t) in sorted(live.items())]
+        (self.spark.createDataFrame(rows or [(None, None, buckets, None, None, batch)], MANIFEST).coalesce(1)
          .write.parquet(f"{self.root}/versions/{version}"))
         return version
 
     # -- segments -----------------------------------------------------------
-    def _write_segment(self, documents: DataFrame, postings: DataFrame, buckets: int) -> dict[int, str]:
-        """Write the rows' buckets as a new segment; bucket -> segment."""
+    def _folder(self, segment: str, table: str) -> str:
+        return f"{self.root}/segments/{segment}/{table}"
+
+    def _write_segment(self, documents: DataFrame, postings: DataFrame, buckets: int) -> dict[int, tuple]:
+        """Write the rows' buckets as a new segment; bucket -> (segment, documents, indexed_at).
+
+        The analysis behind ``postings`` runs once: all other tables are made from the
+        rows that were written.
+        """
         segment = uuid.uuid4().hex
+
+        def write(rows: DataFrame, table: str, *order: str) -> DataFrame:
+            writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write
+            if table == "terms":
+                writer = writer.option("parquet.bloom.filter.enabled#term", "true")
+            writer.partitionBy(order[0]).parquet(self._folder(segment, table))
+            return self.spark.read.schema(rows.schema).parquet(self._folder(segment, table))
+
         bucket = doc_bucket(F.col("doc_id"), buckets)
-        for name, rows, order in (("documents", documents, ["bucket", "doc_id"]),
-                                  ("postings", postings, ["bucket", "term", "doc_id"])):
-            (rows.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order)
-             .write.partitionBy("bucket").parquet(f"{self.root}/segments/{segment}/{name}"))
-        held = (self.spark.read.parquet(f"{self.root}/segments/{segment}/documents")
-                .select("bucket").distinct().collect()) if not documents.isEmpty() else []
-        return {r["bucket"]: segment for r in held}
-
-    def _table(self, name: str, segments: dict[int, str], like: DataFrame | None = None) -> DataFrame | None:
-        """The rows of a table in the given buckets."""
-        paths = [f"{self.root}/segments/{s}/{name}/bucket={b}" for b, s in sorted(segments.items())]
-        if not paths:
-            return like.limit(0) if like is not None else None
-        if name == "postings":          # a bucket may hold documents without any term
-            jvm = self.spark._jvm
-            conf = self.spark._jsc.hadoopConfiguration()
-            found = []
-            for p in paths:
-                folder = jvm.org.apache.hadoop.fs.Path(p)
-                if folder.getFileSystem(conf).exists(folder):
-                    found.append(p)
-            paths = found
-            if not paths:
-                return self.spark.createDataFrame(
-                    [], "term string, doc_id string, tf int, positions array<int>")
-        return self.spark.read.parquet(*paths)
+        docs = write(documents.withColumn("bucket", bucket), "documents", "bucket", "doc_id")
+        posts = write(postings.select(*POSTING_COLUMNS, bucket.alias("bucket")), "postings", "bucket", "term", "doc_id")
+        last = F.max("indexed_at") if "indexed_at" in docs.columns else F.lit(None).cast("timestamp")
+        held = {r["bucket"]: (segment, r["n"], r["t"]) for r in
+                docs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), last.alias("t")).collect()}
+        counts = write(posts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")),
+                       "term_counts", "bucket", "term")
+        sizes = counts.groupBy("bucket").agg(F.sum("df").alias("n")).collect()
+        term_parts = self.parts or max(1, -(-sum(r["n"] for r in sizes) // ROWS_PER_PART))
+        terms = write(posts.select(*POSTING_COLUMNS, "bucket", F.lit(segment).alias("segment"),
+                                   part_of(F.col("term"), term_parts).alias("term_part")),
+                      "terms", "term_part", "term", "doc_id")
+        path_parts = self.parts or max(1, -(-sum(n for _, n, _ in held.values()) // ROWS_PER_PART))
+        path_numbers: list[int] = []
+        if {"file_path", "modified_at"} <= set(docs.columns):
+            paths = write(docs.filter(F.col("file_path").isNotNull()).select(
+                "file_path", "doc_id", "modified_at", "bucket", F.lit(segment).alias("segment"),
+                part_of(F.col("file_path"), path_parts).alias("path_part")), "paths", "path_part", "file_path")
+            path_numbers = _numbers(paths, "path_part")
+        row = (sorted(held), sorted(r["bucket"] for r in sizes), term_parts, _numbers(terms, "term_part"),
+               path_parts, path_numbers)
+        self.spark.createDataFrame([row], INFO).coalesce(1).write.parquet(self._folder(segment, "info"))
+        return held
+
+    def _infos(self, segments: Iterable[str]) -> dict[str, Segment]:
+        """What the given segments hold, one row each."""
+        names = sorted(set(segments))
+        if not names:
+            return {}
+        rows = (self.spark.read.schema(INFO).parquet(*[self._folder(s, "info") for s in names])
+                .select("*", F.regexp_extract(F.input_file_name(), "/segments/([0-9a-f]+)/info/", 1).alias("s"))
+                .collect())
+        return {r["s"]: Segment(r["s"], frozenset(r["buckets"]), frozenset(r["posted"]), r["term_parts"],
+                                frozenset(r["terms"]), r["path_parts"], frozenset(r["paths"])) for r in rows}
+
+    def _buckets(self, table: str, segments: dict[int, str]) -> DataFrame | None:
+        """Rows of a bucketed table in the given buckets; None if there are none.
+
+        A segment that is wanted whole is one folder, whose buckets Spark lists.
+        """
+        frames, single = [], []
+        infos = self._infos(segments.values())
+        for name, info in sorted(infos.items()):
+            there = info.buckets if table == "documents" else info.posted
+            wanted = {b for b, s in segments.items() if s == name} & there
+            if wanted and wanted == there:
+                frames.append(self.spark.read.parquet(self._folder(name, table)).drop("bucket"))
+            else:
+                single += [f"{self._folder(name, table)}/bucket={b}" for b in sorted(wanted)]
+        if single:
+            frames.append(self.spark.read.parquet(*single))
+        out = None
+        for frame in frames:
+            out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
+        return out
+
+    def _documents(self, segments: dict[int, str]) -> DataFrame | None:
+        return self._buckets("documents", segments)
+
+    def _postings(self, segments: dict[int, str], documents: DataFrame) -> DataFrame:
+        found = self._buckets("postings", segments)     # a bucket may hold documents without any term
+        if found is not None:
+            return found
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        return self.spark.createDataFrame([], f"term string, doc_id {kind}, tf int, positions array<int>")
+
+    def _live(self, rows: DataFrame, manifest: Manifest, infos: dict[str, Segment]) -> DataFrame:
+        """Those rows whose bucket still lives in their segment; a row a bucket is broadcast."""
+        whole = all(info.buckets <= {b for b, s in manifest.segments.items() if s == name}
+                    for name, info in infos.items())
+        if whole:
+            return rows
+        live = self.spark.createDataFrame(sorted(manifest.segments.items()), "bucket int, segment string")
+        return rows.join(F.broadcast(live), ["bucket", "segment"], "left_semi")
+
+    def _addressed(self, table: str, manifest: Manifest, wanted) -> DataFrame | None:
+        """Live rows of ``terms`` or ``paths`` in the parts that ``wanted(number of parts)`` names."""
+        infos, folders = self._infos(manifest.segments.values()), []
+        for name, info in sorted(infos.items()):
+            parts, there = ((info.term_parts, info.terms) if table == "terms" else (info.path_parts, info.paths))
+            folders += [f"{self._folder(name, table)}/{table[:-1]}_part={p}" for p in sorted(wanted(parts) & there)]
+        if not folders:
+            return None
+        return self._live(self.spark.read.parquet(*folders), manifest, infos)
 
     # -- write / read -------------------------------------------------------
-    def write(self, index: Index) -> str:
-        """B1 + B2: write a whole index as a new version."""
-        buckets = self.buckets or max(1, -(-index.documents.count() // DOCS_PER_BUCKET))
-        return self._publish(self._write_segment(index.documents, index.postings, buckets), buckets)
+    def write(self, index: Index, batch: str | None = None) -> str:
+        """B1 + B2: write a whole index as a new version, in buckets of its own size."""
+        buckets = self.buckets or max(1, -(-index.documents.count() // self.docs_per_bucket))
+        return self._publish(self._write_segment(index.documents, index.postings, buckets), buckets, batch)
+
+    def postings_of(self, terms: Iterable[str], manifest: Manifest | None = None) -> DataFrame | None:
+        """A5: postings of the given terms, from the parts that hold them; None if no part does."""
+        terms = sorted(set(terms))
+        found = self._addressed("terms", manifest or self.manifest(),
+                                lambda parts: {part_number(t, parts) for t in terms})
+        return None if found is None else found.filter(F.col("term").isin(terms)).select(*POSTING_COLUMNS)
 
     def read(self, version: str | None = None) -> Index:
         manifest = self.manifest(version)
@@ -132,22 +260,47 @@ class IndexStore:
             raise FileNotFoundError(f"no index version under {self.root}")
         if not manifest.segments:
             raise FileNotFoundError(f"version {manifest.version} holds no documents")
-        docs = self._table("documents", manifest.segments)
-        postings = self._table("postings", manifest.segments)
-        term_stats = doc_frequency(postings)
-        indexed = "indexed_at" if "indexed_at" in docs.columns else None
-        return Index(documents=docs, postings=postings, term_stats=term_stats,
-                     stats=index_stats(docs, term_stats, indexed))
+        docs = self._documents(manifest.segments)
+        postings = self._postings(manifest.segments, docs)
+        counts = self._buckets("term_counts", manifest.segments)
+        term_stats = (doc_frequency(postings) if counts is None else
+                      counts.groupBy("term").agg(F.sum("df").alias("df")))
+        total = sum(manifest.documents.values())
+        last = max((t for t in manifest.indexed_at.values() if t is not None), default=None)
+        stats = term_stats.agg(F.count(F.lit(1)).alias("total_terms")).select(
+            F.lit(total).cast("long").alias("total_documents"), "total_terms",
+            F.lit(last).cast("timestamp").alias("last_indexed_at"))
+
+        def postings_of(terms: Iterable[str]) -> DataFrame:
+            found = self.postings_of(terms, manifest)
+            return postings.limit(0) if found is None else found
+
+        return Index(documents=docs, postings=postings, term_stats=term_stats, stats=stats,
+                     postings_of=postings_of, total_documents=total)
+
+    def stored_paths(self, manifest: Manifest, paths: DataFrame) -> DataFrame | None:
+        """A4: ``(file_path, doc_id, modified_at, bucket)`` of the stored documents in the
+        parts that the column ``file_path`` of ``paths`` falls in."""
+        sizes = sorted({i.path_parts for i in self._infos(manifest.segments.values()).values()})
+        if not sizes:
+            return None
+        # at most as many numbers as there are parts
+        met = paths.select(*[F.collect_set(part_of(F.col("file_path"), n)).alias(str(n)) for n in sizes]).first()
+        found = self._addressed("paths", manifest, lambda parts: set(met[str(parts)]))
+        return None if found is None else found.select("file_path", "doc_id", "modified_at", "bucket")
 
     def update(self, incoming: DataFrame, language: str | None = ENGLISH, stopword_list=None,
                lang_col: str | None = None, stem: bool = False,
-               removed_paths: Iterable[str] = (), indexed_at=None) -> str | None:
+               removed_paths: Iterable[str] = (), indexed_at=None, batch: str | None = None) -> str | None:
         """Index the new and modified documents of ``incoming`` and drop those of
         ``removed_paths``; only the buckets they fall in are read and written. Returns
-        the new version, or the current one if nothing changed (as for a replayed batch).
+        the new version, or the current one if nothing changed. ``batch`` names the
+        micro-batch of a stream: a replay of the last one that was written is known by it.
         """
         ensure_checkpoint_dir(self.spark)
         manifest = self.manifest()
+        if manifest is not None and batch is not None and manifest.batch == batch:
+            return manifest.version
         if indexed_at is not None:
             incoming = incoming.withColumn("indexed_at", F.lit(indexed_at).cast("timestamp"))
         kwargs = {"text_col": "content", "language": language, "stopword_list": stopword_list,
@@ -155,33 +308,50 @@ class IndexStore:
         if manifest is None or not manifest.segments:
             if incoming.isEmpty():
                 return manifest and manifest.version
-            if manifest is not None:
-                self.buckets = manifest.buckets
-            return self.write(build_index(incoming, **kwargs))
-        stored = self._table("documents", manifest.segments)
-        changes = changed_ids(incoming, stored)
+            return self.write(build_index(incoming, **kwargs), batch)
+        kind = incoming.schema["doc_id"].dataType.simpleString()
+        nothing = self.spark.createDataFrame([], f"file_path string, doc_id {kind}, modified_at timestamp, bucket int")
+        stored = self.stored_paths(manifest, incoming)
+        changes = changed_ids(incoming, nothing if stored is None else stored)
         gone = changes.select(F.explode(F.array("doc_id", "old_doc_id")).alias("doc_id"))
         if removed_paths:
             paths = self.spark.createDataFrame([(p,) for p in removed_paths], "file_path string")
-            gone = gone.unionByName(stored.join(paths, "file_path", "left_semi").select("doc_id"))
+            held = self.stored_paths(manifest, paths)
+            if held is not None:
+                gone = gone.unionByName(held.join(paths, "file_path", "left_semi").select("doc_id"))
         gone = gone.filter(F.col("doc_id").isNotNull()).distinct().checkpoint(eager=True)
         # at most one number for each bucket
         touched = {r["b"] for r in gone.select(
             doc_bucket(F.col("doc_id"), manifest.buckets).alias("b")).distinct().collect()}
         if not touched:
             return manifest.version
+        buckets = manifest.buckets
+        total = sum(manifest.documents.values()) + changes.filter("change = 'new'").count()
+        if self.buckets is None and total > GROWTH * buckets * self.docs_per_bucket:
+            buckets, touched = -(-total // self.docs_per_bucket), set(manifest.segments) | touched
         old = {b: s for b, s in manifest.segments.items() if b in touched}
         new_docs = incoming.join(changes.select("doc_id"), "doc_id", "left_semi")
         fresh = build_index(new_docs, **kwargs)
         docs, postings = new_docs, fresh.postings
         if old:
-            kept = self._table("documents", old).join(gone, "doc_id", "left_anti")
-            docs = kept.unionByName(docs, allowMissingColumns=True)
-            postings = (self._table("postings", old).join(gone, "doc_id", "left_anti")
-                        .unionByName(postings.select("term", "doc_id", "tf", "positions")))
-        made = self._write_segment(docs, postings, manifest.buckets)
-        carried = {b: s for b, s in manifest.segments.items() if b not in touched}
-        return self._publish(carried | made, manifest.buckets)
+            before = self._documents(old)
+            docs = before.join(gone, "doc_id", "left_anti").unionByName(docs, allowMissingColumns=True)
+            postings = (self._postings(old, before).select(*POSTING_COLUMNS).join(gone, "doc_id", "left_anti")
+                        .unionByName(postings.select(*POSTING_COLUMNS)))
+        made = self._write_segment(docs, postings, buckets)
+        carried = {b: (s, manifest.documents[b], manifest.indexed_at[b])
+                   for b, s in manifest.segments.items() if b not in touched}
+        return self._publish(carried | made, buckets, batch)
+
+
+MANIFEST = "bucket int, segment string, buckets int, documents long, indexed_at timestamp, batch string"
+INFO = ("buckets array<int>, posted array<int>, term_parts int, terms array<int>, path_parts int, "
+        "paths array<int>")
+
+
+def _numbers(rows: DataFrame, column: str) -> list[int]:
+    """The folders of a table just written: at most one number for each part."""
+    return sorted(r[column] for r in rows.select(column).distinct().collect())
 
 
 def changed_ids(incoming: DataFrame, stored_docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ documents), on a processing-time trigger (every 5 s in the reference). A run ove
 what exists takes all of it in one micro-batch, as Spark fixes its end when it starts.
 The list of files already read is kept beside the checkpoint. Each micro-batch updates
 the store: only the buckets of its documents are rewritten, and
-a batch that is replayed finds nothing newer and writes nothing. The checkpoint
+a batch that is replayed is known by its number and writes nothing. The checkpoint
 location must be on shared storage.
 """
 
@@ -41,7 +41,7 @@ def start_indexing_stream(spark: SparkSession, input_root: str, store_root: str,
     store = IndexStore(spark, store_root)
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
-        store.update(file_documents(batch), **analyze_kwargs)
+        store.update(file_documents(batch), batch=f"{checkpoint_location}#{batch_id}", **analyze_kwargs)
 
     files = file_stream(spark, input_root, f"{checkpoint_location.rstrip('/')}/files",
                         0 if available_now else max_files_per_trigger)
