@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textindex.functions.stopwords import ENGLISH, language_column, resolve_language
 from textindex.functions.text import TOKEN_PATTERN, analyzed_terms
-from textindex.operators.stemming import stem_tokens
+from textindex.operators.stemming import StemDictionary, stem_tokens
 
 
 def term_array(text, language: str | None = ENGLISH, stopword_list=None, lang_col=None,
@@ -27,11 +27,13 @@ def term_array(text, language: str | None = ENGLISH, stopword_list=None, lang_co
 
 def analyze(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
             language: str | None = ENGLISH, stopword_list=None, lang_col: str | None = None,
-            stem: bool = False, pattern: str = TOKEN_PATTERN) -> DataFrame:
+            stem: bool = False, pattern: str = TOKEN_PATTERN,
+            dictionary: StemDictionary | None = None) -> DataFrame:
     """Rows ``(*id_cols, pos, term)``, one per kept term, order kept in ``pos``.
 
     ``language`` picks the stopword list and stemmer for all rows; ``lang_col``
-    picks them per row (C6). ``stopword_list=[]`` disables stopwords.
+    picks them per row (C6). ``stopword_list=[]`` disables stopwords. ``dictionary``
+    keeps the stems of terms for later runs.
     """
     terms = term_array(F.col(text_col), language=language, stopword_list=stopword_list,
                        lang_col=lang_col, pattern=pattern)
@@ -42,7 +44,7 @@ def analyze(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("do
               else F.lit(resolve_language(language)))
     return stem_tokens(df.select(
         *[F.col(c) for c in id_cols], of_row.alias("language"),
-        F.posexplode(terms).alias("pos", "term"))).select(*id_cols, "pos", "term")
+        F.posexplode(terms).alias("pos", "term")), dictionary).select(*id_cols, "pos", "term")
 
 
 def query_term_counts(spark: SparkSession, text: str | None, language: str | None = ENGLISH,

@@ -131,6 +131,31 @@ def search(index: Index, query: str, page=1, limit=10, **kwargs) -> DataFrame:
             .orderBy("rank"))
 
 
+def search_after(index: Index, query: str, after: tuple | None = None, limit=10, **kwargs) -> DataFrame:
+    """G3 + H2 by cursor: the ``limit`` results that follow ``after``, a ``cursor`` of the
+    page before (None: the first page).
+
+    Whatever the page's depth, a task keeps ``limit`` rows: what lies before the cursor
+    is filtered out by its score and id.
+    """
+    _, limit = validate_paging(1, limit)
+    scores, before = scored_documents(index, query, **kwargs), 0
+    if after is not None:
+        score, doc_id, before = after
+        scores = scores.filter((F.col("score") < F.lit(score))
+                               | ((F.col("score") == F.lit(score)) & (F.col("doc_id") > F.lit(doc_id))))
+    top = scores.orderBy(*rank_order()).limit(limit)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())) + before)
+    return (_with_documents(index, top).select("doc_id", "title", "url", "score", "rank")
+            .orderBy("rank"))
+
+
+def cursor(page) -> tuple | None:
+    """Where the next page begins, from the rows of one (at most its limit); None after the last."""
+    last = max(page, key=lambda row: row["rank"], default=None)
+    return None if last is None else (last["score"], last["doc_id"], last["rank"])
+
+
 def search_total(index: Index, query: str, **kwargs) -> DataFrame:
     """number of matching documents that exist, one row ``(total)``."""
     return scored_documents(index, query, **kwargs).agg(F.count(F.lit(1)).alias("total"))

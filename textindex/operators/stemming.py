@@ -2,17 +2,22 @@
 
 The suffix steps of ``functions.stemming`` run once for each distinct term of a
 language, as SQL expressions; the resulting dictionary is joined back to the tokens.
+A ``StemDictionary`` keeps it, so that later runs stem only terms that are new.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textindex.functions.stemming import SPARK, english_steps, spanish_steps
 from textindex.functions.stopwords import ENGLISH, SPANISH
 from textindex.session import ensure_checkpoint_dir
 
+BROADCAST_BYTES = 32 << 20
+
 
 def _apply(words: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
     for step in steps:
@@ -34,13 +39,58 @@ def stem_vocabulary(terms_df: DataFrame, term_col: str = "term",
                                       F.col(term_col).alias("term")).distinct())
 
 
-def stem_tokens(tokens: DataFrame) -> DataFrame:
+class StemDictionary:
+    """Stems kept under a folder on shared storage, so that a term is stemmed once.
+
+    ``<root>/part-<uuid>/`` holds ``(language, term, stem)`` of the terms that one run
+    found unseen. A part counts once Spark has committed it; parts of runs at the same
+    time may repeat a term, always with the same stem.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def read(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = path(self.root)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().toString() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        parts = [n for n in names if fs.exists(path(f"{n}/_SUCCESS"))]
+        if not parts:
+            return self.spark.createDataFrame([], "language string, term string, stem string")
+        return self.spark.read.schema("language string, term string, stem string").parquet(*parts)
+
+    def stems(self, vocabulary: DataFrame) -> DataFrame:
+        """``(language, term, stem)`` of the given terms; unseen ones are stemmed and kept."""
+        key = ["language", "term"]
+        unseen = vocabulary.join(self.read(), key, "left_anti")
+        stem_words(unseen).write.parquet(f"{self.root}/part-{uuid.uuid4().hex}")
+        return vocabulary.join(self.read(), key).dropDuplicates(key)
+
+
+def stem_tokens(tokens: DataFrame, dictionary: StemDictionary | None = None, salts: int = 8) -> DataFrame:
     """``tokens(language, term, ...)`` with each term replaced by its stem.
 
-    The dictionary is checkpointed, so the join's two sides are plain shuffles and
-    Spark can split the tokens of a frequent term.
+    Only the vocabulary is shuffled: the stems of terms that change are broadcast where
+    their counted size allows. Beyond it both sides are, with every term's tokens split
+    by their other columns into ``salts`` parts and the stems repeated for each.
     """
     ensure_checkpoint_dir(tokens.sparkSession)
-    stems = stem_vocabulary(tokens).checkpoint(eager=True)
-    return (tokens.join(stems, ["language", "term"])
-            .select(*[F.col("stem").alias("term") if c == "term" else F.col(c) for c in tokens.columns]))
+    vocabulary = tokens.select("language", "term").distinct()
+    if dictionary is not None:
+        vocabulary = vocabulary.checkpoint(eager=True)
+    # checkpointed before the filter, which would otherwise be pushed through all steps
+    stems = (stem_words(vocabulary) if dictionary is None else dictionary.stems(vocabulary)).checkpoint(eager=True)
+    stems = stems.filter("stem <> term")
+    size = stems.agg(F.count(F.lit(1)).alias("n"), F.coalesce(
+        F.sum(F.octet_length("term") + F.octet_length("stem")), F.lit(0)).alias("b")).first()
+    if size["b"] + 64 * size["n"] <= BROADCAST_BYTES:
+        joined = tokens.join(F.broadcast(stems), ["language", "term"], "left")
+    else:
+        others = [c for c in tokens.columns if c not in ("language", "term")] or ["term"]
+        parts = stems.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        joined = (tokens.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
+                  .join(parts, ["language", "term", "_salt"], "left"))
+    return joined.select(*[F.coalesce("stem", "term").alias("term") if c == "term" else F.col(c)
+                           for c in tokens.columns])

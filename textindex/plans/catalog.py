@@ -18,8 +18,8 @@ from textindex.functions import text as T
 from textindex.functions.stopwords import ENGLISH, SPANISH, language_column
 from textindex.operators.analyze import analyze
 from textindex.operators.index import build_index, build_postings
-from textindex.operators.search import (batch_search, score_documents, search, search_envelope,
-                                        search_total)
+from textindex.operators.search import (batch_search, cursor, score_documents, search, search_after,
+                                        search_envelope, search_total)
 from textindex.plans import sqlparts as S
 from textindex.session import ensure_checkpoint_dir
 from textindex.sources.tables import corpus_documents, read_table
@@ -218,6 +218,14 @@ def q_search_page2(spark, sf_dir):
     return search(corpus_index(spark, sf_dir), QUERY_TEXT, page=2, limit=10)
 
 
+@register("search_after_page1", _page_sql(QUERY_TEXT, 2, 10))
+def q_search_after(spark, sf_dir):
+    """The second page, from a cursor at the end of the first."""
+    index = corpus_index(spark, sf_dir)
+    first = search_after(index, QUERY_TEXT, limit=10).collect()
+    return search_after(index, QUERY_TEXT, cursor(first), limit=10)
+
+
 @register("search_stored", _page_sql(QUERY_TEXT, 1, 10))
 def q_search_stored(spark, sf_dir):
     """Search an index that was written under the checkpoint folder and read back."""
@@ -686,7 +694,7 @@ def q_stored_stats(spark, sf_dir):
 # C4, G3 stemmed
 # --------------------------------------------------------------------------
 
-from textindex.operators.stemming import stem_vocabulary  # noqa: E402
+from textindex.operators.stemming import StemDictionary, stem_vocabulary  # noqa: E402
 
 STEMMED_QUERY_TEXT = "threes ing bles running"
 
@@ -712,6 +720,17 @@ def q_analyze_stemmed(spark, sf_dir):
                    lang_col="lang", stem=True)
 
 
+@register("analyze_stemmed_stored", f"""WITH {_STEM_TOKENS_SQL}
+SELECT doc_id, pos, stem AS term FROM raw JOIN st_stems USING (language, term)""")
+def q_analyze_stemmed_stored(spark, sf_dir):
+    """Stems from a kept dictionary that a run over the English documents began."""
+    kept = StemDictionary(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/stems-{uuid.uuid4().hex}")
+    docs = read_table(spark, sf_dir, "documents")
+    english = analyze(docs.filter("lang = 'en'").withColumn("language", F.lit(ENGLISH)), "text", ("doc_id", "language"))
+    kept.stems(english.select("language", "term").distinct())
+    return analyze(docs, "text", ("doc_id",), lang_col="lang", stem=True, dictionary=kept)
+
+
 @register("search_stemmed", f"""WITH plain AS (
   SELECT doc_id, 'english' AS language, unnest({S.terms('text')}) AS term FROM documents
   UNION ALL SELECT NULL, 'english', unnest({S.terms(S.sql_str(STEMMED_QUERY_TEXT))})),
