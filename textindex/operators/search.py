@@ -286,18 +286,19 @@ def batch_top_scores(index: Index, queries: DataFrame, k: int = 10, total_docume
     matches = _matches(index, lambda rows: rows.join(side, "term", "left_semi"))
     weights = _query_weights(matches, qt, _total_documents(index, total_documents)).checkpoint(eager=True)
     placed = impact_blocks(matches, block_docs)
-    highest = placed.groupBy("block", "term").agg(F.max("tf").alias("tf"))
-    met = _weighted(highest, weights, small, salts)
+    met = _weighted(placed.groupBy("block", "term").agg(F.max("tf").alias("tf")), weights, small, salts)
     bounds = (met.groupBy("query_id", "block").agg(F.sum(F.col("tf") * F.col("weight")).alias("bound"))
               .checkpoint(eager=True))
     best = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), F.col("block"))
     first = (bounds.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= first_blocks)
              .select("query_id", "block"))
 
+    worth = weights.withColumnRenamed("query_id", "_query")
+    worth = F.broadcast(worth) if small else worth
+
     def scored(chosen: DataFrame) -> DataFrame:
-        terms = _weighted(highest.select("block", "term"), weights, small, salts)
-        return (_with_pairs(terms, chosen, "left_semi").join(placed, ["block", "term"])
-                .groupBy("query_id", "doc_id")
+        return (chosen.join(worth, F.col("query_id").eqNullSafe(F.col("_query")))
+                .join(placed, ["block", "term"]).groupBy("query_id", "doc_id")
                 .agg(F.round(F.sum(F.col("tf") * F.col("weight")), SCORE_DIGITS).alias("score")))
 
     first = first.checkpoint(eager=True)
