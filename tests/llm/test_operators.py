@@ -99,17 +99,22 @@ def test_substrings_of_rows_that_share_an_id(spark):
 # -- 2 ---------------------------------------------------------------------
 
 def test_mixing_positions_and_deviation(docs, empty):
-    out = mixing.mix(docs, {"s0": 0.6, "s1": 0.3}, block_docs=2, quantum=20).collect()
+    weights = {"s0": 0.6, "s1": 0.3}
+    out = mixing.mix(docs, weights, block_docs=2).collect()
     assert sorted(r["position"] for r in out) == list(range(len(ROWS)))
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
     assert collections.Counter(r["source"] for r in out) == collections.Counter(r[3] for r in ROWS)
     assert mixing.mix(empty).collect() == []
-    first = [r for r in out if r["phase"] == 0]
-    shares = mixing.integer_shares({"s0": 0.6, "s1": 0.3, "s2": 0, None: 0}, 20)
-    slots = {r["slot"]: r["source"] for r in first}
+    slots = {r["slot"]: r["source"] for r in out if r["phase"] == 0}
+    whole = {"s0": 0.6, "s1": 0.3, "s2": 0.3, None: 0.3}       # without a weight: the smallest
     for t in range(len(slots) + 1):
-        for s, p in shares.items():
-            assert abs(sum(slots[i] == s for i in range(t)) - p * t / 20) < 1
+        for s, w in whole.items():
+            assert abs(sum(slots[i] == s for i in range(t)) - w / 1.5 * t) < 1
+    by_slot = sorted((r["slot"], r["position"]) for r in out)
+    assert [p for _, p in by_slot] == sorted(p for _, p in by_slot)
+    few = mixing.mix(docs, weights, block_docs=2, max_blocks=3).collect()
+    assert len({r["slot"] for r in few}) <= 3 + len(whole)
+    assert sorted(r["position"] for r in few) == list(range(len(ROWS)))
 
 
 # -- 3 ---------------------------------------------------------------------
@@ -536,7 +541,7 @@ def test_pipeline_against_brute_force(spark, tmp_dir):
     assert set(mixed) == set(clean)
     counts = collections.Counter(r[3] for r in clean)
     blocks = {s: -(-n // mixing.BLOCK_DOCS) for s, n in counts.items()}
-    order = edf(blocks, mixing.target_weights(counts), mixing.QUANTUM)
+    order = edf(blocks, mixing.target_weights(counts))
     slots = {r["slot"]: r["source"] for r in seen[-1]}
     assert [slots[i] for i in range(len(slots))] == order
     assert sorted(r["position"] for r in seen[-1]) == list(range(len(clean)))

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -40,31 +42,76 @@ def test_same_high_half_is_settled():
     assert sorted(shard.index(high, low).tolist()) == list(range(50))
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {"a": 1, "b": 1e-9, None: 4},
-                                     {i: i + 1 for i in range(30)}])
-def test_period_meets_deadlines_and_stays_within_a_block(weights):
-    shares = mixing.integer_shares(weights, 200)
-    q = sum(shares.values())
-    assert q == 200 and min(shares.values()) >= 1
-    slots = mixing.period(shares)
-    assert sorted(itertools.chain(*slots.values())) == list(range(q))
+def held_to_targets(plan, weights):
+    """Every phase of a plan against its exact targets: windows and deviation, slot by slot."""
+    for phase, rows in itertools.groupby(enumerate(plan), key=lambda r: r[1][2]):
+        rows = list(rows)
+        start = rows[0][0]
+        live = {row[0] for _, row in enumerate(plan[start:])} if len(plan) < 20_000 else set(weights)
+        total = sum(Fraction(weights[s]) for s in live)
+        mine = {}
+        for slot, (s, _, _, released, due) in rows:
+            mine.setdefault(s, []).append((slot - start, released - start, due - start))
+        for s in live:
+            w = Fraction(weights[s]) / total
+            for i, (slot, released, due) in enumerate(mine.get(s, [])):
+                assert released == i / w // 1 and due == -(-(i + 1) / w // 1)
+                assert released <= slot < due
+                assert abs(i - slot * w) < 1 and abs(i + 1 - (slot + 1) * w) < 1
+            n = len(mine.get(s, []))
+            assert abs(n - len(rows) * w) < 1
+
+
+def test_schedule_stays_within_a_block_of_unrounded_targets():
+    rng = random.Random(4)
+    for _ in range(40):
+        names = [*"abcdefghij"[:rng.randint(1, 10)], None]
+        blocks = {s: rng.choice([1, 2, rng.randint(1, 150)]) for s in names}
+        weights = {s: rng.choice([rng.random() + 1e-6, 10.0 ** -rng.randint(0, 5), 3.0]) for s in names}
+        plan = mixing.schedule(blocks, weights)
+        for s in names:
+            assert [b for source, b, *_ in plan if source == s] == list(range(blocks[s]))
+        held_to_targets(plan, weights)
+
+
+def test_a_million_slots_of_very_unequal_sources():
+    """No drift: one phase of natural weights, 10 M to 10 k documents a source."""
+    weights = {"a": 10_000_000, "b": 1_000_000, "c": 100_000, "d": 10_000}
+    plan = mixing.schedule({"a": 900_300, "b": 10 ** 6, "c": 10 ** 6, "d": 10 ** 6}, weights)[:1_000_000]
+    slots = {s: np.array([t for t, row in enumerate(plan) if row[0] == s]) for s in weights}
+    assert plan[-1][2] == 0 and len(plan) == 1_000_000
+    total = sum(weights.values())
     for s, mine in slots.items():
-        for i, slot in enumerate(mine):
-            assert mixing.release(i, shares[s], q) <= slot < mixing.deadline(i, shares[s], q)
-        for t in range(q + 1):
-            assert abs(sum(x < t for x in mine) - shares[s] * t / q) < 1
+        i, p = np.arange(len(mine)), weights[s]
+        for done, t in ((i, mine), (i + 1, mine + 1)):
+            assert np.abs(done * total - t * p).max() < total
+        assert ((i * total // p <= mine) & (mine < -(-(i + 1) * total // p))).all()
+
 
+def test_ten_thousand_sources():
+    counts = {f"s{i}": 1 + i % 7 for i in range(10_000)}
+    began = time.perf_counter()
+    plan = mixing.schedule(counts, mixing.target_weights(counts))
+    assert len(plan) == sum(counts.values()) and time.perf_counter() - began < 20
 
-def edf(blocks, weights, quantum):
-    """Slot by slot, without periods."""
+
+def test_weights_that_are_none():
+    assert mixing.integer_weights({"a": 0.5, "b": 0, "c": float("nan"), "d": 2}, "abcde") == {
+        "a": 1, "b": 1, "c": 1, "d": 4, "e": 1}
+    assert mixing.integer_weights({}, [None, "x"]) == {None: 1, "x": 1}
+    assert mixing.schedule({}, {}) == []
+
+
+def edf(blocks, weights):
+    """Slot by slot over all sources, with fractions."""
     left, out = dict(blocks), []
     while any(left.values()):
-        live = {s: weights[s] for s in left if left[s]}
-        shares = mixing.integer_shares(live, quantum)
-        q, used, t = sum(shares.values()), dict.fromkeys(live, 0), 0
+        live = [s for s in left if left[s]]
+        total = sum(Fraction(weights[s]) for s in live)
+        w, used, t = {s: Fraction(weights[s]) / total for s in live}, dict.fromkeys(live, 0), 0
         while all(left[s] for s in live):
-            ready = [s for s in live if mixing.release(used[s], shares[s], q) <= t]
-            s = min(ready, key=lambda s: (mixing.deadline(used[s], shares[s], q), -shares[s], mixing._name(s)))
+            ready = [s for s in live if used[s] / w[s] // 1 <= t]
+            s = min(ready, key=lambda s: (-(-(used[s] + 1) / w[s] // 1), -w[s], (s is not None, str(s))))
             out.append(s)
             used[s] += 1
             left[s] -= 1
@@ -74,18 +121,11 @@ def edf(blocks, weights, quantum):
 
 def test_phases_equal_slot_by_slot_scheduling():
     rng = random.Random(4)
-    for _ in range(8):
+    for _ in range(12):
         names = "abcdef"[:rng.randint(1, 6)]
         blocks = {s: rng.randint(1, 150) for s in names}
-        weights = {s: rng.random() + 0.01 for s in names}
-        got = {}
-        plan = mixing.phases(blocks, weights, 40)
-        for s in names:
-            for b in range(blocks[s]):
-                p = [p for p in plan if s in p.shares and p.first_block[s] <= b][-1]
-                cycles, i = divmod(b - p.first_block[s], p.shares[s])
-                got[p.start + cycles * sum(p.shares.values()) + p.slots[s][i]] = s
-        assert [got[i] for i in range(len(got))] == edf(blocks, weights, 40)
+        weights = {s: rng.choice([1.0, rng.random() + 0.01]) for s in names}
+        assert [row[0] for row in mixing.schedule(blocks, weights)] == edf(blocks, weights)
 
 
 def test_trigrams_do_not_depend_on_slices(monkeypatch):

@@ -1,39 +1,42 @@
 """Operator 2: mixing sources to target weights by Pfair scheduling.
 
-A source's documents are cut into blocks, and a source of weight ``p / q`` gives
-its block ``i`` (from 0) the release time ``floor(i q / p)`` and the deadline
-``ceil((i + 1) q / p)``, in slots of one block. Earliest deadline first among the
-released blocks meets every deadline, so after any number of slots each source is
-within one block of its exact share. The schedule repeats every ``q`` slots, so one
-period is laid out and a block's slot follows from its number by division: the
-documents are never ordered in one place.
-
-When a source runs out, the others go on with their weights scaled up, in a new
-schedule that starts there; every document gets a position and none is repeated.
-
-The weights are rounded to integers over ``quantum`` (largest remainder, at least
-1). The driver holds one row of counts for each source and a period for each time
-a source runs out: (number of sources) x ``quantum`` numbers.
-
-Edge cases: a null source is a source of its own; a weight that is missing or not
-positive, for a source that has documents, is the smallest share; equal deadlines
-go to the source with the larger weight, then the smaller name; repeated rows are
-mixed each; an empty table gives no rows; columns of the result's names that
-``docs`` already has are replaced.
+A source's documents are cut into blocks, and a source of weight ``w`` (its share of the
+weights of all sources that still have blocks) gives its block ``i`` (from 0) the release
+time ``floor(i / w)`` and the deadline ``ceil((i + 1) / w)``, in slots of one block.
+Earliest deadline first among the released blocks meets every deadline, so after any
+number of slots each source is within one block of its target. Weights are taken as they
+are, as fractions of integers, so that holds against the unrounded targets however long
+the mixture runs.
+
+When a source runs out, a new phase starts there, in which the others go on with their
+weights scaled up; every document gets a position and none is repeated.
+
+The driver holds a row of counts for each source and lays out one slot for each block,
+never a document. Blocks hold ``block_docs`` documents, or as many more as keep their
+number near ``MAX_BLOCKS``: at most that and one for each source. A phase costs as many
+steps as it has slots, whatever the number of sources.
+
+Edge cases: a null source is a source of its own; a weight that is missing, not finite or
+not positive, for a source that has documents, counts as the smallest of the others (1 if
+there is none); equal deadlines go to the source with the larger weight, then the smaller
+name; repeated rows are mixed each; an empty table gives no rows; columns of the result's
+names that ``docs`` already has are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import math
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textindex.llm.common import BROADCAST_BYTES, number_within, read
+from textindex.llm.common import BROADCAST_BYTES, materialize, number_within, read
 
 BLOCK_DOCS = 16
-QUANTUM = 1000
+MAX_BLOCKS = 1 << 18
 TEMPERATURE = 0.5
 RESULT = ("block", "phase", "release", "deadline", "slot", "position")
 
@@ -47,18 +50,14 @@ def _name(source) -> tuple:
     return (source is not None, str(source))
 
 
-def integer_shares(weights: dict, quantum: int = QUANTUM) -> dict:
-    """Integers of at least 1 that sum to ``quantum`` (or the number of sources, if more)."""
-    names = sorted(weights, key=_name)
-    total = sum(max(0.0, float(weights[s] or 0)) for s in names)
-    spare = max(quantum, len(names)) - len(names)
-    exact = {s: spare * max(0.0, float(weights[s] or 0)) / total if total else spare / len(names)
-             for s in names}
-    shares = {s: 1 + int(exact[s]) for s in names}
-    rest = spare + len(names) - sum(shares.values())
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], _name(s)))[:rest]:
-        shares[s] += 1
-    return shares
+def integer_weights(weights: dict, sources) -> dict:
+    """Integers in exactly the proportions of the weights."""
+    given = {s: weights.get(s) for s in sources}
+    good = {s: Fraction(w) for s, w in given.items() if w is not None and math.isfinite(w) and w > 0}
+    least = min(good.values(), default=Fraction(1))
+    whole = {s: good.get(s, least) for s in given}
+    scale = math.lcm(*[w.denominator for w in whole.values()])
+    return {s: int(w * scale) for s, w in whole.items()}
 
 
 def release(i: int, p: int, q: int) -> int:
@@ -69,55 +68,44 @@ def deadline(i: int, p: int, q: int) -> int:
     return -(-(i + 1) * q // p)
 
 
-def period(shares: dict) -> dict:
-    """Each source's slots in one period, by earliest deadline first."""
-    q = sum(shares.values())
+def schedule(blocks: dict, weights: dict) -> list[tuple]:
+    """``(source, block, phase, release, deadline)`` slot by slot, earliest deadline first."""
+    shares = integer_weights(weights, [s for s, n in blocks.items() if n > 0])
     names = sorted(shares, key=lambda s: (-shares[s], _name(s)))
-    waiting = [(0, k) for k in range(len(names))]
-    ready: list[tuple[int, int]] = []
-    slots: dict = {s: [] for s in names}
-    for now in range(q):
-        while waiting and waiting[0][0] <= now:
-            _, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(len(slots[names[k]]), shares[names[k]], q), k))
-        _, k = heapq.heappop(ready)
-        s = names[k]
-        slots[s].append(now)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(waiting, (release(len(slots[s]), shares[s], q), k))
-    return slots
-
-
-@dataclass(frozen=True)
-class Phase:
-    """A stretch in which the same sources take part."""
-
-    number: int
-    start: int                 # its first slot
-    first_block: dict          # of each source
-    shares: dict
-    slots: dict
-
-
-def phases(blocks: dict, weights: dict, quantum: int = QUANTUM) -> list[Phase]:
-    """The schedules from the start until all sources have run out."""
-    done, out, at = {s: 0 for s in blocks}, [], 0
-    left = {s for s, n in blocks.items() if n > 0}
-    while left:
-        shares = integer_shares({s: weights.get(s, 0) for s in left}, quantum)
-        slots, q = period(shares), sum(shares.values())
-        out.append(Phase(len(out), at, {s: done[s] for s in left}, shares, slots))
-
-        def last_slot(s) -> int:
-            cycles, i = divmod(blocks[s] - done[s] - 1, shares[s])
-            return cycles * q + slots[s][i]
-
-        end = min(last_slot(s) for s in left) + 1
-        cycles, rest = divmod(end, q)
-        for s in left:
-            done[s] += cycles * shares[s] + sum(1 for x in slots[s] if x < rest)
-        at += end
-        left = {s for s in left if done[s] < blocks[s]}
+    p, left, done = [shares[s] for s in names], [blocks[s] for s in names], [0] * len(names)
+    following = list(range(len(names) + 1))      # of a source that has run out: one after it
+
+    def alive(k: int) -> int:
+        while following[k] != k:
+            following[k] = following[following[k]]
+            k = following[k]
+        return k
+
+    out: list[tuple] = []
+    q, phase = sum(p), 0
+    while alive(0) < len(names):
+        # All first blocks are released at once, and their deadlines ascend with the
+        # order of names; only sources that have had a slot enter the heaps.
+        start, fresh, used = len(out), alive(0), {}
+        waiting: list[tuple[int, int]] = []
+        ready: list[tuple[int, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= len(out) - start:
+                _, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline(used[k], p[k], q), k))
+            first = (deadline(0, p[fresh], q), fresh) if fresh < len(names) else None
+            if first is not None and (not ready or first < ready[0]):
+                end, k = first
+                fresh = alive(fresh + 1)
+            else:
+                end, k = heapq.heappop(ready)
+            i = used.get(k, 0)
+            out.append((names[k], done[k], phase, start + release(i, p[k], q), start + end))
+            used[k], done[k], left[k] = i + 1, done[k] + 1, left[k] - 1
+            if not left[k]:
+                break
+            heapq.heappush(waiting, (release(i + 1, p[k], q), k))
+        q, phase, following[k] = q - p[k], phase + 1, k + 1
     return out
 
 
@@ -131,7 +119,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS,
-        quantum: int = QUANTUM) -> DataFrame:
+        max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``docs`` with each row's block of its source, phase, release time, deadline,
     slot, and position in the mixture (from 0, without gaps)."""
     docs = docs.drop(*[c for c in RESULT if c in docs.columns])
@@ -139,47 +127,22 @@ def mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DO
     numbered = _numbered(docs)
     counts = {r["source"]: r["n"] for r in
               docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = phases(blocks, weights or target_weights(counts), quantum)
-    rows, partial = [], []
-    for s in counts:
-        mine = [(p.number, p.first_block[s], p.start, p.shares[s], sum(p.shares.values()), p.slots[s])
-                for p in plan if s in p.shares]
-        rows.append((s, mine))
-        _, first, start, share, q, slots = mine[-1]
-        cycles, i = divmod(blocks[s] - 1 - first, share)
-        if counts[s] % block_docs:
-            partial.append((start + cycles * q + slots[i], block_docs - counts[s] % block_docs))
-    schedule = spark.createDataFrame(rows, (
-        "s string, phases array<struct<phase:int,first:long,start:long,p:long,q:long,slots:array<int>>>"))
-    if sum(len(p[5]) * 8 + 64 for _, mine in rows for p in mine) <= BROADCAST_BYTES:
-        schedule = F.broadcast(schedule)
-    block = F.floor(F.col("n") / block_docs)
-    joined = (numbered.withColumn("block", block)
-              .join(schedule, F.col("source").cast("string").eqNullSafe(F.col("s")))
-              .withColumn("ph", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)))
-    i = F.col("block") - F.col("ph.first")
-    cycle, within = F.floor(i / F.col("ph.p")), i % F.col("ph.p")
-    base = F.col("ph.start") + cycle * F.col("ph.q")
-    timed = joined.select(
-        "row", "block", F.col("ph.phase").alias("phase"),
-        (base + F.floor(within * F.col("ph.q") / F.col("ph.p"))).alias("release"),
-        (base + F.ceil((within + 1) * F.col("ph.q") / F.col("ph.p"))).alias("deadline"),
-        (base + F.get(F.col("ph.slots"), within.cast("int"))).alias("slot"),
-        (F.col("n") % block_docs).alias("inside"))
+    block_docs = max(block_docs, -(-sum(counts.values()) // max_blocks))
+    plan = schedule({s: -(-n // block_docs) for s, n in counts.items()}, weights or target_weights(counts))
+    slots = pd.DataFrame(plan, columns=["s", "block", "phase", "release", "deadline"])
+    slots["slot"] = range(len(slots))
+    sizes = [min(block_docs, counts[s] - b * block_docs) for s, b, *_ in plan]
+    slots["before"] = pd.Series(sizes, dtype="int64").cumsum() - pd.Series(sizes, dtype="int64")
+    slots["s"] = [None if s is None else str(s) for s in slots["s"]]
+    kind = "s string, block long, phase int, release long, deadline long, slot long, before long"
+    placed = materialize(spark.createDataFrame(slots, kind) if len(slots) else
+                         spark.createDataFrame([], kind), "mixing-slots").withColumnRenamed("block", "b")
+    if len(slots) * 64 <= BROADCAST_BYTES:
+        placed = F.broadcast(placed)
+    timed = (numbered.withColumn("block", F.floor(F.col("n") / block_docs))
+             .join(placed, F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))))
     return timed.select("row.*", "block", "phase", "release", "deadline", "slot",
-                        (F.col("slot") * block_docs + F.col("inside")
-                         - _short_before(F.col("slot"), partial)).alias("position"))
-
-
-def _short_before(slot: Column, partial: list[tuple[int, int]]) -> Column:
-    """Documents that earlier slots lack to full blocks (one short block a source)."""
-    if not partial:
-        return F.lit(0).cast("long")
-    short = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(n).cast("long").alias("n"))
-                      for s, n in partial])
-    return F.aggregate(short, F.lit(0).cast("long"),
-                       lambda sum_, x: sum_ + F.when(x["slot"] < slot, x["n"]).otherwise(0))
+                        (F.col("before") + F.col("n") % block_docs).alias("position"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
