@@ -20,14 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df if num_partitions is None else df.repartition(num_partitions)
 
 
-def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_documents(spark: SparkSession, sf_dir: str, num_partitions: int | None = None) -> DataFrame:
     """The ``documents`` table in the document model of the index.
 
     ``doc_id`` is kept as the key. The table has no path, so the file path is
     derived as ``<source>/<doc_id>.txt``; like an indexed file, its url is its
-    path and its title is the first non-blank line (C7).
+    path and its title is the first non-blank line (C7). ``num_partitions`` as in
+    ``read_table``.
     """
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents", num_partitions)
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select(
         F.col("doc_id"),
