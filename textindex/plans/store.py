@@ -97,6 +97,7 @@ class IndexStore:
         self.buckets = buckets
         self.parts = parts
         self.docs_per_bucket = docs_per_bucket
+        self._known: dict[str, Segment] = {}    # segments never change
 
     # -- versions -----------------------------------------------------------
     def _versions(self) -> list[str]:
@@ -181,15 +182,17 @@ class IndexStore:
         return held
 
     def _infos(self, segments: Iterable[str]) -> dict[str, Segment]:
-        """What the given segments hold, one row each."""
+        """What the given segments hold, one row each, read once."""
         names = sorted(set(segments))
-        if not names:
-            return {}
-        rows = (self.spark.read.schema(INFO).parquet(*[self._folder(s, "info") for s in names])
-                .select("*", F.regexp_extract(F.input_file_name(), "/segments/([0-9a-f]+)/info/", 1).alias("s"))
-                .collect())
-        return {r["s"]: Segment(r["s"], frozenset(r["buckets"]), frozenset(r["posted"]), r["term_parts"],
-                                frozenset(r["terms"]), r["path_parts"], frozenset(r["paths"])) for r in rows}
+        if fresh := [n for n in names if n not in self._known]:
+            rows = (self.spark.read.schema(INFO).parquet(*[self._folder(s, "info") for s in fresh])
+                    .select("*", F.regexp_extract(F.input_file_name(), "/segments/([0-9a-f]+)/info/", 1).alias("s"))
+                    .collect())
+            for r in rows:
+                self._known[r["s"]] = Segment(
+                    r["s"], frozenset(r["buckets"]), frozenset(r["posted"]), r["term_parts"],
+                    frozenset(r["terms"]), r["path_parts"], frozenset(r["paths"]))
+        return {n: self._known[n] for n in names}
 
     def _buckets(self, table: str, segments: dict[int, str]) -> DataFrame | None:
         """Rows of a bucketed table in the given buckets; None if there are none.
