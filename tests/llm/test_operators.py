@@ -64,13 +64,32 @@ def by_id(rows, n=len(ROWS)):
 
 # -- 1 ---------------------------------------------------------------------
 
-def brute_units(rows):
+def brute_units(rows, least=3):
+    """Places to remove: every unit of a text that an earlier place holds."""
+    def spoken(text):
+        return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+    def size(text):
+        return len(spoken(text).split())
+
     seen, gone = {}, collections.defaultdict(list)
     for doc, text in sorted({(r[0], r[1] or "") for r in rows}):
-        for m in re.finditer(r"[^\n.!?]+[.!?]*", text):
-            words = re.findall(r"[^\W_]+", m[0].lower())
-            if len(words) >= 5 and seen.setdefault(" ".join(words), (doc, m.start())) != (doc, m.start()):
-                gone[doc].append(m.span())
+        found = set()
+        for line in re.finditer(r"[^\n]+", text):
+            cuts = [(m.start() + line.start(), m.end() + line.start())
+                    for m in re.finditer(r"[^.!?]+[.!?]*", line[0]) if size(m[0])]
+            if size(line[0]) >= least:
+                found.add(line.span())
+            heads = [i for i, (a, b) in enumerate(cuts) if size(text[a:b]) >= 5]
+            inner = {cuts[i] for i in heads}
+            for i, after in zip(heads, heads[1:] + [len(cuts)]):
+                inner.add((cuts[0 if i == heads[0] else i][0], cuts[after - 1][1]))
+            found |= {(a, b) for a, b in inner if size(text[a:b]) < size(line[0])}
+        for a, b in sorted(found):
+            if seen.setdefault(spoken(text[a:b]), (doc, a)) != (doc, a):
+                gone[doc].append((a, b))
+        gone[doc] = [(a, b) for a, b in gone[doc]
+                     if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in gone[doc])]
     return gone
 
 
@@ -96,6 +115,53 @@ def test_substrings_of_rows_that_share_an_id(spark):
                for part in ("alpha beta gamma", "one two three four five six", "zulu yankee"))
 
 
+def test_substrings_leave_no_repeated_passage(spark):
+    rng = random.Random(5)
+    short = ["Yes.", "So it is!", "Why not?"]
+    passage = " ".join(f"{sentence(rng, 9)}. {rng.choice(short)} {rng.choice(short)}" for _ in range(8))
+    lines = "\n".join(f"{sentence(rng, 3)}" for _ in range(20))
+    texts = []
+    for i in range(12):
+        own = [sentence(rng, 12) for _ in range(4)]
+        texts.append(f"{own[0]}. {passage} {own[1]}.\n{lines if i % 2 else own[2]}\n{own[3]}")
+    texts += [None, "", texts[3], "x. x x x x x. x. x x x x x x x", "yes\nyes\nso be it\nso be it"]
+    rows = [(i if i != 7 else None, t, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df).collect()}
+    assert len(got) == len(rows) and not got[14].strip() and got[16] == "yes\nyes\nso be it\n"
+    assert got[15] == "x. x x x x x. x."      # the line ends in the seven words it began with
+    held = collections.Counter()
+    for text in got.values():
+        words = re.findall(r"[^\W_]+", text.lower())
+        held.update({" ".join(words[i:i + 50]) for i in range(len(words) - 49)})
+    assert max(held.values()) == 1
+    everything = " ".join(got.values())
+    assert all(s in everything for s in passage.split(". ")) and all(s in everything for s in lines.split("\n"))
+    whole = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(df, min_line_words=1).collect()}
+    assert whole[16] == "yes\n\nso be it\n"
+
+
+def test_substrings_split_a_hot_line(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("one line that very many documents hold\n"), F.col("id").cast("string"),
+        F.lit(" alone")).alias("text"))
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+           "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: spark.conf.get(key, None) for key in low}
+    try:
+        for key, value in low.items():
+            spark.conf.set(key, value)
+        base = df.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), "text")
+        found = substrings.repeated_units(base)
+        assert len(found.collect()) == 29_999
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 # -- 2 ---------------------------------------------------------------------
 
 def test_mixing_positions_and_deviation(docs, empty):
