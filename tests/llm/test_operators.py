@@ -209,7 +209,7 @@ def test_secrets_base_spans_and_added_ones(spark, empty):
     hidden = "Qz7Lk2Vx9Rt4Wm8Yp3Hd6Nc1Bf5Gj0Xs"
     texts += [f"look {hidden} here", "token=" + "ab1" * 9000]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
-    model = secrets.train(secrets.labelled_tokens(df.filter(F.col("doc_id") < len(texts) - 2)))
+    model = secrets.fit(df.filter(F.col("doc_id") < len(texts) - 2))
     got = {r["doc_id"]: r for r in secrets.scan_secrets(df, model).collect()}
     for i, text in enumerate(texts):
         base = brute_spans(text)
@@ -220,17 +220,45 @@ def test_secrets_base_spans_and_added_ones(spark, empty):
         assert [s for s in got[i]["spans"].split(",") if s and not s.startswith("random")] == [s for s in said.split(",") if s]
     assert got[texts.index(f"look {hidden} here")]["spans"] == f"random:5:{5 + len(hidden)}"
     assert all(got[i]["n_random"] == 0 for i, t in enumerate(texts) if t and "tion" in t)
-    assert secrets.scan_secrets(empty, secrets.train(secrets.labelled_tokens(empty))).collect() == []
+    assert secrets.scan_secrets(empty, secrets.fit(empty)).collect() == []
 
 
-def test_log_ratio_is_the_sum_over_pairs(spark):
-    samples = spark.createDataFrame([(1, "0a1b2c"), (1, "ff00ff"), (0, "lorem"), (0, "ipsum")], "label int, token string")
+def test_log_ratio_is_the_sum_over_pairs_of_the_likeliest_alphabet(spark):
+    samples = spark.createDataFrame([("hex", "0a1b2c", 1), ("base32", "AZ2B", 2), (secrets.ORDINARY, "lorem", 3),
+                                     (secrets.ORDINARY, "ipsum", 1)], "label string, token string, weight long")
     model = secrets.train(samples)
     size = secrets.ALPHABET_SIZE
-    for token in ("lorem", "0a1b", "x", ""):
+    for token in ("lorem", "0a1b", "AZ2B", "x", ""):
         cells = [(ord(a) - 43) * size + ord(b) - 43 for a, b in itertools.pairwise(token)]
         got = spark.createDataFrame([(token,)], "t string").select(secrets.log_ratio(F.col("t"), model)).first()[0]
-        assert math.isclose(got, sum(model.ratios[c] for c in cells), abs_tol=1e-4)
+        assert math.isclose(got, max(sum(r[c] for c in cells) for r in model.ratios), abs_tol=1e-4)
+
+
+def test_secrets_recall_and_false_positives_on_held_out_tokens(spark):
+    from tests.conftest import SF01
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    model = secrets.fit(docs.filter("doc_id % 4 <> 2"))
+    rng = random.Random(8)
+    keys = {name: ["".join(rng.choices(alphabet, k=rng.randint(20, 44))) for _ in range(500)]
+            for name, alphabet in secrets.ALPHABETS.items()}
+    words = sorted({w for r in docs.filter("doc_id % 4 = 2").collect()
+                    for w in re.findall(r"[A-Za-z]{3,}", r["text"] or "")})
+    ordinary = [w for w in words if len(w) >= secrets.MIN_LENGTH]
+    for _ in range(6_000):
+        a, b, c = rng.choices(words, k=3)
+        ordinary.append(rng.choice([f"{a}_{b}_{c}", f"{a}-{b}/{c}", a.lower() + b.title() + c.title(),
+                                    f"{a}_{b}".upper(), f"{a}-{b}-{rng.randint(1990, 2030)}"]))
+    ordinary = [w for w in ordinary if len(w) >= secrets.MIN_LENGTH]
+    ordinary += [c * n for c in "-=_xA0f/" for n in (12, 40, 5000)]
+    rows = [(name, t) for name, ts in keys.items() for t in ts] + [("ordinary", t) for t in ordinary]
+    got = collections.defaultdict(list)
+    for r in (spark.createDataFrame(rows, "label string, t string")
+              .select("label", "t", secrets.log_ratio(F.col("t"), model).alias("score")).collect()):
+        got[r["label"]].append((r["score"] > model.threshold, r["t"]))
+    for name in secrets.ALPHABETS:
+        assert sum(hit for hit, _ in got[name]) >= 0.9 * len(got[name]), name
+    wrong = [t for hit, t in got["ordinary"] if hit]
+    assert len(wrong) <= 0.001 * len(ordinary), wrong[:20]
 
 
 # -- 4 ---------------------------------------------------------------------

@@ -1,16 +1,26 @@
 """Operator 3: secret scan with character Markov models.
 
-Fixed patterns find the base spans. Two first-order character models, one of
-random strings and one of ordinary identifiers, then score every long token that
-no base span touches by its log-likelihood ratio; tokens above a threshold are
-reported as ``random`` spans. The models are trained on all documents from
-labelled samples: the values that the base patterns find are labelled random,
-long tokens outside them ordinary. Training counts have a fixed size (the square
-of the token alphabet, twice), whatever the corpus.
+Fixed patterns find the base spans. First-order character models then score every
+long token that no base span touches: one model for each alphabet that keys are
+written in, one of ordinary identifiers. A token's score is its log-likelihood ratio,
+random over ordinary, under the likeliest alphabet; tokens above the threshold are
+reported as ``random`` spans.
+
+The models are trained on labelled samples. Random ones are drawn here, uniformly and
+from a fixed seed, a documented number for each alphabet. Ordinary ones are the words
+and tokens of all documents outside the base spans, as often as they occur, and
+identifiers made of each (snake, kebab, camel and upper case, with a number or a date).
+Training counts have a fixed size (the square of the token alphabet for each label),
+whatever the corpus. A run of one character is ordinary with a fixed share.
+
+The threshold follows from the wanted rate of false positives: an ordinary token's
+likelihood ratio exceeds r with probability 1/r at most, for each of the alphabets. The
+sum over a token's pairs is compared, so a long token needs less evidence a character.
 
 Edge cases: null text is the empty text and yields no spans; empty tables yield
-no rows; with no labelled samples both models are uniform and add nothing;
-repeated rows are scanned each. Only ``doc_id`` and ``text`` are read.
+no rows; without ordinary samples that model is uniform; a token shorter than
+``min_length`` is not scored; repeated rows are scanned each. Only ``doc_id`` and
+``text`` are read.
 """
 
 from __future__ import annotations
@@ -37,13 +47,26 @@ TOKEN_CLASS = r"A-Za-z0-9+/_=\-"
 ALPHABET_FROM, ALPHABET_SIZE = ord("+"), ord("z") - ord("+") + 1
 
 
+# The alphabets that keys are written in.
+HEX_DIGITS = "0123456789abcdef"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {"hex": HEX_DIGITS, "base32": BASE32, "base62": BASE62, "base64": BASE62 + "+/"}
+ORDINARY = "ordinary"
+
+MIN_LENGTH = 12              # characters of a token that is scored
+FALSE_POSITIVES = 1e-4       # wanted share of ordinary tokens that are reported, at most
+RANDOM_SAMPLES, RANDOM_LENGTH = 4_000, 64      # strings drawn for each alphabet, and their length
+RUN_SHARE = 0.1              # share of ordinary pairs that repeat their character, beside the counted ones
+
+
 @dataclass(frozen=True)
 class MarkovModel:
-    """Log-likelihood ratios of character pairs, random over ordinary, row-major."""
+    """Log-likelihood ratios of character pairs for each alphabet, random over ordinary, row-major."""
 
-    ratios: tuple[float, ...]
-    min_length: int = 16
-    threshold: float = 10.0
+    ratios: tuple[tuple[float, ...], ...]
+    min_length: int = MIN_LENGTH
+    threshold: float = math.log(len(ALPHABETS) / FALSE_POSITIVES)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -88,55 +111,84 @@ def _pairs(token: Column) -> Column:
     return F.when(F.length(token) >= 2, let(codes, cells)).otherwise(F.array().cast("array<int>"))
 
 
-def labelled_tokens(docs: DataFrame, min_length: int = 16) -> DataFrame:
-    """``(label, token)``: 1 for values of base spans, 0 for long tokens elsewhere."""
-    text = F.coalesce("text", F.lit(""))
-    token = _token_pattern(min_length)
-    values = F.concat(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)),
-                      F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)),
-                      F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
-    values = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(token), F.lit(0))))
-    rest = F.array_join(F.split(text, f"{ASSIGN}|{ACCESS}|{HEX}", -1), " ")
-    both = F.concat(
-        F.transform(values, lambda v: F.struct(F.lit(1).alias("label"), v.alias("token"))),
-        F.transform(F.regexp_extract_all(rest, F.lit(token), F.lit(0)),
-                    lambda v: F.struct(F.lit(0).alias("label"), v.alias("token"))))
-    return docs.select(F.explode(both).alias("s")).select("s.label", "s.token")
-
-
-def train(samples: DataFrame, min_length: int = 16, threshold: float = 10.0,
+def random_tokens(spark: SparkSession, samples: int = RANDOM_SAMPLES, length: int = RANDOM_LENGTH,
+                  seed: int = 1) -> DataFrame:
+    """``(label, token, weight)``: strings drawn uniformly from each alphabet."""
+    def drawn(alphabet: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(
+            F.lit(alphabet), (F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(len(alphabet))) + 1).cast("int"),
+            F.lit(1))), "")
+
+    both = F.array(*[F.struct(F.lit(name).alias("label"), drawn(alphabet).alias("token"))
+                     for name, alphabet in ALPHABETS.items()])
+    return (spark.range(samples).select(F.explode(both).alias("s"))
+            .select("s.label", "s.token", F.lit(1).cast("long").alias("weight")))
+
+
+def ordinary_tokens(docs: DataFrame) -> DataFrame:
+    """``(label, token, weight)``: the tokens of all documents outside the base spans."""
+    rest = F.array_join(F.split(F.coalesce("text", F.lit("")), f"{ASSIGN}|{ACCESS}|{HEX}", -1), " ")
+    return (docs.select(F.explode(F.regexp_extract_all(rest, F.lit(_token_pattern(2)), F.lit(0))).alias("token"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
+            .select(F.lit(ORDINARY).alias("label"), "token", "weight"))
+
+
+def identifiers(tokens: DataFrame) -> DataFrame:
+    """The tokens, and the identifiers that each of those made of letters gives."""
+    word, lower = F.col("token"), F.lower("token")
+    some = F.pmod(F.xxhash64("token"), F.lit(10_000)).cast("int")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), some).cast("string")
+    made = F.array(word, F.concat_ws("_", lower, lower), F.concat_ws("-", lower, lower),
+                   F.concat(lower, F.initcap(lower)), F.concat_ws("_", F.upper(word), F.upper(word)),
+                   F.concat(lower, F.lit("_"), some.cast("string")), F.concat_ws("-", lower, day))
+    return tokens.select("label", F.explode(F.when(word.rlike("^[A-Za-z]+$"), made).otherwise(
+        F.array(word))).alias("token"), "weight")
+
+
+def train(samples: DataFrame, min_length: int = MIN_LENGTH, false_positives: float = FALSE_POSITIVES,
           smoothing: float = 0.5) -> MarkovModel:
-    """Fit both models to labelled tokens.
+    """Fit the models to labelled tokens, ``(label, token, weight)``.
 
     A pair's probability is smoothed towards its second character's own frequency,
     so after a character that a model has not seen the next one still counts. At
-    most two counts for each cell of the alphabet's square reach the driver.
+    most one count for each label and cell of the alphabet's square reaches the driver.
     """
-    counts = (samples.select("label", F.explode(_pairs(F.col("token"))).alias("cell"))
-              .groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = (samples.select("label", "weight", F.explode(_pairs(F.col("token"))).alias("cell"))
+              .groupBy("label", "cell").agg(F.sum("weight").alias("n")).collect())
     size = ALPHABET_SIZE
     logs = {}
-    for label in (0, 1):
+    for label in (ORDINARY, *ALPHABETS):
         cells = [0] * (size * size)
         for row in counts:
             if row["label"] == label and 0 <= row["cell"] < size * size:
                 cells[row["cell"]] += row["n"]
         total = sum(cells) + smoothing * size
         single = [(sum(cells[c::size]) + smoothing) / total for c in range(size)]
+        run = RUN_SHARE if label == ORDINARY else 0.0
         logs[label] = []
         for a in range(size):
             line = cells[a * size:(a + 1) * size]
             weight = smoothing * size
-            logs[label] += [math.log((n + weight * p) / (sum(line) + weight))
-                            for n, p in zip(line, single)]
-    return MarkovModel(tuple(r - o for r, o in zip(logs[1], logs[0])), min_length, threshold)
+            logs[label] += [math.log((1 - run) * (n + weight * p) / (sum(line) + weight) + run * (a == b))
+                            for b, (n, p) in enumerate(zip(line, single))]
+    return MarkovModel(tuple(tuple(r - o for r, o in zip(logs[name], logs[ORDINARY])) for name in ALPHABETS),
+                       min_length, math.log(len(ALPHABETS) / false_positives))
+
+
+def fit(docs: DataFrame, min_length: int = MIN_LENGTH, false_positives: float = FALSE_POSITIVES) -> MarkovModel:
+    """The models of drawn random strings and of the documents' ordinary tokens."""
+    return train(random_tokens(docs.sparkSession).unionByName(identifiers(ordinary_tokens(docs))),
+                 min_length, false_positives)
 
 
 def log_ratio(token: Column, model: MarkovModel) -> Column:
-    """Log-likelihood ratio of a token, random over ordinary."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model.ratios)), ",").cast("array<double>")
-    return let(table, lambda t: F.aggregate(
-        _pairs(token), F.lit(0.0), lambda s, cell: s + F.coalesce(F.get(t, cell), F.lit(0.0))))
+    """Log-likelihood ratio of a token, random over ordinary, under the likeliest alphabet."""
+    def ratio(pairs: Column, ratios: tuple[float, ...]) -> Column:
+        table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+        return let(table, lambda t: F.aggregate(
+            pairs, F.lit(0.0), lambda s, cell: s + F.coalesce(F.get(t, cell), F.lit(0.0))))
+
+    return let(_pairs(token), lambda pairs: F.greatest(*[ratio(pairs, r) for r in model.ratios]))
 
 
 def scan_secrets(docs: DataFrame, model: MarkovModel) -> DataFrame:
@@ -175,6 +227,6 @@ def scan_secrets(docs: DataFrame, model: MarkovModel) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train the models on all documents, then scan every document."""
+    """Fit the models with the tokens of all documents, then scan every document."""
     docs = read(spark, sf_dir, "documents")
-    return scan_secrets(docs, train(labelled_tokens(docs)))
+    return scan_secrets(docs, fit(docs))
