@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textindex.llm.common import read
+from textindex.llm.common import materialize, read
 from textindex.llm.native import let, running
 
 # The base patterns. A hex run or an access key is as long as it
@@ -52,7 +52,8 @@ HEX_DIGITS = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {"hex": HEX_DIGITS, "base32": BASE32, "base62": BASE62, "base64": BASE62 + "+/"}
-ORDINARY = "ordinary"
+ORDINARY, JOINT = "ordinary", "joint"
+DIGITS, LETTERS = BASE62[:10], BASE62[10:]
 
 MIN_LENGTH = 12              # characters of a token that is scored
 FALSE_POSITIVES = 1e-4       # wanted share of ordinary tokens that are reported, at most
@@ -133,16 +134,44 @@ def ordinary_tokens(docs: DataFrame) -> DataFrame:
             .select(F.lit(ORDINARY).alias("label"), "token", "weight"))
 
 
-def identifiers(tokens: DataFrame) -> DataFrame:
-    """The tokens, and the identifiers that each of those made of letters gives."""
-    word, lower = F.col("token"), F.lower("token")
-    some = F.pmod(F.xxhash64("token"), F.lit(10_000)).cast("int")
-    day = F.date_add(F.lit("2000-01-01").cast("date"), some).cast("string")
-    made = F.array(word, F.concat_ws("_", lower, lower), F.concat_ws("-", lower, lower),
-                   F.concat(lower, F.initcap(lower)), F.concat_ws("_", F.upper(word), F.upper(word)),
-                   F.concat(lower, F.lit("_"), some.cast("string")), F.concat_ws("-", lower, day))
-    return tokens.select("label", F.explode(F.when(word.rlike("^[A-Za-z]+$"), made).otherwise(
-        F.array(word))).alias("token"), "weight")
+def joints(tokens: DataFrame) -> DataFrame:
+    """A token of letters as the pair of its last and first character: where identifiers join words."""
+    return tokens.filter(F.col("token").rlike("^[A-Za-z]+$")).select(
+        F.lit(JOINT).alias("label"), F.concat(F.expr("right(token, 1)"), F.expr("left(token, 1)")).alias("token"), "weight")
+
+
+def with_identifiers(cells: list[int], joint: list[int]) -> list[int]:
+    """Counts of the ordinary pairs and of identifiers made of the words.
+
+    The words are written in lower and upper case, joined in snake, kebab and camel
+    case, and followed by numbers, once each; all follow from the counted pairs.
+    """
+    def cell(a: str, b: str) -> int:
+        return (ord(a) - ALPHABET_FROM) * ALPHABET_SIZE + ord(b) - ALPHABET_FROM
+
+    out = list(cells)
+    for a in LETTERS:
+        for b in LETTERS:
+            n = cells[cell(a, b)]
+            out[cell(a.lower(), b.lower())] += 3 * n
+            out[cell(a.upper(), b.upper())] += n
+            n = joint[cell(a, b)]                  # a word ends in a, one begins with b
+            low, first = a.lower(), b.lower()
+            for before, after in ((low, first), (a.upper(), b.upper())):
+                out[cell(before, "_")] += n
+                out[cell("_", after)] += n
+            out[cell(low, "-")] += n
+            out[cell("-", first)] += n
+            out[cell(low, first.upper())] += n
+            out[cell(first.upper(), first)] += n // 26
+            for digit in DIGITS:
+                out[cell("_", digit)] += n // 10
+                out[cell("-", digit)] += n // 10
+                out[cell(digit, "-")] += n // 10
+                out[cell(low, digit)] += n // 100
+                for other in DIGITS:
+                    out[cell(digit, other)] += n // 25
+    return out
 
 
 def train(samples: DataFrame, min_length: int = MIN_LENGTH, false_positives: float = FALSE_POSITIVES,
@@ -152,16 +181,18 @@ def train(samples: DataFrame, min_length: int = MIN_LENGTH, false_positives: flo
     A pair's probability is smoothed towards its second character's own frequency,
     so after a character that a model has not seen the next one still counts. At
     most one count for each label and cell of the alphabet's square reaches the driver.
+    Pairs labelled ``joint`` add identifiers to the ordinary samples.
     """
     counts = (samples.select("label", "weight", F.explode(_pairs(F.col("token"))).alias("cell"))
               .groupBy("label", "cell").agg(F.sum("weight").alias("n")).collect())
     size = ALPHABET_SIZE
+    held = {label: [0] * (size * size) for label in (ORDINARY, JOINT, *ALPHABETS)}
+    for row in counts:
+        if 0 <= row["cell"] < size * size:
+            held[row["label"]][row["cell"]] += row["n"]
+    held[ORDINARY] = with_identifiers(held[ORDINARY], held.pop(JOINT))
     logs = {}
-    for label in (ORDINARY, *ALPHABETS):
-        cells = [0] * (size * size)
-        for row in counts:
-            if row["label"] == label and 0 <= row["cell"] < size * size:
-                cells[row["cell"]] += row["n"]
+    for label, cells in held.items():
         total = sum(cells) + smoothing * size
         single = [(sum(cells[c::size]) + smoothing) / total for c in range(size)]
         run = RUN_SHARE if label == ORDINARY else 0.0
@@ -177,7 +208,8 @@ def train(samples: DataFrame, min_length: int = MIN_LENGTH, false_positives: flo
 
 def fit(docs: DataFrame, min_length: int = MIN_LENGTH, false_positives: float = FALSE_POSITIVES) -> MarkovModel:
     """The models of drawn random strings and of the documents' ordinary tokens."""
-    return train(random_tokens(docs.sparkSession).unionByName(identifiers(ordinary_tokens(docs))),
+    tokens = materialize(ordinary_tokens(docs), "tokens")
+    return train(random_tokens(docs.sparkSession).unionByName(tokens).unionByName(joints(tokens)),
                  min_length, false_positives)
 
 
