@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textindex.llm import (chat, decontaminate, fingerprints, jaccard, language, linededup, mixing,
                            secrets, substrings, warc)
+from textindex.llm.common import block_of
 
 WORDS = "the of and lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod".split()
 
@@ -289,6 +290,65 @@ def test_lines(docs, empty):
     assert linededup.kept_lines(empty).collect() == [] and linededup.dedup_lines(empty).collect() == []
 
 
+def test_line_index_is_stored_and_probed_by_other_documents(spark):
+    """Documents outside the index lose what it holds before them, and nothing that it does not hold."""
+    rng = random.Random(23)
+    lines = [sentence(rng, 5) for _ in range(900)]
+    old = [(i, "\n".join(rng.sample(lines[:600], 7))) for i in range(100, 400)]
+    new = [(i, "\n".join(rng.sample(lines, 7))) for i in [*range(0, 30), *range(1000, 1300)]]
+    index = linededup.build_index(spark.createDataFrame(old, "doc_id long, text string"))
+    stored = index.rows.collect()
+    holders = collections.defaultdict(set)
+    for doc, text in old:
+        for line in text.split("\n"):
+            holders[line].add(doc)
+    shards = [linededup.LineShard.of_row(r.asDict()) for r in stored]
+    assert sum(len(s.counts) for s in shards) == len(holders) and index.rows.columns[0] == "shard"
+    assert sorted(n for s in shards for n in s.counts.tolist()) == sorted(map(len, holders.values()))
+    assert not any(line.encode() in bytes(r["fingerprints"]) for r in stored for line in lines)
+    for least in (1, 3):
+        got = linededup.kept_lines(spark.createDataFrame(new, "doc_id long, text string"),
+                                   index=index, min_holders=least).collect()
+        assert {r["doc_id"]: r["kept"] for r in got} == {
+            doc: "\n".join(x for x in text.split("\n")
+                           if len(holders.get(x, ())) < least or min(holders[x]) >= doc)
+            for doc, text in new}
+
+
+def test_a_fingerprint_rejects_lines_that_were_not_indexed():
+    rng = random.Random(5)
+    known = [linededup.key_hashes(sentence(rng, 6))[1][0] for _ in range(3000)]
+    other = [linededup.key_hashes(sentence(rng, 7))[1][0] for _ in range(3000)]
+    high, low = linededup._halves(known)
+    shard = linededup.LineShard.build(high, low, [1] * 3000, range(3000))
+    a, b = linededup._halves(other)
+    placed = shard.index(a, b) >= 0
+    assert placed.sum() > 1000                        # the hash alone gives them a number
+    assert (shard.probe(a, b)[0] == 0).all()          # the fingerprints reject them
+    assert (shard.probe(high, low)[0] == 1).all()
+
+
+def test_lines_of_null_and_shared_ids(spark):
+    shared, other = "a line that several hold", "another line, held twice"
+    rows = [(None, f"{shared}\n{i}") for i in range(300)] + [(7, shared), (7, f"{other}\nx"), (7, other), (9, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.kept_lines(df).collect()
+    assert sorted((r["doc_id"] is None, r["kept"]) for r in got) == sorted(
+        [(True, str(i)) for i in range(300)] + [(False, shared), (False, f"{other}\nx"), (False, other), (False, "")])
+    blocks = df.filter("doc_id IS NULL").select(block_of(F.struct("doc_id", "text"), 8)).distinct().count()
+    assert blocks == 8
+
+
+def test_lines_of_long_texts(spark):
+    """4 MB of lines, and one line of 5 MB, each in two documents."""
+    df = spark.sql("""SELECT id AS doc_id, CASE
+        WHEN id <= 2 THEN concat(array_join(transform(sequence(1, 100000),
+            i -> concat('this is a line, the one of number ', i)), '\\n'), if(id = 1, '', '\\nend'))
+        ELSE repeat('word ', 1000000) END AS text FROM range(1, 5, 1, 4)""")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.kept_lines(df).drop("kept").collect()}
+    assert got == {1: (100_000, 0), 2: (100_001, 100_000), 3: (1, 0), 4: (1, 1)}
+
+
 # -- 5 ---------------------------------------------------------------------
 
 def test_warc(spark, tmp_dir):

@@ -2,31 +2,44 @@
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys
 of ``min_chars`` code points or more are hashed to 128 bits; distinct hashes are
-dealt into shards. Each shard is a minimal perfect hash over its distinct hashes
-(levels of bit arrays, in which a hash that is alone at its place is settled, the
-others going on to the next level) and three compact arrays that it indexes:
-fingerprints, counts and first holders. A count is 1 for one holder and 2 for
-several, all that dropping needs; it is not the number of holders. A shard is built
-and probed over the same rows, in one call. Documents do not join lines:
-they are dealt into small blocks, a block sends each distinct hash once to the
-hash's shard (so a line in a third of all documents costs a row for each block of
-one task, not for each document), probes the arrays there, and gets back only the
-hashes whose lines it must drop.
-
-Different keys are taken as equal if their 128-bit hashes are. Membership is not
-guessed: all probed hashes were indexed.
+dealt into shards. Two passes:
+
+* ``build_index`` counts the distinct hashes and writes one row for each shard: a
+  minimal perfect hash (levels of bit arrays, in which a hash that is alone at its
+  place is settled, the others going on to the next level) and three compact arrays
+  that it indexes: 32-bit fingerprints, counts of holders, and first holders. The
+  lines themselves are not kept.
+* ``kept_lines`` probes a stored index with documents, those it was built from or
+  others. Documents do not join lines: they are dealt into small blocks, a block
+  sends each distinct hash once to the hash's shard (so a line in a third of all
+  documents costs a row for each block, not for each document), probes the arrays
+  there, and gets back only the hashes whose lines it must drop. A shard is handed
+  out once for every ``PART_BLOCKS`` blocks, so that no task meets more rows of one
+  line than that.
+
+A line goes if at least ``min_holders`` documents of the index hold it and the first
+of them is smaller than the line's document. Different keys are taken as equal if
+their 128-bit hashes are. A hash that was not indexed is told by its fingerprint,
+wrongly in one of 2^32 cases; hashes of documents of the index are always right.
+
+Blocks follow the rows and the bytes of the texts; a block holds the texts that fall
+into it, so about ``BLOCK_BYTES`` and its longest texts. Rows go to blocks by id and
+text, so null or repeated ids with different texts are spread.
 
 Edge cases: null or empty text is one empty line; short keys are never dropped; a
 line repeated in its smallest document stays there each time; rows that share a
-doc_id are one document for this purpose, and each gets a result; a null doc_id is
-the largest; an empty table gives no rows. Only the id and text columns are read,
-and ``dedup_lines`` keeps all other columns as they are.
+doc_id are one document when lines are dropped, each gets a result, and each distinct
+one counts as a holder where they differ in text or lie in different batches; a null
+doc_id is the largest; an empty table gives an index without rows and no rows. Only
+the id and text columns are read, and ``dedup_lines`` keeps all other columns as
+they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +48,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textindex.llm.common import block_of, blocks_for, read
+from textindex.llm.common import block_of, blocks_for, materialize, read
 
 MIN_CHARS = 10
+MIN_HOLDERS = 2
 DOCS_PER_BLOCK = 64        # documents that get their answers together
-SHARD_LINES = 50_000      # lines a shard is sized for
-LINES_PER_DOC = 16         # only sizes the shards; any number of lines is handled
+BLOCK_BYTES = 2 << 20      # bytes of their texts
+SHARD_LINES = 50_000       # lines a shard is sized for, repeated ones included
+PART_BLOCKS = 1 << 18      # blocks that probe one copy of a shard
 _GAMMA = 1.5               # bits a hash at each level
 _LAST = (1 << 63) - 1      # a null doc_id
 
@@ -113,14 +128,45 @@ class LineShard:
         return out
 
     def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0 if unknown, 1 for one holder, 2 for several) and first holders of the given hashes."""
+        """Counts of holders (0 if unknown) and first holders of the given hashes."""
         index = self.index(high, low)
         known = index >= 0
         known[known] = self.fingerprints[index[known]] == (low[known] >> np.uint64(32)).astype(np.uint32)
-        counts = np.where(known, self.counts[np.where(known, index, 0)], 0) if len(self.counts) else np.zeros(len(high), np.int64)
-        first = np.where(known, self.first[np.where(known, index, 0)], _LAST) if len(self.first) else np.full(len(high), _LAST)
+        counts, first = np.zeros(len(high), np.int64), np.full(len(high), _LAST)
+        counts[known] = self.counts[index[known]]
+        first[known] = self.first[index[known]]
         return counts, first
 
+    def to_row(self, shard: int) -> pa.Table:
+        """The shard as one row of ``INDEX_SCHEMA``."""
+        return pa.table({
+            "shard": pa.array([shard], pa.int32()),
+            "sizes": pa.array([[len(bits) for bits in self.levels]], pa.list_(pa.int32())),
+            "ranks": pa.array([self.ranks], pa.list_(pa.int32())),
+            "bits": pa.array([[np.packbits(bits).tobytes() for bits in self.levels]], pa.list_(pa.binary())),
+            "fingerprints": pa.array([self.fingerprints.tobytes()], pa.binary()),
+            "counts": pa.array([self.counts.tobytes()], pa.binary()),
+            "firsts": pa.array([self.first.tobytes()], pa.binary())})
+
+    @classmethod
+    def of_row(cls, row: dict) -> LineShard:
+        levels = [np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)
+                  for bits, size in zip(row["bits"], row["sizes"])]
+        return cls(levels, row["ranks"], np.frombuffer(row["fingerprints"], np.uint32),
+                   np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["firsts"], np.int64))
+
+
+INDEX_SCHEMA = ("shard int, sizes array<int>, ranks array<int>, bits array<binary>, "
+                "fingerprints binary, counts binary, firsts binary")
+
+
+@dataclass
+class LineIndex:
+    """A stored index: a row for each shard that holds a line, and how many shards there are."""
+
+    rows: DataFrame
+    shards: int
+
 
 def _halves(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(hashes), dtype="<u8").reshape(-1, 2)
@@ -132,71 +178,105 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column, pa.Array) else column.cast(pa.int64()).fill_null(_LAST).to_numpy()
 
 
-def _line_rows(min_chars: int, shards: int):
-    """Rows (shard, block, hash, smallest and largest holder) of a task's documents."""
+def _line_holders(min_chars: int, shards: int):
+    """Rows (shard, hash, holders, smallest holder) of each batch of documents."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for block, doc, text in zip(batch.column(0).to_pylist(), _ids(batch.column(1)).tolist(),
-                                        batch.column(2).to_pylist()):
-                for h in set(key_hashes(text, min_chars)[1]):
+            held: dict[bytes, set[int]] = {}
+            for doc, text in zip(_ids(batch.column(0)).tolist(), batch.column(1)):
+                for h in set(key_hashes(text.as_py(), min_chars)[1]):
                     if h is not None:
-                        low, high = held.get((block, h), (doc, doc))
-                        held[block, h] = min(low, doc), max(high, doc)
+                        held.setdefault(h, set()).add(doc)
             if held:
-                a, b = _halves([h for _, h in held])
+                a, b = _halves(list(held))
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array((a % np.uint64(shards)).astype(np.int32)),
-                    "block": pa.array([k for k, _ in held], pa.int32()),
                     "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)),
-                    "low": pa.array([x for x, _ in held.values()], pa.int64()),
-                    "high": pa.array([x for _, x in held.values()], pa.int64())})
+                    "n": pa.array([len(x) for x in held.values()], pa.int64()),
+                    "first": pa.array([min(x) for x in held.values()], pa.int64())})
     return rows
 
 
-def index_shard(table: pa.Table) -> tuple[LineShard, np.ndarray, np.ndarray]:
-    """A shard's index, and the halves of all its rows' hashes."""
-    a = table.column("a").to_numpy().view(np.uint64)
-    b = table.column("b").to_numpy().view(np.uint64)
-    low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    starts = np.flatnonzero(new)
-    first = np.minimum.reduceat(low[order], starts)
-    last = np.maximum.reduceat(high[order], starts)
-    # holders are counted as one or several, all that dropping needs
-    counts = np.where(first == last, 1, 2)
-    return LineShard.build(a[order][starts], b[order][starts], counts, first), a, b
-
-
-def _answers(key: tuple, table: pa.Table) -> pa.Table:
-    """Index a shard's hashes, probe them for each block, answer the repeated ones."""
-    shard, a, b = index_shard(table)
-    counts, first = shard.probe(a, b)
-    block = table.column("block").to_numpy()
-    ask = counts >= 2
-    return pa.table({"block": pa.array(block[ask], pa.int32()), "a": pa.array(a[ask].view(np.int64)),
-                     "b": pa.array(b[ask].view(np.int64)), "first": pa.array(first[ask], pa.int64())})
+def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
+    """The index row of a shard's distinct hashes."""
+    a, b, n, first = (table.column(c).to_numpy() for c in ("a", "b", "n", "first"))
+    return LineShard.build(a.view(np.uint64), b.view(np.uint64), n, first).to_row(key[0].as_py())
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                min_chars: int = MIN_CHARS) -> LineIndex:
+    """Index the distinct lines of ``docs``, written to the shared folder.
+
+    Shards follow the counted lines; a shard's rows are combined before they are
+    gathered, so a common line costs it a row.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lines = docs.agg(F.coalesce(F.sum(
+        F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1),
+        F.lit(0)).alias("n")).first()["n"]
+    shards = blocks_for(lines, SHARD_LINES)
+    held = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(
+        _line_holders(min_chars, shards), "shard int, a long, b long, n long, first long")
+    distinct = held.groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return LineIndex(materialize(distinct.groupBy("shard").applyInArrow(_build_shard, INDEX_SCHEMA),
+                                 "line-index"), shards)
+
+
+def _questions(min_chars: int, shards: int):
+    """Rows (shard, part, block, hash): each distinct hash of a block in a batch of documents."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = {(block, h) for block, text in zip(batch.column(0).to_pylist(), batch.column(1))
+                     for h in key_hashes(text.as_py(), min_chars)[1] if h is not None}
+            if asked:
+                a, b = _halves([h for _, h in asked])
+                block = np.array([k for k, _ in asked], dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array((a % np.uint64(shards)).astype(np.int32)),
+                    "part": pa.array((block // PART_BLOCKS).astype(np.int32)),
+                    "block": pa.array(block.astype(np.int32)),
+                    "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+    return rows
+
+
+def _probe_shard(min_holders: int):
+    def answers(key: tuple, asked: pa.Table, index: pa.Table) -> pa.Table:
+        """Probe a shard for the blocks that ask it; the lines that enough documents hold."""
+        a, b = (asked.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+        held = index.num_rows > 0
+        counts, first = (LineShard.of_row(index.to_pylist()[0]).probe(a, b) if held else
+                         (np.zeros(len(a), np.int64), np.full(len(a), _LAST)))
+        told = counts >= min_holders
+        return pa.table({"block": pa.array(asked.column("block").to_numpy()[told], pa.int32()),
+                         "a": pa.array(a[told].view(np.int64)), "b": pa.array(b[told].view(np.int64)),
+                         "first": pa.array(first[told], pa.int64())})
+    return answers
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               min_chars: int = MIN_CHARS, payload: list[str] | None = None) -> DataFrame:
+               min_chars: int = MIN_CHARS, payload: list[str] | None = None,
+               index: LineIndex | None = None, min_holders: int = MIN_HOLDERS) -> DataFrame:
     """``(<doc_id>, kept, n_lines, n_dropped, kept_sha256)`` and the columns of ``payload``.
 
-    ``kept`` is the text without its dropped lines.
+    ``kept`` is the text without its dropped lines. ``index`` (made with the same
+    ``min_chars``) may come from other documents, as for new documents against an
+    older corpus, which take ``min_holders=1``; without it, ``docs`` are indexed first.
     """
-    count = docs.count()
-    blocks = blocks_for(count, DOCS_PER_BLOCK)
-    shards = blocks_for(count * LINES_PER_DOC, SHARD_LINES)
+    index = index or build_index(docs, doc_id, text, min_chars)
+    size = docs.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("b")).first()
+    blocks = max(blocks_for(size["n"], DOCS_PER_BLOCK), blocks_for(size["b"], BLOCK_BYTES))
+    parts = blocks_for(blocks, PART_BLOCKS)
     carried = payload or []
-    rows = docs.select(block_of(F.col(f"`{doc_id}`"), blocks).alias("block"),
+    rows = docs.select(block_of(F.struct(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), blocks).alias("block"),
                        F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"),
                        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("rest"))
     rows = rows.repartition("block")
-    probes = rows.select("block", "id", "text").mapInArrow(
-        _line_rows(min_chars, shards), "shard int, block int, a long, b long, low long, high long")
-    answers = probes.groupBy("shard").applyInArrow(_answers, "block int, a long, b long, first long")
+    asked = rows.select("block", "text").mapInArrow(
+        _questions(min_chars, index.shards), "shard int, part int, block int, a long, b long")
+    handed = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    answers = asked.groupBy("shard", "part").cogroup(handed.groupBy("shard", "part")).applyInArrow(
+        _probe_shard(min_holders), "block int, a long, b long, first long")
 
     def finish(key: tuple, texts: pa.Table, said: pa.Table) -> pa.Table:
         pairs = np.stack([said.column("a").to_numpy(), said.column("b").to_numpy()], axis=1)
@@ -204,7 +284,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kept, n_lines, n_dropped, sha = [], [], [], []
         for doc, value in zip(_ids(texts.column("id")).tolist(), texts.column("text").to_pylist()):
             lines, hashes = key_hashes(value, min_chars)
-            left = [line for line, h in zip(lines, hashes) if known.get(h, doc) == doc]
+            left = [line for line, h in zip(lines, hashes) if known.get(h, doc) >= doc]
             data = b"\n".join(left)
             kept.append(data.decode("utf-8", "surrogatepass"))
             n_lines.append(len(lines))
@@ -225,13 +305,17 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the repeated lines of ``text`` dropped; all columns as before."""
+                min_chars: int = MIN_CHARS, index: LineIndex | None = None,
+                min_holders: int = MIN_HOLDERS) -> DataFrame:
+    """``docs`` with the repeated lines of ``text`` dropped; all columns as before.
+
+    ``index`` and ``min_holders`` are those of ``kept_lines``.
+    """
     others = [c for c in docs.columns if c not in (doc_id, text)]
     names = {c: f"c{i}" for i, c in enumerate(others)}
     plain = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"),
                         *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    done = kept_lines(plain, doc_id, text, min_chars, list(names.values()))
+    done = kept_lines(plain, doc_id, text, min_chars, list(names.values()), index, min_holders)
     return done.select(*[F.col("kept").alias(c) if c == text else
                          F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
