@@ -386,6 +386,43 @@ def test_warc(spark, tmp_dir):
     assert warc.read_archives(warc.write_archives(none, "page_id", "url", "html")).collect() == []
 
 
+def test_warc_refers_by_id_and_payload(spark):
+    """One payload in most rows, ids that repeat with several payloads, null ids."""
+    rows = [(i % 500 if i % 11 else None, "u", "error page" if i % 3 else f"page {i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = collections.Counter((r["record_id"], r["payload_digest"], r["record_type"], r["refers_to"])
+                              for r in warc.read_archives(warc.write_archives(df, "page_id", "url", "html")).collect())
+    first = {}
+    for i, _, html in sorted(rows, key=lambda p: (p[0] is None, p[0])):
+        first.setdefault(html, i)
+    want = collections.Counter()
+    for i, _, html in rows:
+        same = first[html] == i
+        want["null" if i is None else str(i), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode(),
+             "response" if same else "revisit", None if same else str(first[html])] += 1
+    assert got == want
+
+
+def test_warc_splits_a_hot_payload(spark):
+    df = spark.range(90_000).select("id", F.sha1(F.when(F.col("id") % 3 > 0, F.lit("error")).otherwise(
+        F.concat(F.lit("p"), (F.col("id") % 6000).cast("string")))).alias("sha")).repartition(4)
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+           "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false",
+           "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {key: spark.conf.get(key, None) for key in low}
+    try:
+        for key, value in low.items():
+            spark.conf.set(key, value)
+        found = warc.revisits(df)
+        assert len(found.collect()) == 90_000 - 2001
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_warc_minimum_size_and_damage(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")],
                                "page_id long, url string, html string").coalesce(1)

@@ -185,6 +185,19 @@ def train_dictionary(pages: DataFrame, payload: str, count: int = SAMPLE_PAGES,
         return b""
 
 
+def revisits(narrow: DataFrame) -> DataFrame:
+    """``(_id, _sha, first)`` of the rows of ``(id, sha)`` that are not the first of their digest.
+
+    No payload takes part, and both sides of the join are plain shuffles, so a digest
+    of very many pages is split. Payloads then meet these rows by id and digest, a key
+    that only rows equal in both share.
+    """
+    first = materialize(narrow.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+                        .filter("n > 1 AND first IS NOT NULL").select("sha", "first"), "warc-firsts")
+    return (narrow.distinct().join(first, "sha").filter(~F.col("first").eqNullSafe(F.col("id")))
+            .select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), "first"))
+
+
 def write_archives(pages: DataFrame, page_id: str, url: str, payload: str, min_bytes: int = 0,
                    date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Rows ``(path, content)``: archives that hold one record for each page.
@@ -195,13 +208,12 @@ def write_archives(pages: DataFrame, page_id: str, url: str, payload: str, min_b
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"),
                         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    first = (rows.filter(F.octet_length("payload") >= min_bytes)
-             .groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-             .filter("n > 1").select("sha", "first"))
-    tagged = rows.join(first, "sha", "left").select(
+    narrow = materialize(rows.filter(F.octet_length("payload") >= min_bytes).select("id", "sha"), "warc-digests")
+    refers = materialize(revisits(narrow), "warc-revisits")
+    tagged = rows.join(
+        refers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select(
         F.col("id").cast("string").alias("id"), "url", "payload",
-        F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first"))
-        .cast("string").alias("refers_to"))
+        F.col("first").cast("string").alias("refers_to"))
     held = train_dictionary(pages, payload)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
