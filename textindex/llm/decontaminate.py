@@ -10,12 +10,15 @@ value of a window equals the item's (bands of one row, the setting that containm
 in larger sets asks for). Candidates are verified exactly: an item is contained
 when at least ``threshold`` of its distinct shingles are in the whole document.
 
-With 64 values, an item of four shingles or more in one place is missed with a
-probability below 1e-5, and one of a single shingle of 2 %; an item whose parts
-are scattered is found by any of its parts.
+Items of up to ``EXACT_SHINGLES`` shingles have no signature: every shingle of a
+document is looked up among so many of theirs that a contained item must show one,
+so none is missed. With 64 values, an item of four shingles or more in one place is
+missed with a probability below 1e-5; an item whose parts are scattered is found by
+any of its parts.
 
-Items are collected in blocks of bounded count and size, and every block is sought
-in all documents, so any number of items is handled.
+Items are collected in blocks of bounded count and size. Every block is sought in
+all documents, and its index released once what it found is written, so any number
+of items is handled and one block's index is held at a time.
 
 Edge cases: texts of fewer words than a shingle are one shingle; null or empty
 documents and items match nothing; rows that repeat a document or an item each
@@ -34,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textindex.llm.common import block_of, blocks_for, read
+from textindex.llm.common import block_of, blocks_for, materialize, read
 from textindex.llm.shingles import mix, plain_words, shingle_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)                # contained: at least 4 of 5 shingles
 VALUES = 64                       # MinHash values of a signature
 BASE = 8                          # shingles of the smallest windows
+EXACT_SHINGLES = 3                # items of up to so many are looked up by their shingles
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 _TOGETHER = 1 << 16               # shingles whose signatures are made at once
 _FILTER_BITS = 20
@@ -80,12 +84,30 @@ def size_class(shingles: int) -> int:
 
 @dataclass
 class ItemClass:
-    """Items of one size class: their signature values, sorted, each with its item."""
+    """Items of one size class: their keys (signature values or shingles), sorted, each with its item."""
 
     keys: np.ndarray
     items: np.ndarray
     seen: np.ndarray
 
+    @classmethod
+    def build(cls, keys: list[np.ndarray], members: list[int]) -> ItemClass:
+        items = np.repeat(np.array(members, dtype=np.int64), [len(k) for k in keys])
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        seen[flat & np.uint64((1 << _FILTER_BITS) - 1)] = True
+        return cls(flat[order], items[order], seen)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, item)`` of each key that an item has; a place is that of the last axis."""
+        hit = np.nonzero(self.seen[keys & np.uint64((1 << _FILTER_BITS) - 1)])
+        found = keys[hit]
+        low, high = np.searchsorted(self.keys, found, "left"), np.searchsorted(self.keys, found, "right")
+        times = high - low
+        first = np.repeat(low - (np.cumsum(times) - times), times)
+        return np.repeat(hit[-1], times), self.items[first + np.arange(len(first))]
+
 
 @dataclass
 class ItemIndex:
@@ -94,32 +116,41 @@ class ItemIndex:
     ids: list
     shingles: list[np.ndarray]
     classes: dict[int, ItemClass] = field(default_factory=dict)
+    short: ItemClass | None = None
 
     @classmethod
-    def build(cls, rows: list[tuple]) -> ItemIndex:
+    def build(cls, rows: list[tuple], threshold: tuple[int, int] = THRESHOLD) -> ItemIndex:
         ids, sets = [], []
         for item, text in rows:
             found = np.unique(shingle_hashes(plain_words(text), SHINGLE_WORDS))
             if len(found):
                 ids.append(item)
                 sets.append(found)
-        index, by_class = cls(ids, sets), {}
+        index, by_class, short = cls(ids, sets), {}, []
         for i, found in enumerate(sets):
-            by_class.setdefault(size_class(len(found)), []).append(i)
+            if len(found) <= EXACT_SHINGLES:
+                short.append(i)
+            else:
+                by_class.setdefault(size_class(len(found)), []).append(i)
         for c, members in by_class.items():
-            keys = np.concatenate([_keys(signature(sets[i])[:, None])[:, 0] for i in members])
-            items = np.repeat(np.array(members, dtype=np.int64), VALUES)
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            seen[keys & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            index.classes[c] = ItemClass(keys[order], items[order], seen)
+            index.classes[c] = ItemClass.build([_keys(signature(sets[i])[:, None])[:, 0] for i in members], members)
+        if short:
+            over, under = threshold
+            # a document that lacks all of these has too few of the others
+            keys = [sets[i][:len(sets[i]) - max(1, -(-over * len(sets[i]) // under)) + 1] for i in short]
+            index.short = ItemClass.build(keys, short)
         return index
 
-    def candidates(self, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(from, to, item)``: runs of base windows that may hold an item."""
-        runs, c = base, 0
-        count = base.shape[1]
-        for c in range(max(self.classes, default=-1) + 1):
+    def candidates(self, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(from, to, item)``: runs of base windows of ``shingles`` that may hold an item."""
+        if self.short:
+            at, items = self.short.find(shingles)
+            yield at // BASE, at // BASE + 1, items
+        if not self.classes:
+            return
+        runs = base_signatures(shingles)
+        count = runs.shape[1]
+        for c in range(max(self.classes) + 1):
             ahead = 1 << c
             later = np.full_like(runs, _NONE)
             if ahead < count:
@@ -127,17 +158,8 @@ class ItemIndex:
             runs = np.minimum(runs, later)      # now of 2 * ahead base windows each
             if c not in self.classes:
                 continue
-            held = self.classes[c]
-            keys = _keys(runs[:, ::ahead])
-            hit = np.nonzero(held.seen[keys & np.uint64((1 << _FILTER_BITS) - 1)])
-            found = keys[hit]
-            low, high = np.searchsorted(held.keys, found, "left"), np.searchsorted(held.keys, found, "right")
-            times = high - low
-            if times.sum():
-                at = np.repeat(hit[1] * ahead, times)
-                first = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-                items = held.items[first + np.arange(len(first))]
-                yield at, np.minimum(at + 2 * ahead, count), items
+            at, items = self.classes[c].find(_keys(runs[:, ::ahead]))
+            yield at * ahead, np.minimum(at * ahead + 2 * ahead, count), items
 
     def contained(self, item: int, document: np.ndarray) -> int:
         """How many of an item's shingles are in a document's sorted distinct ones."""
@@ -159,7 +181,7 @@ def _search(held, threshold: tuple[int, int]):
         padded = [np.concatenate([s, np.repeat(s[-1:], -len(s) % BASE)]) for s in sets]
         ends = np.cumsum([len(p) // BASE for p in padded])
         pairs = set()
-        for start, stop, items in index.candidates(base_signatures(np.concatenate(padded))):
+        for start, stop, items in index.candidates(np.concatenate(padded)):
             first = np.searchsorted(ends, start, "right")
             last = np.searchsorted(ends, stop - 1, "right")
             for d in range(int((last - first).max()) + 1 if len(first) else 0):
@@ -213,8 +235,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     parts = []
     for b in range(blocks):
         block = wanted.filter(block_of(F.struct("item", "text"), blocks) == b).collect()
-        held = spark.sparkContext.broadcast(ItemIndex.build([(r["item"], r["text"]) for r in block]))
-        parts.append(rows.mapInArrow(_search(held, threshold), schema))
+        held = spark.sparkContext.broadcast(ItemIndex.build([(r["item"], r["text"]) for r in block], threshold))
+        parts.append(materialize(rows.mapInArrow(_search(held, threshold), schema), "contaminated"))
+        held.unpersist(blocking=True)
     return reduce(DataFrame.unionByName, parts).select(
         F.col("doc").alias(doc_id), F.col("item").alias(item_id), "matched", "item_shingles",
         (F.col("matched") / F.col("item_shingles")).alias("containment"))
