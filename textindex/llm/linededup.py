@@ -226,7 +226,7 @@ def _questions(min_chars: int, shards: int):
     """Rows (shard, part, block, hash): each distinct hash of a block in a batch of documents."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = {(block, h) for block, text in zip(batch.column(0).to_pylist(), batch.column(1))
+            asked = {(block, h) for block, text in zip(batch.column("block").to_pylist(), batch.column("text"))
                      for h in key_hashes(text.as_py(), min_chars)[1] if h is not None}
             if asked:
                 a, b = _halves([h for _, h in asked])
@@ -272,7 +272,8 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"),
                        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("rest"))
     rows = rows.repartition("block")
-    asked = rows.select("block", "text").mapInArrow(
+    # all columns, so that the texts are dealt once for the questions and the answers
+    asked = rows.mapInArrow(
         _questions(min_chars, index.shards), "shard int, part int, block int, a long, b long")
     handed = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     answers = asked.groupBy("shard", "part").cogroup(handed.groupBy("shard", "part")).applyInArrow(
