@@ -53,3 +53,39 @@ def test_ties_small_blocks_and_shuffles(spark):
     for r in S.batch_search(index, queries, k=7).collect():
         got.setdefault(r.query_id, []).append((r.rank, -r.score, r.doc_id))
     assert {q: [x[1:] for x in sorted(rows)] for q, rows in got.items()} == want
+
+
+def test_copies_are_returned_k_times_at_most_in_a_tile(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "'t' AS title", "'u' AS url",
+                                       "IF(id % 4 = 3, 'wa wb', 'wb wb wa') AS content")
+    queries = spark.createDataFrame([(1, "wa wb"), (2, "wa")], "query_id long, text string")
+    rows = S.batch_top_scores(build_index(docs), queries, k=5).checkpoint()
+    assert rows.count() <= 2 * 2 * 5
+    assert {(r.query_id, r["rank"], r.doc_id) for r in S.batch_search(build_index(docs), queries, k=5).collect()} == {
+        (q, n + 1, d) for q, ids in ((1, [0, 1, 2, 4, 5]), (2, [0, 1, 2, 3, 4])) for n, d in enumerate(ids)}
+
+
+@pytest.mark.parametrize("dense", [0, 512])
+def test_tiles_give_the_best_of_brute_force(spark, dense):
+    from textindex.operators import tiles
+
+    rng = random.Random(3)
+    docs = [(d, t, rng.randint(1, 3)) for d in range(90) for t in rng.sample(range(40), rng.randint(1, 12))]
+    queries = [(q, t, rng.random()) for q in range(300) for t in rng.sample(range(45), rng.randint(1, 9))]
+    held, tiles.DENSE_TERMS, tiles.STEP_PAIRS, old = tiles.DENSE_TERMS, dense, 50, tiles.STEP_PAIRS
+    try:
+        found = tiles.tile_scores(spark.createDataFrame(docs, "d long, t long, tf int"),
+                                  spark.createDataFrame(queries, "q long, t long, weight double"),
+                                  4, 6, 16, 2, doc_rows=200, query_rows=500).collect()
+    finally:
+        tiles.DENSE_TERMS, tiles.STEP_PAIRS = held, old
+    want, got = {}, {}
+    for q, t, w in queries:
+        for d, u, tf in docs:
+            if t == u:
+                want.setdefault(q, {}).setdefault(d, 0.0)
+                want[q][d] += w * tf
+    for q, d, s in found:
+        got.setdefault(q, {})[d] = s
+    best = {q: sorted(((-round(s, 6), d) for d, s in rows.items()))[:4] for q, rows in want.items()}
+    assert {q: sorted(((-round(s, 6), d) for d, s in rows.items()))[:4] for q, rows in got.items()} == best

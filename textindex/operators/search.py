@@ -14,12 +14,13 @@ from textindex.functions.stopwords import ENGLISH
 from textindex.functions.text import idf
 from textindex.operators.analyze import analyze, query_term_counts
 from textindex.operators.index import Index
+from textindex.operators.tiles import slack, tile_scores
 from textindex.session import ensure_checkpoint_dir
 
 SCORE_DIGITS = 6
 BROADCAST_BYTES = 16 << 20
-BLOCK_DOCS = 8              # documents that share a bound in a batch search; a power of two
-FIRST_BLOCKS = 8            # blocks that give a query its threshold
+BLOCK_DOCS = 2048           # documents scored at a time in a tile of a batch search
+FIRST_BLOCKS = 4            # blocks that give a query its threshold in a tile
 RESULT_COLUMNS = ("doc_id", "title", "url", "score")
 
 
@@ -234,92 +235,51 @@ def _query_weights(matches: DataFrame, qt: DataFrame, n: DataFrame) -> DataFrame
                     (F.col("qtf") * idf(F.col("df"), F.col("total_documents"))).alias("weight")))
 
 
-def _weighted(rows: DataFrame, weights: DataFrame, small: bool, salts: int) -> DataFrame:
-    """``rows(block, term, ...)`` joined with the weights of their terms; a frequent term's
-    rows are split by block where the weights are too many to broadcast."""
-    if small:
-        return rows.join(F.broadcast(weights), "term")
-    parts = weights.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return (rows.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-            .join(parts, ["term", "salt"]).drop("salt"))
-
-
-def _with_pairs(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
-    """``rows`` whose ``(query_id, block)`` is, or is not, among ``pairs``; a null id is one id."""
-    pairs = pairs.select(F.col("query_id").alias("_query"), F.col("block").alias("_block"))
-    return rows.join(pairs, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("block") == F.col("_block")), how)
-
-
-def impact_blocks(matches: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """``(block, doc_id, term, tf)``: matches dealt into blocks of documents of like weight.
-
-    Documents are ordered by how many occurrences they hold, so a block's highest
-    frequencies are close to those of all its documents.
-    """
-    held = matches.groupBy("doc_id").agg(F.sum("tf").alias("held"))
-    order = [F.col("held").desc(), F.col("doc_id")]
-    # ids of rows within a task are consecutive, and a task's first is a multiple of any block size
-    blocks = (held.repartitionByRange(*order).sortWithinPartitions(*order)
-              .select("doc_id", F.monotonically_increasing_id().alias("at"))
-              .select("doc_id", F.shiftright("at", (block_docs - 1).bit_length()).alias("block"))
-              .checkpoint(eager=True))
-    return matches.join(blocks, "doc_id").select("block", "doc_id", "term", "tf").checkpoint(eager=True)
+def numbered(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``(column, out)``: a number for each distinct value of a column, null included, in their order."""
+    return (rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+            .withColumn(out, F.monotonically_increasing_id()).checkpoint(eager=True))
 
 
 def batch_top_scores(index: Index, queries: DataFrame, k: int = 10, total_documents: int | None = None,
-                     salts: int = 16, block_docs: int = BLOCK_DOCS, first_blocks: int = FIRST_BLOCKS,
-                     **kwargs) -> DataFrame:
+                     block_docs: int = BLOCK_DOCS, first_blocks: int = FIRST_BLOCKS, **kwargs) -> DataFrame:
     """``(query_id, doc_id, score)`` of every document that can be among a query's top ``k``.
 
-    Exact pruning by bounds. A block's highest frequency of each term bounds the
-    score of its documents for any query. A first round scores each query's
-    ``first_blocks`` best blocks by that bound, and its ``k``-th score there is a
-    threshold; the second round scores the other blocks whose bound reaches it.
-    A block below it holds no document of the top ``k``, ties included. Documents of
-    the same score order by ``doc_id``, so a bound that equals the threshold counts.
+    Queries and matched postings are dealt into tiles; each pair of tiles is multiplied
+    in one task (``tiles``), which returns a query's ``k`` best there, ties included. In a
+    tile, the first ``first_blocks`` blocks of ``block_docs`` documents give a query its
+    threshold, and later blocks return only what reaches it. Documents of the same score
+    order by ``doc_id``, so a score that equals the threshold counts.
     """
     ensure_checkpoint_dir(queries.sparkSession)
     qt = query_terms(queries, **kwargs).checkpoint(eager=True)
-    small = _small(qt, "term")
     needed = qt.select("term").distinct()
-    side = F.broadcast(needed) if small else needed
+    side = F.broadcast(needed) if _small(qt, "term") else needed
     matches = _matches(index, lambda rows: rows.join(side, "term", "left_semi"))
     weights = _query_weights(matches, qt, _total_documents(index, total_documents)).checkpoint(eager=True)
-    placed = impact_blocks(matches, block_docs)
-    met = _weighted(placed.groupBy("block", "term").agg(F.max("tf").alias("tf")), weights, small, salts)
-    bounds = (met.groupBy("query_id", "block").agg(F.sum(F.col("tf") * F.col("weight")).alias("bound"))
-              .checkpoint(eager=True))
-    best = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), F.col("block"))
-    first = (bounds.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= first_blocks)
-             .select("query_id", "block"))
-
-    worth = weights.withColumnRenamed("query_id", "_query")
-    worth = F.broadcast(worth) if small else worth
-
-    def scored(chosen: DataFrame) -> DataFrame:
-        return (chosen.join(worth, F.col("query_id").eqNullSafe(F.col("_query")))
-                .join(placed, ["block", "term"]).groupBy("query_id", "doc_id")
-                .agg(F.round(F.sum(F.col("tf") * F.col("weight")), SCORE_DIGITS).alias("score")))
-
-    first = first.checkpoint(eager=True)
-    early = scored(first).checkpoint(eager=True)
-    ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    least = (early.withColumn("n", F.row_number().over(ranks)).filter(F.col("n") <= k)
-             .groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") == k).drop("n").checkpoint(eager=True))
-    slack = F.lit(2.0 * 10 ** -SCORE_DIGITS) + F.abs("bound") * 1e-9        # of rounding and of sums
-    least = least.withColumnRenamed("query_id", "_query")
-    rest = (_with_pairs(bounds, first, "left_anti")
-            .join(F.broadcast(least) if small else least, F.col("query_id").eqNullSafe(F.col("_query")), "left")
-            .filter(F.col("least").isNull() | (F.col("bound") + slack >= F.col("least"))))
-    return early.unionByName(scored(rest.select("query_id", "block")))
+    terms = numbered(weights, "term", "t")
+    asked = numbered(weights, "query_id", "q")
+    placed = numbered(matches.filter(F.col("doc_id").isNotNull()), "doc_id", "d")
+    by_query = asked.withColumnRenamed("query_id", "_query")
+    scores = tile_scores(
+        matches.join(placed, "doc_id").join(terms, "term").select("d", "t", "tf"),
+        weights.join(by_query, F.col("query_id").eqNullSafe(F.col("_query"))).join(terms, "term")
+        .select("q", "t", "weight"), k, SCORE_DIGITS, block_docs, first_blocks).checkpoint(eager=True)
+    ranks = Window.partitionBy("q").orderBy(F.col("score").desc())
+    least = (scores.withColumn("n", F.row_number().over(ranks)).filter(F.col("n") <= k)
+             .groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+             .select("q", F.when(F.col("n") == k, F.col("least")).alias("least")))
+    best = scores.join(least, "q").filter(
+        F.col("least").isNull() | (F.col("score") >= F.col("least") - slack(F.col("least"), SCORE_DIGITS)))
+    return (best.join(asked, "q").join(placed, "d")
+            .select("query_id", "doc_id", F.round("score", SCORE_DIGITS).alias("score")))
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 10,
                  total_documents: int | None = None, **kwargs) -> DataFrame:
     """H3: top ``k`` documents per query, ``(query_id, rank, doc_id, title, url, score)``.
 
-    Only documents that may be among them are scored (``batch_top_scores``).
+    Only documents that may be among them are returned by the tiles (``batch_top_scores``).
     ``row_number() <= k`` plans as a WindowGroupLimit that keeps k rows per query
     in each task before the shuffle, so a query matching millions of documents
     sends only k rows per task. Titles are derived for the winners alone.
