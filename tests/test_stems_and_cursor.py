@@ -66,3 +66,19 @@ def test_pages_by_cursor_are_pages_by_offset(spark):
     assert number == 5 and cursor([]) is None
     plan = search_after(index, "apple", (1.0, 50, 40), limit=20)._jdf.queryExecution().optimizedPlan().toString()
     assert "GlobalLimit 20" in plan and "Offset" not in plan
+
+
+def test_tokens_are_not_shuffled_beyond_the_bound(spark, tmp_dir):
+    want, held, size = stemmed(docs(spark, TEXTS)), stemming.BROADCAST_BYTES, stemming.BLOCK_BYTES
+    stemming.BROADCAST_BYTES, stemming.BLOCK_BYTES = 0, 64
+    try:
+        found = analyze(docs(spark, TEXTS), lang_col="lang", stem=True)
+        assert stemmed(docs(spark, TEXTS), dictionary=StemDictionary(spark, os.path.join(tmp_dir, "stems"))) == want
+    finally:
+        stemming.BROADCAST_BYTES, stemming.BLOCK_BYTES = held, size
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Exchange" in line or "CoGroups" in line]
+    assert any("CoGroups" in line for line in joins)
+    assert not any("pos#" in line or "doc_id#" in line for line in joins if "Exchange" in line)
+    assert "_salt" not in plan
