@@ -21,6 +21,7 @@ SCORE_DIGITS = 6
 BROADCAST_BYTES = 16 << 20
 BLOCK_DOCS = 2048           # documents scored at a time in a tile of a batch search
 FIRST_BLOCKS = 4            # blocks that give a query its threshold in a tile
+DOCS_PER_TASK = 4000        # documents whose matched tokens a task of a batch search counts
 RESULT_COLUMNS = ("doc_id", "title", "url", "score")
 
 
@@ -59,7 +60,7 @@ def term_weights(df_by_term: DataFrame, qtf: dict[str, int], n: DataFrame) -> Da
                              * F.element_at(qtf_map, F.col("term"))).alias("weight")))
 
 
-def _matches(index: Index, keep, terms: list[str] | None = None) -> DataFrame:
+def _matches(index: Index, keep, terms: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """``(term, doc_id, tf)`` of the postings that ``keep`` selects, written once.
 
     A stored index looks up ``terms`` where they lie, if they are known by name.
@@ -67,15 +68,17 @@ def _matches(index: Index, keep, terms: list[str] | None = None) -> DataFrame:
     ``keep`` is applied to single tokens, before any aggregation, so only tokens
     of query terms are shuffled (by ``doc_id``, which spreads a frequent term) and
     counted. The result goes to the checkpoint folder: frequencies and scores both
-    read it, and the corpus is tokenized once.
+    read it, and the corpus is tokenized once. ``tasks`` deals the documents out over
+    as many tasks, for matches that grow with the documents.
     """
     ensure_checkpoint_dir(index.postings.sparkSession)
+    by_id = ["doc_id"] if tasks is None else [tasks, "doc_id"]
     if terms is not None and index.postings_of is not None:
-        found = index.postings_of(terms).select("term", "doc_id", "tf").repartition("doc_id")
+        found = index.postings_of(terms).select("term", "doc_id", "tf").repartition(*by_id)
     elif index.tokens is None:
-        found = keep(index.postings).select("term", "doc_id", "tf").repartition("doc_id")
+        found = keep(index.postings).select("term", "doc_id", "tf").repartition(*by_id)
     else:
-        found = (keep(index.tokens).select("term", "doc_id").repartition("doc_id")
+        found = (keep(index.tokens).select("term", "doc_id").repartition(*by_id)
                  .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
     return found.checkpoint(eager=True)
 
@@ -249,14 +252,18 @@ def batch_top_scores(index: Index, queries: DataFrame, k: int = 10, total_docume
     in one task (``tiles``), which returns a query's ``k`` best there, ties included. In a
     tile, the first ``first_blocks`` blocks of ``block_docs`` documents give a query its
     threshold, and later blocks return only what reaches it. Documents of the same score
-    order by ``doc_id``, so a score that equals the threshold counts.
+    order by ``doc_id``, so a score that equals the threshold counts. The number of tasks
+    follows the documents and the tiles, so what one task holds does not grow with them.
     """
     ensure_checkpoint_dir(queries.sparkSession)
     qt = query_terms(queries, **kwargs).checkpoint(eager=True)
     needed = qt.select("term").distinct()
     side = F.broadcast(needed) if _small(qt, "term") else needed
-    matches = _matches(index, lambda rows: rows.join(side, "term", "left_semi"))
-    weights = _query_weights(matches, qt, _total_documents(index, total_documents)).checkpoint(eager=True)
+    documents = index.documents.count() if index.total_documents is None else index.total_documents
+    tasks = max(qt.sparkSession.sparkContext.defaultParallelism, -(-documents // DOCS_PER_TASK))
+    matches = _matches(index, lambda rows: rows.join(side, "term", "left_semi"), tasks=tasks)
+    weights = _query_weights(matches, qt, _total_documents(
+        index, documents if total_documents is None else total_documents)).checkpoint(eager=True)
     terms = numbered(weights, "term", "t")
     asked = numbered(weights, "query_id", "q")
     placed = numbered(matches.filter(F.col("doc_id").isNotNull()), "doc_id", "d")
