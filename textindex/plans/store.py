@@ -35,18 +35,21 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textindex.functions.stopwords import ENGLISH
-from textindex.operators.index import Index, build_index, doc_frequency, index_stats
+from textindex.operators.index import Index, build_index, build_postings, doc_frequency, index_stats
+from textindex.operators.inplace import postings_in_place
 from textindex.session import ensure_checkpoint_dir
 
 DOCS_PER_BUCKET = 20_000
 ROWS_PER_PART = 2_000_000
 GROWTH = 4
+DOCS_PER_SLICE = 5_000
+BROADCAST_IDS = 500_000
 POSTING_COLUMNS = ("term", "doc_id", "tf", "positions")
 
 
@@ -141,24 +144,48 @@ class IndexStore:
     def _folder(self, segment: str, table: str) -> str:
         return f"{self.root}/segments/{segment}/{table}"
 
-    def _write_segment(self, documents: DataFrame, postings: DataFrame, buckets: int) -> dict[int, tuple]:
+    def _write_segment(self, index: Index, buckets: int, n: int, kept: Index | None = None,
+                       n_kept: int = 0) -> dict[int, tuple]:
         """Write the rows' buckets as a new segment; bucket -> (segment, documents, indexed_at).
 
-        The analysis behind ``postings`` runs once: all other tables are made from the
-        rows that were written.
+        The documents go first. Their postings are made from the texts that were written,
+        where they lie, so a token is neither shuffled nor analyzed twice; all other tables
+        are made from the postings that were written. ``kept`` are documents and postings
+        that are carried over as they are; its documents share no id with the others.
+        ``n`` and ``n_kept`` are the numbers of documents: they are dealt by bucket and
+        slices of about ``DOCS_PER_SLICE``, without the second pass that ranges are drawn with.
         """
         segment = uuid.uuid4().hex
+        bucket = doc_bucket(F.col("doc_id"), buckets)
 
-        def write(rows: DataFrame, table: str, *order: str) -> DataFrame:
-            writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write
+        def back(rows: DataFrame, table: str) -> DataFrame:
+            return self.spark.read.schema(rows.schema).parquet(self._folder(segment, table))
+
+        def save(rows: DataFrame, table: str, by: str = "bucket") -> DataFrame:
+            writer = rows.write.mode("append")
             if table == "terms":
                 writer = writer.option("parquet.bloom.filter.enabled#term", "true")
-            writer.partitionBy(order[0]).parquet(self._folder(segment, table))
-            return self.spark.read.schema(rows.schema).parquet(self._folder(segment, table))
+            writer.partitionBy(by).parquet(self._folder(segment, table))
+            return back(rows, table)
 
-        bucket = doc_bucket(F.col("doc_id"), buckets)
-        docs = write(documents.withColumn("bucket", bucket), "documents", "bucket", "doc_id")
-        posts = write(postings.select(*POSTING_COLUMNS, bucket.alias("bucket")), "postings", "bucket", "term", "doc_id")
+        def write(rows: DataFrame, table: str, *order: str) -> DataFrame:
+            return save(rows.repartitionByRange(*order).sortWithinPartitions(*order), table, order[0])
+
+        def deal(rows: DataFrame, table: str, n: int, *order: str) -> DataFrame:
+            rows = rows.withColumn("bucket", bucket)
+            part = F.pmod(F.hash("doc_id"), F.lit(max(1, -(-n // (buckets * DOCS_PER_SLICE)))))
+            return save(rows.repartition("bucket", part).sortWithinPartitions("bucket", *order), table)
+
+        documents = index.documents
+        if kept is not None:      # the same columns in all files
+            documents = kept.documents.limit(0).unionByName(documents, allowMissingColumns=True)
+            carried = kept.documents.unionByName(index.documents.limit(0), allowMissingColumns=True)
+        docs = deal(documents, "documents", n, "doc_id")
+        posts = self._write_postings(index, docs, n, save, deal)
+        if kept is not None:
+            deal(carried, "documents", n_kept, "doc_id")
+            deal(kept.postings.select(*POSTING_COLUMNS), "postings", n_kept)
+            docs, posts = back(docs, "documents"), back(posts, "postings")
         last = F.max("indexed_at") if "indexed_at" in docs.columns else F.lit(None).cast("timestamp")
         held = {r["bucket"]: (segment, r["n"], r["t"]) for r in
                 docs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), last.alias("t")).collect()}
@@ -166,9 +193,11 @@ class IndexStore:
                        "term_counts", "bucket", "term")
         sizes = counts.groupBy("bucket").agg(F.sum("df").alias("n")).collect()
         term_parts = self.parts or max(1, -(-sum(r["n"] for r in sizes) // ROWS_PER_PART))
-        terms = write(posts.select(*POSTING_COLUMNS, "bucket", F.lit(segment).alias("segment"),
-                                   part_of(F.col("term"), term_parts).alias("term_part")),
-                      "terms", "term_part", "term", "doc_id")
+        order = ("term_part", "term", "doc_id")
+        terms = save(posts.select(*POSTING_COLUMNS, part_of(F.col("term"), term_parts).alias("term_part"))
+                     .repartitionByRange(*order).sortWithinPartitions(*order)
+                     # what is the same or follows from the id is added behind the exchange
+                     .withColumn("bucket", bucket).withColumn("segment", F.lit(segment)), "terms", "term_part")
         path_parts = self.parts or max(1, -(-sum(n for _, n, _ in held.values()) // ROWS_PER_PART))
         path_numbers: list[int] = []
         if {"file_path", "modified_at"} <= set(docs.columns):
@@ -181,6 +210,24 @@ class IndexStore:
         self.spark.createDataFrame([row], INFO).coalesce(1).write.parquet(self._folder(segment, "info"))
         return held
 
+    def _write_postings(self, index: Index, docs: DataFrame, n: int, save, deal) -> DataFrame:
+        """Postings of the documents that were written. Rows that share an id, null included,
+        are one document, so they meet in a shuffle; all others are grouped where they lie."""
+        if index.terms is None:
+            return deal(index.postings.select(*POSTING_COLUMNS), "postings", n)
+        ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+            F.col("doc_id").alias("_again")).checkpoint(eager=True)
+        repeated = ids.count()
+        if not repeated:
+            return save(postings_in_place(docs, index.terms, ("bucket",)), "postings")
+        same = F.col("doc_id").eqNullSafe(F.col("_again"))
+        single = docs.join(_ids(ids, repeated), same, "left_anti")
+        save(postings_in_place(single, index.terms, ("bucket",)), "postings")
+        shared = (docs.join(_ids(ids, repeated), same, "left_semi")
+                  .select("doc_id", index.terms.alias("terms")).repartition("doc_id"))
+        merged = build_postings(shared.select("doc_id", F.posexplode("terms").alias("pos", "term")))
+        return deal(merged.select(*POSTING_COLUMNS), "postings", n)
+
     def _infos(self, segments: Iterable[str]) -> dict[str, Segment]:
         """What the given segments hold, one row each, read once."""
         names = sorted(set(segments))
@@ -247,8 +294,10 @@ class IndexStore:
     # -- write / read -------------------------------------------------------
     def write(self, index: Index, batch: str | None = None) -> str:
         """B1 + B2: write a whole index as a new version, in buckets of its own size."""
-        buckets = self.buckets or max(1, -(-index.documents.count() // self.docs_per_bucket))
-        return self._publish(self._write_segment(index.documents, index.postings, buckets), buckets, batch)
+        ensure_checkpoint_dir(self.spark)
+        n = index.documents.count()
+        buckets = self.buckets or max(1, -(-n // self.docs_per_bucket))
+        return self._publish(self._write_segment(index, buckets, n), buckets, batch)
 
     def postings_of(self, terms: Iterable[str], manifest: Manifest | None = None) -> DataFrame | None:
         """A5: postings of the given terms, from the parts that hold them; None if no part does."""
@@ -333,15 +382,14 @@ class IndexStore:
         if self.buckets is None and total > GROWTH * buckets * self.docs_per_bucket:
             buckets, touched = -(-total // self.docs_per_bucket), set(manifest.segments) | touched
         old = {b: s for b, s in manifest.segments.items() if b in touched}
-        new_docs = incoming.join(changes.select("doc_id"), "doc_id", "left_semi")
-        fresh = build_index(new_docs, **kwargs)
-        docs, postings = new_docs, fresh.postings
+        out, n = _ids(gone, gone.count()), changes.count()
+        fresh = build_index(incoming.join(_ids(changes.select("doc_id"), n), "doc_id", "left_semi"), **kwargs)
+        kept = None
         if old:
             before = self._documents(old)
-            docs = before.join(gone, "doc_id", "left_anti").unionByName(docs, allowMissingColumns=True)
-            postings = (self._postings(old, before).select(*POSTING_COLUMNS).join(gone, "doc_id", "left_anti")
-                        .unionByName(postings.select(*POSTING_COLUMNS)))
-        made = self._write_segment(docs, postings, buckets)
+            postings = self._postings(old, before).select(*POSTING_COLUMNS).join(out, "doc_id", "left_anti")
+            kept = replace(fresh, documents=before.join(out, "doc_id", "left_anti"), postings=postings)
+        made = self._write_segment(fresh, buckets, n, kept, sum(manifest.documents[b] for b in old))
         carried = {b: (s, manifest.documents[b], manifest.indexed_at[b])
                    for b, s in manifest.segments.items() if b not in touched}
         return self._publish(carried | made, buckets, batch)
@@ -352,6 +400,12 @@ INFO = ("buckets array<int>, posted array<int>, term_parts int, terms array<int>
         "paths array<int>")
 
 
+def _ids(ids: DataFrame, n: int) -> DataFrame:
+    """The side of a semi or anti join that holds ``n`` ids: broadcast if they are few, else
+    hashed a partition at a time, so that the texts or postings beside them are not sorted."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def _numbers(rows: DataFrame, column: str) -> list[int]:
     """The folders of a table just written: at most one number for each part."""
     return sorted(r[column] for r in rows.select(column).distinct().collect())
