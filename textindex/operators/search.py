@@ -7,6 +7,8 @@ Scoring only ever touches tokens or postings of the queries' terms: the filter o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,14 @@ from textindex.functions.stopwords import ENGLISH
 from textindex.functions.text import idf
 from textindex.operators.analyze import analyze, query_term_counts
 from textindex.operators.index import Index
-from textindex.operators.tiles import slack, tile_scores
+from textindex.operators.tiles import document_counts, pack_documents, packed_scores
 from textindex.session import ensure_checkpoint_dir
 
 SCORE_DIGITS = 6
 BROADCAST_BYTES = 16 << 20
-BLOCK_DOCS = 2048           # documents scored at a time in a tile of a batch search
-FIRST_BLOCKS = 4            # blocks that give a query its threshold in a tile
+VOCABULARY_BYTES = 64 << 20
+BLOCK_DOCS = 256            # documents bounded together in a tile of a batch search
+FIRST_BLOCKS = 2            # as many of the longest documents as in so many blocks give a query its threshold
 DOCS_PER_TASK = 4000        # documents whose matched tokens a task of a batch search counts
 RESULT_COLUMNS = ("doc_id", "title", "url", "score")
 
@@ -196,11 +199,18 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
             .agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _small(df: DataFrame, text_col: str) -> bool:
+def _small(df: DataFrame, text_col: str, bound: int | None = None) -> bool:
     """Whether ``df``, counted, is small enough to broadcast."""
     size = df.agg(F.count(F.lit(1)).alias("n"),
-                  F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
-    return size["b"] + 64 * size["n"] <= BROADCAST_BYTES
+                  F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("b")).first()
+    return size["b"] + 64 * size["n"] <= (BROADCAST_BYTES if bound is None else bound)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` from a compressed table in the checkpoint folder, for rows that a checkpoint would hold several times as large."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/search-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def batch_scores(index: Index, queries: DataFrame, total_documents: int | None = None,
@@ -239,47 +249,51 @@ def _query_weights(matches: DataFrame, qt: DataFrame, n: DataFrame) -> DataFrame
 
 
 def numbered(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """``(column, out)``: a number for each distinct value of a column, null included, in their order."""
-    return (rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-            .withColumn(out, F.monotonically_increasing_id()).checkpoint(eager=True))
+    """``(column, out)``: a number from 0 for each distinct value of a column, in their order."""
+    found = (rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+             .select(column, F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at"))
+             .checkpoint(eager=True))
+    held = {r["_task"]: (r["first"], r["n"]) for r in found.groupBy("_task").agg(
+        F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for task in range(max(held, default=0) + 1):
+        first, n = held.get(task, (0, 0))
+        offsets.append(F.lit(before - first))
+        before += n
+    return found.select(column, (F.col("_at") + F.array(*offsets)[F.col("_task")]).alias(out))
 
 
 def batch_top_scores(index: Index, queries: DataFrame, k: int = 10, total_documents: int | None = None,
                      block_docs: int = BLOCK_DOCS, first_blocks: int = FIRST_BLOCKS, **kwargs) -> DataFrame:
-    """``(query_id, doc_id, score)`` of every document that can be among a query's top ``k``.
-
-    Queries and matched postings are dealt into tiles; each pair of tiles is multiplied
-    in one task (``tiles``), which returns a query's ``k`` best there, ties included. In a
-    tile, the first ``first_blocks`` blocks of ``block_docs`` documents give a query its
-    threshold, and later blocks return only what reaches it. Documents of the same score
-    order by ``doc_id``, so a score that equals the threshold counts. The number of tasks
-    follows the documents and the tiles, so what one task holds does not grow with them.
+    """``(query_id, doc_id, score)`` of every query's top ``k`` documents.
+
+    The queries' terms are numbered; the documents' matched tokens are counted where they
+    lie, dealt by ``doc_id`` as packed pieces and written once, in tiles. Every tile is
+    multiplied with the queries, some broadcast at a time (``tiles``), and returns the
+    documents that can be among a query's ``k`` best. Bounds leave out most blocks of
+    ``block_docs`` documents, against the scores that the longest ``first_blocks`` times
+    as many reach. The number of tasks follows the documents, so what one task holds does
+    not grow with them.
     """
-    ensure_checkpoint_dir(queries.sparkSession)
-    qt = query_terms(queries, **kwargs).checkpoint(eager=True)
-    needed = qt.select("term").distinct()
-    side = F.broadcast(needed) if _small(qt, "term") else needed
+    qt = _written(query_terms(queries, **kwargs))
+    terms = numbered(qt, "term", "t")
+    side = F.broadcast(terms) if _small(terms, "term", VOCABULARY_BYTES) else terms
     documents = index.documents.count() if index.total_documents is None else index.total_documents
     tasks = max(qt.sparkSession.sparkContext.defaultParallelism, -(-documents // DOCS_PER_TASK))
-    matches = _matches(index, lambda rows: rows.join(side, "term", "left_semi"), tasks=tasks)
-    weights = _query_weights(matches, qt, _total_documents(
-        index, documents if total_documents is None else total_documents)).checkpoint(eager=True)
-    terms = numbered(weights, "term", "t")
-    asked = numbered(weights, "query_id", "q")
-    placed = numbered(matches.filter(F.col("doc_id").isNotNull()), "doc_id", "d")
-    by_query = asked.withColumnRenamed("query_id", "_query")
-    scores = tile_scores(
-        matches.join(placed, "doc_id").join(terms, "term").select("d", "t", "tf"),
-        weights.join(by_query, F.col("query_id").eqNullSafe(F.col("_query"))).join(terms, "term")
-        .select("q", "t", "weight"), k, SCORE_DIGITS, block_docs, first_blocks).checkpoint(eager=True)
-    ranks = Window.partitionBy("q").orderBy(F.col("score").desc())
-    least = (scores.withColumn("n", F.row_number().over(ranks)).filter(F.col("n") <= k)
-             .groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-             .select("q", F.when(F.col("n") == k, F.col("least")).alias("least")))
-    best = scores.join(least, "q").filter(
-        F.col("least").isNull() | (F.col("score") >= F.col("least") - slack(F.col("least"), SCORE_DIGITS)))
-    return (best.join(asked, "q").join(placed, "d")
-            .select("query_id", "doc_id", F.round("score", SCORE_DIGITS).alias("score")))
+    held = (index.postings.select("term", "doc_id", "tf") if index.tokens is None
+            else index.tokens.select("term", "doc_id", F.lit(1).alias("tf")))
+    tiles = pack_documents(held.join(side, "term").select(F.col("doc_id").alias("d"), "t", "tf"), tasks)
+    n = _total_documents(index, documents if total_documents is None else total_documents)
+    # as many rows as terms, so broadcast by the same bound
+    worth = _written(terms.join(document_counts(tiles), "t").crossJoin(F.broadcast(n))
+                     .select("term", "t", idf(F.col("df"), F.col("total_documents")).alias("idf")))
+    side = F.broadcast(worth) if _small(worth, "term", VOCABULARY_BYTES) else worth
+    asked = qt.join(side, "term").select(F.col("query_id").alias("q"), "t", (F.col("qtf") * F.col("idf")).alias("weight"))
+    scores = packed_scores(tiles, index.documents.schema["doc_id"].dataType, asked, k, SCORE_DIGITS, block_docs,
+                           first_blocks).select(F.col("q").alias("query_id"), F.col("d").alias("doc_id"),
+                                                F.round("score", SCORE_DIGITS).alias("score"))
+    ranks = Window.partitionBy("query_id").orderBy(*rank_order())
+    return scores.withColumn("_rank", F.row_number().over(ranks)).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def batch_search(index: Index, queries: DataFrame, k: int = 10,
@@ -288,13 +302,14 @@ def batch_search(index: Index, queries: DataFrame, k: int = 10,
 
     Only documents that may be among them are returned by the tiles (``batch_top_scores``).
     ``row_number() <= k`` plans as a WindowGroupLimit that keeps k rows per query
-    in each task before the shuffle, so a query matching millions of documents
-    sends only k rows per task. Titles are derived for the winners alone.
+    in each task before the shuffle. Titles are derived for the winners alone, whose
+    ids are broadcast if their counted size allows, so whole texts stay where they lie.
     """
     scores = batch_top_scores(index, queries, k=k, total_documents=total_documents, **kwargs)
     w = Window.partitionBy("query_id").orderBy(*rank_order())
     top = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
            .checkpoint(eager=True))
-    docs = (index.documents.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = top.select("doc_id").distinct()
+    docs = (index.documents.join(F.broadcast(ids) if _small(ids, "doc_id") else ids, "doc_id", "left_semi")
             .select("doc_id", "title", "url"))
     return top.join(docs, "doc_id").select("query_id", "rank", "doc_id", "title", "url", "score")
